@@ -76,6 +76,17 @@ def head(df: DataFrame, n: int, order: str) -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
-def cap(df: DataFrame, target: int) -> DataFrame:
-    """Stop at a target row count."""
-    return df.limit(target)
+def cap(df: DataFrame, target: int, order: str) -> DataFrame:
+    """Stop at a target row count: the first ``target`` rows by a unique ``order`` column.
+
+    Only the order column is sorted (a top-k of ``target`` keys); whole rows are compared with the last key taken.
+    """
+    last = df.select(order).orderBy(order).limit(target).agg(F.max(order).alias("_last"))
+    return df.join(F.broadcast(last), F.col(order) <= F.col("_last")).drop("_last")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over the cores when the scan has fewer tasks than there are cores (a few small files with heavy
+    expressions behind them). A large scan has more tasks than cores and is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

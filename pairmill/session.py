@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +53,8 @@ def freeze(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder next to the checkpoints, on storage that all executors share."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/scratch-{name}-{uuid.uuid4().hex}"
