@@ -1,8 +1,7 @@
 """Text functions as native column expressions.
 
 Whitespace means Unicode whitespace plus the four separators U+001C..U+001F everywhere, so word
-counts and trimming agree with Python's ``str`` methods. The class is spelled out because Java's bare
-``\\s`` is ASCII only.
+counts and trimming agree with Python's ``str`` methods. Java's ``\\s`` is ASCII only without the flag (?U).
 """
 
 from __future__ import annotations
@@ -13,8 +12,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- Fixed values -----------------------------------------------------------------------------
-# Whitespace, as the inside of a character class.
-WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Whitespace, as the inside of a character class of a pattern with the flag (?U).
+WS = r"\s\x1c\x1d\x1e\x1f"
+# The same whitespace characters one by one, for trimming.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+    "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Wiki markup removal: (pattern, replacement) in order of application. (?s): dot matches newlines,
 # (?md): line anchors at \n only.
@@ -23,19 +27,19 @@ WIKI_MARKUP = (
     (r"\{\{[^}]*\}\}", ""),
     (r"(?s)\{\|.*?\|\}", ""),
     (r"\[\[(?:[^|\]]*\|)?([^\]]+)\]\]", "$1"),
-    (rf"\[https?://[^{WS}]+[{WS}]+([^\]]+)\]", "$1"),
-    (rf"\[https?://[^{WS}]+\]", ""),
+    (rf"(?U)\[https?://[^{WS}]+[{WS}]+([^\]]+)\]", "$1"),
+    (rf"(?U)\[https?://[^{WS}]+\]", ""),
     (r"={2,}[^=]+=+", ""),
     (r"(?md)^\|.*$", ""),
-    (rf"(?md)^[*#:;]+[{WS}]*$", ""),
+    (rf"(?mdU)^[*#:;]+[{WS}]*$", ""),
 )
 
 # Removal for every source: tags, lower-case named entities, addresses, whitespace runs.
 COMMON_MARKUP = (
     (r"<[^>]+>", ""),
     (r"&[a-z]+;", " "),
-    (rf"https?://[^{WS}]+", ""),
-    (rf"[{WS}]+", " "),
+    (rf"(?U)https?://[^{WS}]+", ""),
+    (rf"(?U)[{WS}]+", " "),
 )
 
 # Sources whose text carries wiki markup.
@@ -47,7 +51,7 @@ LEAD_STOPS = ".!?»"
 # 13a tokenization of the public BLEU tool: entity replacements, then spacing rules.
 BLEU_ENTITIES = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
 BLEU_SPACING = (
-    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
+    (r"([{|}~\[\\\]^_` !\"#$%&()*+:;<=>?@/])", " $1 "),
     (r"([^0-9])([\.,])", "$1 $2 "),
     (r"([\.,])([^0-9])", " $1 $2"),
     (r"([0-9])(-)", "$1 $2 "),
@@ -67,17 +71,18 @@ def _replace_all(c: Column, rules: Sequence[tuple[str, str]]) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove Unicode whitespace at both ends."""
-    return F.regexp_replace(_col(c), rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(_col(c), F.lit(WS_CHARS))
 
 
 def words(c: Column | str) -> Column:
     """Whitespace-separated words."""
-    return F.regexp_extract_all(_col(c), F.lit(rf"[^{WS}]+"), F.lit(0))
+    # Splitting at whitespace is several times faster in Java than collecting runs of a negated class.
+    return F.array_remove(F.split(_col(c), rf"(?U)[{WS}]+"), "")
 
 
 def word_count(c: Column | str) -> Column:
     """Number of whitespace-separated words; '' has none, NULL stays NULL."""
-    return F.regexp_count(_col(c), F.lit(rf"[^{WS}]+"))
+    return F.array_size(words(c))
 
 
 def spaced_word_count(c: Column | str) -> Column:
@@ -112,7 +117,7 @@ def extract_lead(c: Column | str, n: int = 3, min_words: int = 5) -> Column:
     Sentences end after one of ``. ! ? »`` that is followed by whitespace. Too short sentences are
     passed over, so the kept ones need not be neighbours.
     """
-    pieces = F.split(strip(F.coalesce(_col(c), F.lit(""))), rf"(?<=[{LEAD_STOPS}])[{WS}]+")
+    pieces = F.split(strip(F.coalesce(_col(c), F.lit(""))), rf"(?U)(?<=[{LEAD_STOPS}])[{WS}]+")
     return F.array_join(F.slice(F.filter(pieces, lambda s: word_count(s) >= min_words), 1, n), " ")
 
 
@@ -160,7 +165,7 @@ def rouge_tokens(c: Column | str, tokenizer: str = "ascii") -> Column:
 
 def bleu_tokens(c: Column | str) -> Column:
     """13a tokens."""
-    c = F.regexp_replace(_col(c), rf"[{WS}]+\z", "")
+    c = F.rtrim(_col(c), F.lit(WS_CHARS))
     c = F.replace(c, F.lit("<skipped>"), F.lit(""))
     c = F.replace(F.replace(c, F.lit("-\n"), F.lit("")), F.lit("\n"), F.lit(" "))
     for entity, char in BLEU_ENTITIES:
@@ -170,7 +175,7 @@ def bleu_tokens(c: Column | str) -> Column:
 
 def squeezed(c: Column | str) -> Column:
     """The text without any whitespace, as chrF reads it."""
-    return F.regexp_replace(_col(c), rf"[{WS}]+", "")
+    return F.regexp_replace(_col(c), rf"(?U)[{WS}]+", "")
 
 
 def word_ngrams(tokens: Column, n: int) -> Column:

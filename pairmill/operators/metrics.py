@@ -1,183 +1,54 @@
-"""Scores of candidate texts against references: ROUGE, BLEU, chrF and their per-system means.
-
-Input is one long table (system, pair_id, cand, ref). Texts are placed by (system, pair_id) once; n-grams are
-exploded after that exchange, and every later key contains the pair, so the grams, dozens of times the size of
-the texts, are counted where they arise.
-"""
+"""Scores of a long table (system, pair_id, cand, ref) and their means per system."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from pairmill.functions import overlap as ov
 from pairmill.functions import text as tx
-from pairmill.operators.columns import compute_once, place_by
+from pairmill.operators.columns import compute_once
 from pairmill.operators.pairs import valid_pairs
 
-ROUGE_ORDERS = (1, 2)
-BLEU_ORDERS = (1, 2, 3, 4)
-CHRF_ORDERS = (1, 2, 3, 4, 5, 6)
-CHRF_BETA = 2
-# Names of the gram families; the position is the family's number in the gram table.
-FAMILIES = (
-    *(f"rouge{n}" for n in ROUGE_ORDERS),
-    *(f"bleu{n}" for n in BLEU_ORDERS),
-    *(f"chrf{n}" for n in CHRF_ORDERS),
-    "lcs",
-)
-
-
-def lcs_length(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, with the row of the table held as bits of one integer."""
-    where: dict[str, int] = {}
-    for i, token in enumerate(b):
-        where[token] = where.get(token, 0) | (1 << i)
-    full = (1 << len(b)) - 1
-    row = full
-    for token in a:
-        hits = row & where.get(token, 0)
-        row = ((row + hits) | (row - hits)) & full
-    return len(b) - row.bit_count()
-
-
-@F.pandas_udf(T.LongType())
-def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")
-
-
-def _grams(side: str, families: Sequence[str]) -> list[Column]:
-    """One (family, in_cand, in_ref, grams) line per gram family for one side of the pair."""
-    built = {f"rouge{n}": tx.word_ngrams(F.col(f"_rouge_{side}"), n) for n in ROUGE_ORDERS}
-    built |= {f"bleu{n}": tx.word_ngrams(F.col(f"_bleu_{side}"), n) for n in BLEU_ORDERS}
-    built |= {f"chrf{n}": tx.char_ngrams(F.col(f"_chrf_{side}"), n) for n in CHRF_ORDERS}
-    in_cand, in_ref = (F.lit(1), F.lit(0)) if side == "cand" else (F.lit(0), F.lit(1))
-    return [_line(f, in_cand, in_ref, built[f]) for f in families if f in built]
-
-
-def _line(family: str, in_cand: Column, in_ref: Column, grams: Column) -> Column:
-    return F.struct(
-        F.lit(FAMILIES.index(family)).cast("tinyint").alias("family"),
-        in_cand.cast("long").alias("in_cand"),
-        in_ref.cast("long").alias("in_ref"),
-        grams.alias("grams"),
-    )
-
-
-def gram_overlaps(
-    pairs: DataFrame, keys: Sequence[str], families: Sequence[str] = FAMILIES, tokenizer: str = "ascii"
-) -> DataFrame:
-    """Per pair and gram family: clipped matches ``m_*`` and gram totals ``c_*`` / ``r_*`` of both sides.
-
-    For the family ``lcs`` ``c_lcs`` is the length of the longest common subsequence of ROUGE tokens.
-    """
-    pairs = pairs.select(*keys, "cand", "ref")
-    if "lcs" in families:
-        # Before the exchange: a Python stage does not hand on how its rows are placed.
-        pairs = pairs.withColumn("_lcs", _lcs(tx.rouge_tokens("cand", tokenizer), tx.rouge_tokens("ref", tokenizer)))
-    placed = place_by(pairs, *keys)
-    tokens = {}
-    for side in ("cand", "ref"):
-        if any(f.startswith(("rouge", "lcs")) for f in families):
-            tokens[f"_rouge_{side}"] = tx.rouge_tokens(side, tokenizer)
-        if any(f.startswith("bleu") for f in families):
-            tokens[f"_bleu_{side}"] = tx.bleu_tokens(side)
-        if any(f.startswith("chrf") for f in families):
-            tokens[f"_chrf_{side}"] = tx.squeezed(side)
-    placed = compute_once(placed, **tokens).drop("cand", "ref")
-    lines = _grams("cand", families) + _grams("ref", families)
-    if "lcs" in families:
-        lines.append(_line("lcs", F.col("_lcs"), F.lit(0), F.array(F.lit(""))))
-    # One line per family and side, then one row per gram; the outer forms keep pairs without any gram.
-    families_of = placed.select(*keys, F.inline_outer(F.array(*lines)))
-    grams = families_of.select(*keys, "family", "in_cand", "in_ref", F.explode_outer("grams").alias("gram"))
-    counted = F.col("gram").isNotNull().cast("long")
-    grams = grams.withColumns({"in_cand": F.col("in_cand") * counted, "in_ref": F.col("in_ref") * counted})
-    clipped = grams.groupBy(*keys, "family", "gram").agg(F.sum("in_cand").alias("c"), F.sum("in_ref").alias("r"))
-    totals = clipped.groupBy(*keys, "family").agg(
-        F.sum(F.least("c", "r")).alias("m"), F.sum("c").alias("c"), F.sum("r").alias("r")
-    )
-
-    def of(family: str, value: str) -> Column:
-        hit = F.max(F.when(F.col("family") == FAMILIES.index(family), F.col(value)))
-        return F.coalesce(hit, F.lit(0)).alias(f"{value}_{family}")
-
-    return totals.groupBy(*keys).agg(*(of(f, v) for f in families for v in ("m", "c", "r")))
-
-
-def _f_measure(match: Column, cand: Column, ref: Column) -> Column:
-    """2PR / (P + R) with P = match / cand and R = match / ref, 0 when nothing matches."""
-    return F.coalesce(F.try_divide(match * 2.0, cand + ref), F.lit(0.0))
-
-
-def rouge_n_score(n: int) -> Column:
-    return _f_measure(F.col(f"m_rouge{n}"), F.col(f"c_rouge{n}"), F.col(f"r_rouge{n}"))
-
-
-def rouge_l_score() -> Column:
-    return _f_measure(F.col("c_lcs"), F.col("c_rouge1"), F.col("r_rouge1"))
-
-
-def bleu_score() -> Column:
-    """Sentence BLEU, 0 to 100: orders up to the longest gram the candidate has, geometric mean of the
-    precisions, each zero match smoothed by twice the previous smoothing, brevity penalty."""
-    log_sum, order = F.lit(0.0), F.lit(0)
-    halvings = F.lit(0)
-    for n in BLEU_ORDERS:
-        match, total = F.col(f"m_bleu{n}"), F.col(f"c_bleu{n}")
-        missed = (total > 0) & (match == 0)
-        halvings = halvings + missed.cast("int")
-        precision = F.when(missed, F.lit(100.0) / (F.pow(F.lit(2.0), halvings) * total)).when(
-            total > 0, match * 100.0 / total
-        )
-        log_sum = log_sum + F.coalesce(F.log(precision), F.lit(0.0))
-        order = order + (total > 0).cast("int")
-    cand_len, ref_len = F.col("c_bleu1"), F.col("r_bleu1")
-    brevity = F.when(cand_len < ref_len, F.exp(1 - F.try_divide(ref_len, cand_len))).otherwise(1.0)
-    matched = F.greatest(*(F.col(f"m_bleu{n}") for n in BLEU_ORDERS)) > 0
-    return F.when(matched, brevity * F.exp(log_sum / order)).otherwise(0.0)
-
-
-def chrf_score() -> Column:
-    """Sentence chrF, 0 to 100: precision and recall averaged over the orders where both sides have grams."""
-    precision, recall, orders = F.lit(0.0), F.lit(0.0), F.lit(0)
-    for n in CHRF_ORDERS:
-        match, cand, ref = F.col(f"m_chrf{n}"), F.col(f"c_chrf{n}"), F.col(f"r_chrf{n}")
-        both = (cand > 0) & (ref > 0)
-        precision = precision + F.when(both, match / cand).otherwise(0.0)
-        recall = recall + F.when(both, match / ref).otherwise(0.0)
-        orders = orders + both.cast("int")
-    weight = CHRF_BETA**2
-    p, r = F.try_divide(precision, orders), F.try_divide(recall, orders)
-    return F.coalesce(F.try_divide(100.0 * (1 + weight) * p * r, weight * p + r), F.lit(0.0))
-
-
-SCORES = {
-    "rouge1": (("rouge1",), lambda: rouge_n_score(1)),
-    "rouge2": (("rouge2",), lambda: rouge_n_score(2)),
-    "rougeL": (("rouge1", "lcs"), rouge_l_score),
-    "bleu": (tuple(f"bleu{n}" for n in BLEU_ORDERS), bleu_score),
-    "chrf": (tuple(f"chrf{n}" for n in CHRF_ORDERS), chrf_score),
-}
+METRICS = ("rouge1", "rouge2", "rougeL", "bleu", "chrf")
 
 
 def pair_scores(
     df: DataFrame,
-    metrics: Sequence[str] = tuple(SCORES),
+    metrics: Sequence[str] = METRICS,
     keys: Sequence[str] = ("system", "pair_id"),
     tokenizer: str = "ascii",
 ) -> DataFrame:
-    """One row per valid pair with the chosen metrics; all of them share one gram table."""
-    needed = {f for m in metrics for f in SCORES[m][0]}
-    families = [f for f in FAMILIES if f in needed]
-    # Pin the columns first: candidate expressions are not repeated by the filter, and a constant system stays
-    # an ordinary key, which the later groupings need to recognise the exchange.
-    pinned = df.select(F.inline(F.array(F.struct(*keys, "cand", "ref"))))
-    overlaps = gram_overlaps(valid_pairs(pinned), keys, families, tokenizer)
-    return overlaps.select(*keys, *(SCORES[m][1]().alias(m) for m in metrics))
+    """One row per valid pair with the chosen metrics. Map-only.
+
+    ``tokenizer`` concerns ROUGE: 'ascii' gives figures comparable with published ones but sees only digits and Latin
+    letters, 'unicode' sees words of any script.
+    """
+    # Columns are pinned step by step, so that no token array is built twice.
+    pairs = valid_pairs(df.select(F.inline(F.array(F.struct(*keys, "cand", "ref")))))
+    tokens, overlaps, scores = {}, {}, {}
+    if any(m.startswith("rouge") for m in metrics):
+        tokens |= {"_rouge_c": tx.rouge_tokens("cand", tokenizer), "_rouge_r": tx.rouge_tokens("ref", tokenizer)}
+    if any(m in metrics for m in ("rouge1", "rouge2")):
+        overlaps["_rouge"] = ov.rouge_overlaps(F.col("_rouge_c"), F.col("_rouge_r"))
+        scores |= {f"rouge{n}": ov.rouge_n(F.col("_rouge"), n) for n in ov.ROUGE_ORDERS}
+    if "bleu" in metrics:
+        tokens |= {"_bleu_c": tx.bleu_tokens("cand"), "_bleu_r": tx.bleu_tokens("ref")}
+        overlaps["_bleu"] = ov.bleu_overlaps(F.col("_bleu_c"), F.col("_bleu_r"))
+        scores["bleu"] = ov.bleu(F.col("_bleu"))
+    if "chrf" in metrics:
+        tokens |= {"_chrf_c": tx.squeezed("cand"), "_chrf_r": tx.squeezed("ref")}
+        overlaps["_chrf"] = ov.chrf_overlaps(F.col("_chrf_c"), F.col("_chrf_r"))
+        scores["chrf"] = ov.chrf(F.col("_chrf"))
+    scored = compute_once(pairs, **tokens).drop("cand", "ref")
+    if overlaps:
+        scored = compute_once(scored, **overlaps)
+    if "rougeL" in metrics:
+        scored = scored.withColumn("_lcs", ov.lcs("_rouge_c", "_rouge_r"))
+        scores["rougeL"] = ov.f_measure(F.col("_lcs"), F.size("_rouge_c"), F.size("_rouge_r"))
+    return scored.select(*keys, *(scores[m].alias(m) for m in metrics))
 
 
 # Digits of the means in the leaderboard.
