@@ -1,85 +1,67 @@
 """Scores of a candidate text against its reference, as column expressions.
 
 All of them rest on one quantity, the clipped overlap of two bags of n-grams: the sum over grams of the smaller
-of the two counts. It is taken inside the row. Sorting a bag puts copies next to each other, a regex cuts the sorted
-list into runs of copies, and numbering the copies turns the bag into a set of (gram, copy number); the overlap is the
-size of the intersection of two such sets. Cost is linear in the text but for the sort, and scoring a table is a plain
-projection: no gram ever becomes a row, nothing is shuffled.
+of the two counts. It is taken inside the row with built-in array and regex functions. Every gram that both bags share
+counts once, by set intersection. What is left are grams that occur repeatedly in both: sorting a bag puts copies next
+to each other, a regex cuts out the runs of copies, and of two runs of the same gram the shorter one, which is a prefix
+of the longer, tells how many further matches there are. Cost is linear in the text but for the sort, and scoring a
+table is a plain projection: no gram becomes a row, nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairmill.functions import text as tx
 
 ROUGE_ORDERS = (1, 2)
 BLEU_ORDERS = (1, 2, 3, 4)
 CHRF_ORDERS = (1, 2, 3, 4, 5, 6)
 CHRF_BETA = 2
 
-# Grams hold no newline: tokens and chrF texts are free of whitespace, and word grams are joined by spaces.
-_SEP = "\n"
-# A gram followed by all its copies in the sorted list.
-_RUN = r"(?<![^\n])([^\n]++)(?:\n\1(?![^\n]))*+"
-
-
-def numbered(grams: Column) -> Column:
-    """The bag as a set: the first copy of a gram stands for itself, copy k as gram, newline, k."""
-    runs = F.regexp_extract_all(F.array_join(F.sort_array(grams), _SEP), F.lit(_RUN), F.lit(0))
+# Grams hold neither of these: tokens and chrF texts are free of whitespace, word grams are joined by spaces.
+_COPY, _NEXT = "\n", "\r"
+# In a sorted list joined by _COPY: a gram and its further copies, at least one.
+_COPIES = r"(?<![^\n])([^\n]++)(?:\n\1(?![^\n]))++"
+# In a sorted list of such runs joined by _NEXT: a run followed by a run of the same gram that is no shorter.
+_SHORTER = r"(?<![^\r])([^\r]++)\r\1(?![^\n\r])"
 
-    def copies(run: Column) -> Column:
-        gram = F.substring_index(run, _SEP, 1)
-        count = F.length(run) - F.length(F.replace(run, F.lit(_SEP), F.lit(""))) + 1
-        rest = F.transform(F.sequence(F.lit(2), count), lambda k: F.concat(gram, F.lit(_SEP), k.cast("string")))
-        return F.when(F.contains(run, F.lit(_SEP)), F.concat(F.array(gram), rest)).otherwise(F.array(run))
 
-    return F.flatten(F.transform(runs, copies))
+def repeated(grams: Column) -> Column:
+    """Grams that occur more than once, each with all its copies as one string."""
+    return F.regexp_extract_all(F.array_join(F.sort_array(grams), _COPY), F.lit(_COPIES), F.lit(0))
 
 
 def overlap(cand: Column, ref: Column) -> Column:
     """(m, c, r): clipped matches of two bags of grams, and their sizes."""
+    runs = F.array_join(F.sort_array(F.concat(repeated(cand), repeated(ref))), _NEXT)
+    shorter = F.array_join(F.regexp_extract_all(runs, F.lit(_SHORTER), F.lit(1)), _NEXT)
+    further = F.length(shorter) - F.length(F.replace(shorter, F.lit(_COPY), F.lit("")))
     return F.struct(
-        F.size(F.array_intersect(numbered(cand), numbered(ref))).alias("m"),
-        F.size(cand).alias("c"),
-        F.size(ref).alias("r"),
+        (F.size(F.array_intersect(cand, ref)) + further).alias("m"), F.size(cand).alias("c"), F.size(ref).alias("r")
     )
 
 
-def rouge_overlaps(cand: Column, ref: Column) -> Column:
-    """Overlaps of word n-grams for orders 1 and 2, from ROUGE tokens."""
-    return F.array(*(overlap(tx.word_ngrams(cand, n), tx.word_ngrams(ref, n)) for n in ROUGE_ORDERS))
-
-
-def bleu_overlaps(cand: Column, ref: Column) -> Column:
-    """Overlaps of word n-grams for orders 1 to 4, from 13a tokens."""
-    return F.array(*(overlap(tx.word_ngrams(cand, n), tx.word_ngrams(ref, n)) for n in BLEU_ORDERS))
-
-
-def chrf_overlaps(cand: Column, ref: Column) -> Column:
-    """Overlaps of character n-grams for orders 1 to 6, from texts without whitespace."""
-    return F.array(*(overlap(tx.char_ngrams(cand, n), tx.char_ngrams(ref, n)) for n in CHRF_ORDERS))
-
-
 def f_measure(match: Column, cand: Column, ref: Column) -> Column:
     """2PR / (P + R) with P = match / cand and R = match / ref, 0 when nothing matches."""
     return F.coalesce(F.try_divide(match * 2.0, cand + ref), F.lit(0.0))
 
 
-def rouge_n(overlaps: Column, n: int) -> Column:
-    of = overlaps[ROUGE_ORDERS.index(n)]
+def rouge_n(of: Column) -> Column:
+    """ROUGE-N F-measure from the overlap of order n."""
     return f_measure(of["m"], of["c"], of["r"])
 
 
-def bleu(overlaps: Column) -> Column:
+def bleu(overlaps: Sequence[Column]) -> Column:
     """Sentence BLEU, 0 to 100: orders up to the longest gram the candidate has, geometric mean of the precisions,
     each zero match smoothed by twice the previous smoothing, brevity penalty; no match at all gives 0."""
     log_sum, order, misses = F.lit(0.0), F.lit(0), F.lit(0)
-    for i in range(len(BLEU_ORDERS)):
-        match, total = overlaps[i]["m"], overlaps[i]["c"]
+    for of in overlaps:
+        match, total = of["m"], of["c"]
         missed = (total > 0) & (match == 0)
         misses = misses + missed.cast("int")
         precision = F.when(missed, F.lit(100.0) / (F.pow(F.lit(2.0), misses) * total)).when(
@@ -93,11 +75,11 @@ def bleu(overlaps: Column) -> Column:
     return F.when(overlaps[0]["m"] > 0, brevity * F.exp(log_sum / order)).otherwise(0.0)
 
 
-def chrf(overlaps: Column) -> Column:
+def chrf(overlaps: Sequence[Column]) -> Column:
     """Sentence chrF, 0 to 100: precision and recall averaged over the orders where both sides have grams."""
     precision, recall, orders = F.lit(0.0), F.lit(0.0), F.lit(0)
-    for i in range(len(CHRF_ORDERS)):
-        match, cand, ref = overlaps[i]["m"], overlaps[i]["c"], overlaps[i]["r"]
+    for of in overlaps:
+        match, cand, ref = of["m"], of["c"], of["r"]
         both = (cand > 0) & (ref > 0)
         precision = precision + F.when(both, match / cand).otherwise(0.0)
         recall = recall + F.when(both, match / ref).otherwise(0.0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairmill.functions import overlap as ov
@@ -26,28 +26,37 @@ def pair_scores(
     ``tokenizer`` concerns ROUGE: 'ascii' gives figures comparable with published ones but sees only digits and Latin
     letters, 'unicode' sees words of any script.
     """
-    # Columns are pinned step by step, so that no token array is built twice.
+    rouge = [n for n in ov.ROUGE_ORDERS if f"rouge{n}" in metrics]
+    tokens, grams = {}, {}
+    for side in ("cand", "ref"):
+        if rouge or "rougeL" in metrics:
+            tokens[f"_rouge_{side}"] = tx.rouge_tokens(side, tokenizer)
+            grams |= {f"_rouge{n}_{side}": tx.word_ngrams(F.col(f"_rouge_{side}"), n) for n in rouge}
+        if "bleu" in metrics:
+            tokens[f"_bleu_{side}"] = tx.bleu_tokens(side)
+            grams |= {f"_bleu{n}_{side}": tx.word_ngrams(F.col(f"_bleu_{side}"), n) for n in ov.BLEU_ORDERS}
+        if "chrf" in metrics:
+            tokens[f"_chrf_{side}"] = tx.squeezed(side)
+            grams |= {f"_chrf{n}_{side}": tx.char_ngrams(f"_chrf_{side}", n) for n in ov.CHRF_ORDERS}
+    families = [g.removesuffix("_cand") for g in grams if g.endswith("_cand")]
+
+    # Texts and tokens are pinned, so that no text is cut twice.
     pairs = valid_pairs(df.select(F.inline(F.array(F.struct(*keys, "cand", "ref")))))
-    tokens, overlaps, scores = {}, {}, {}
-    if any(m.startswith("rouge") for m in metrics):
-        tokens |= {"_rouge_c": tx.rouge_tokens("cand", tokenizer), "_rouge_r": tx.rouge_tokens("ref", tokenizer)}
-    if any(m in metrics for m in ("rouge1", "rouge2")):
-        overlaps["_rouge"] = ov.rouge_overlaps(F.col("_rouge_c"), F.col("_rouge_r"))
-        scores |= {f"rouge{n}": ov.rouge_n(F.col("_rouge"), n) for n in ov.ROUGE_ORDERS}
-    if "bleu" in metrics:
-        tokens |= {"_bleu_c": tx.bleu_tokens("cand"), "_bleu_r": tx.bleu_tokens("ref")}
-        overlaps["_bleu"] = ov.bleu_overlaps(F.col("_bleu_c"), F.col("_bleu_r"))
-        scores["bleu"] = ov.bleu(F.col("_bleu"))
-    if "chrf" in metrics:
-        tokens |= {"_chrf_c": tx.squeezed("cand"), "_chrf_r": tx.squeezed("ref")}
-        overlaps["_chrf"] = ov.chrf_overlaps(F.col("_chrf_c"), F.col("_chrf_r"))
-        scores["chrf"] = ov.chrf(F.col("_chrf"))
     scored = compute_once(pairs, **tokens).drop("cand", "ref")
-    if overlaps:
-        scored = compute_once(scored, **overlaps)
     if "rougeL" in metrics:
-        scored = scored.withColumn("_lcs", ov.lcs("_rouge_c", "_rouge_r"))
-        scores["rougeL"] = ov.f_measure(F.col("_lcs"), F.size("_rouge_c"), F.size("_rouge_r"))
+        scored = scored.withColumn("_lcs", ov.lcs("_rouge_cand", "_rouge_ref"))
+    # Plain projections here: each bag is read several times, so they are not merged, and unlike one large generator
+    # their generated code is split into methods small enough for the JIT compiler.
+    scored = scored.withColumns(grams)
+    scored = scored.withColumns({g: ov.overlap(F.col(f"{g}_cand"), F.col(f"{g}_ref")) for g in families})
+
+    def of(metric: str, orders: Sequence[int]) -> list[Column]:
+        return [F.col(f"_{metric}{n}") for n in orders]
+
+    scores = {f"rouge{n}": ov.rouge_n(F.col(f"_rouge{n}")) for n in rouge}
+    scores["rougeL"] = ov.f_measure(F.col("_lcs"), F.size("_rouge_cand"), F.size("_rouge_ref"))
+    scores["bleu"] = ov.bleu(of("bleu", ov.BLEU_ORDERS))
+    scores["chrf"] = ov.chrf(of("chrf", ov.CHRF_ORDERS))
     return scored.select(*keys, *(scores[m].alias(m) for m in metrics))
 
 

@@ -53,7 +53,7 @@ def quality_filter(df: DataFrame, **thresholds) -> DataFrame:
 
 def min_words(df: DataFrame, col: str, n: int = 150) -> DataFrame:
     """Reject short articles."""
-    return df.filter(tx.word_count(col) >= n)
+    return compute_once(df, _words=tx.word_count(col)).filter(F.col("_words") >= n).drop("_words")
 
 
 def valid_pairs(df: DataFrame, cand: str = "cand", ref: str = "ref") -> DataFrame:
