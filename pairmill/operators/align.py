@@ -100,6 +100,8 @@ def _match_rings(
     left: DataFrame, right: DataFrame, threshold: float, pivots: int, rings: int, piece_rows: int
 ) -> DataFrame:
     spark = left.sparkSession
+    # Read twice below; a model may stand behind the vectors.
+    left = freeze(left)
     # A fixed number of pivots, drawn in hash order. Any choice is exact; it only decides how much is pruned.
     drawn = right.orderBy(F.md5(F.col("right_id").cast("string").cast("binary")), "right_id").limit(pivots)
     centres = spark.sparkContext.broadcast(unit_rows(drawn.toPandas()["vec"]))

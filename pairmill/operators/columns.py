@@ -81,8 +81,8 @@ def cap(df: DataFrame, target: int, order: str) -> DataFrame:
 
     Only the order column is sorted (a top-k of ``target`` keys); whole rows are compared with the last key taken.
     """
-    last = df.select(order).orderBy(order).limit(target).agg(F.max(order).alias("_last"))
-    return df.join(F.broadcast(last), F.col(order) <= F.col("_last")).drop("_last")
+    last = df.select(order).orderBy(order).limit(target).agg(F.max(order))
+    return df.filter(F.col(order) <= last.scalar())
 
 
 def spread(df: DataFrame) -> DataFrame:

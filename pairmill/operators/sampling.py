@@ -42,13 +42,20 @@ def _cuts(keyed: DataFrame, buckets: DataFrame, targets: DataFrame) -> DataFrame
     """For targets (class, label, rank) the key and id of the row with that rank in its class."""
     hit = targets.join(buckets, "_class").filter((F.col("_before") < F.col("rank")) & (F.col("rank") <= F.col("_upto")))
     hit = hit.select("_class", "_bucket", "label", (F.col("rank") - F.col("_before")).alias("_want"))
+    # One line per class and bucket that holds a cut; with it in every task, only rows of these buckets are moved.
     wanted = hit.groupBy("_class", "_bucket").agg(F.collect_list(F.struct("label", "_want")).alias("_wants"))
+    wanted = _broadcast_if_small(freeze(wanted))
     order = Window.partitionBy("_class", "_bucket").orderBy("_key", "_id")
     ranked = keyed.join(wanted, ["_class", "_bucket"]).withColumn("_nth", F.row_number().over(order))
     picked = ranked.select("_class", "_key", "_id", "_nth", F.inline("_wants")).filter("_nth = _want")
     return freeze(picked.select("_class", "label", F.col("_key").alias("cut_key"), F.col("_id").alias("cut_id")))
 
 
+def _broadcast_if_small(lines: DataFrame) -> DataFrame:
+    few = lines.limit(MAX_BROADCAST_CUTS + 1).count() <= MAX_BROADCAST_CUTS
+    return F.broadcast(lines) if few else lines
+
+
 def _with_cuts(df: DataFrame, cuts: DataFrame, by: str | None, labels: Sequence[str]) -> DataFrame:
     """One row of cuts per class, one column per label, joined to the rows of the class."""
     per_class = cuts.groupBy("_class").agg(
@@ -57,8 +64,7 @@ def _with_cuts(df: DataFrame, cuts: DataFrame, by: str | None, labels: Sequence[
             for v in labels
         )
     )
-    if cuts.limit(MAX_BROADCAST_CUTS + 1).count() <= MAX_BROADCAST_CUTS:
-        per_class = F.broadcast(per_class)
+    per_class = _broadcast_if_small(per_class)
     group = F.col(by) if by is not None else F.lit("")
     return df.withColumn("_class", group).join(per_class, "_class", "left").drop("_class")
 

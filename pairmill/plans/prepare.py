@@ -60,8 +60,6 @@ def prepare_corpus(
         if n <= total:
             write_csv(sp.sample_of(samples, n).drop(id_col), f"{out_dir}/train_{n}")
     write_csv(train.drop(id_col), f"{out_dir}/train_full")
-    before = articles.agg(F.count("*").alias("before"))
-    after = pairs.agg(F.count("*").alias("after"))
-    # Two one-row aggregates.
-    attrition = pr.attrition(before.join(F.broadcast(after)))
-    return {"attrition": attrition, "by_source": source_report(pairs)}
+    before = articles.agg(F.count("*")).scalar()
+    totals = pairs.agg(F.count("*").alias("after")).select(before.alias("before"), "after")
+    return {"attrition": pr.attrition(totals), "by_source": source_report(pairs)}

@@ -20,9 +20,8 @@ def sitemap_urls(docs: DataFrame, part: str = "/article/", order: str = "seq", x
     Documents are numbered by ``order``; one whose content is NULL could not be fetched and ends the archive, so the
     documents after the first such one are ignored.
     """
-    end = docs.filter(F.col(xml).isNull()).agg(F.min(order).alias("_end"))
-    # One row: the aggregate without keys.
-    usable = docs.join(F.broadcast(end), F.col("_end").isNull() | (F.col(order) < F.col("_end")))
+    end = docs.filter(F.col(xml).isNull()).agg(F.min(order))
+    usable = docs.filter(F.coalesce(F.col(order) < end.scalar(), F.lit(True)))
     locs = usable.filter(F.col(xml).isNotNull()).select(
         order, F.explode(F.xpath(F.col(xml), F.lit("//loc/text()"))).alias("url")
     )

@@ -41,15 +41,23 @@ def ingest_stream(
     key: str = "url",
     transform: Callable[[DataFrame], DataFrame] = lambda df: df,
     fmt: str = "json",
+    salts: int = 16,
 ) -> StreamingQuery:
     """Process everything available, then stop. Starting it again with the same folders continues.
 
     ``transform`` prepares the articles (page extraction, cleaning, word limit). Keys seen before, in this run or an
-    earlier one, are passed over: the first arrival wins. Seen keys are state partitioned by key, so their memory
-    grows with the number of articles, spread over the cluster; on a cluster set the RocksDB state store so that
-    state lives on disk.
+    earlier one, are passed over: the first arrival wins. Seen keys are state partitioned by key, so it grows with the
+    number of articles, spread over the cluster; on a cluster set the RocksDB state store so that state lives on disk.
+
+    Copies of one key are first dropped within ``salts`` groups of input splits, so that a key which fills a large part of
+    a batch is not sent to one task. ``salts=1`` saves that step, and its share of the state, where keys rarely repeat.
+    ``transform`` must be map-only for the split of a row to be known.
     """
-    fresh = transform(articles).dropDuplicates([key])
+    fresh = transform(articles)
+    if salts > 1:
+        split = F.hash(F.input_file_name(), F.input_file_block_start())
+        fresh = fresh.withColumn("_salt", F.pmod(split, F.lit(salts))).dropDuplicates([key, "_salt"]).drop("_salt")
+    fresh = fresh.dropDuplicates([key])
     return (
         fresh.writeStream.format(fmt)
         .option("path", out_dir)
