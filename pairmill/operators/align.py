@@ -142,8 +142,9 @@ def _match_rings(
 
     def count_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not batch.empty:
-                yield pd.DataFrame({"cell": number, "n": visited(batch["vec"]).sum(axis=0)})
+            for start in range(0, len(batch), SLICE):
+                visitors = visited(batch["vec"].iloc[start : start + SLICE]).sum(axis=0)
+                yield pd.DataFrame({"cell": number, "n": visitors})
 
     visits = left.mapInPandas(count_visits, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     visits = dict(visits.toPandas().itertuples(index=False))

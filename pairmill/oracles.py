@@ -1,8 +1,4 @@
-"""The named queries as DuckDB SQL over the same tables, for checking results.
-
-Queries without an entry: ``rouge_l`` and ``evaluate_systems`` (a longest common subsequence per pair has no workable SQL
-over whole tables; tests compare it with brute force).
-"""
+"""The named queries as DuckDB SQL over the same tables, for checking results."""
 
 from __future__ import annotations
 
@@ -207,6 +203,24 @@ chrf AS (
   )
 )"""
 
+# Longest common subsequence of ROUGE tokens: one line of the table per candidate token, built cell by cell.
+LCS = """
+lcs_in AS (
+  SELECT system, pair_id, regexp_extract_all(lower(cand), '[a-z0-9]+') AS c, regexp_extract_all(lower(ref), '[a-z0-9]+') AS r
+  FROM outputs
+),
+lcs_len AS (
+  SELECT system, pair_id, len(c) AS c, len(r) AS r, coalesce(list_reduce(
+    list_transform(c, lambda x: list_transform(r, lambda y: (x = y)::INTEGER)),
+    lambda line, hit: list_reduce(
+      list_transform(range(1, len(hit) + 1), lambda j: [j::INTEGER]),
+      lambda built, j: list_append(built, greatest(built[-1], line[j[1]], coalesce(line[j[1] - 1], 0) + hit[j[1]])),
+      []::INTEGER[]),
+    list_transform(r, lambda y: 0))[-1], 0) AS m
+  FROM lcs_in
+),
+lcs AS (SELECT system, pair_id, CASE WHEN m > 0 THEN 2.0 * m / (c + r) ELSE 0 END AS rougeL FROM lcs_len)"""
+
 # Best right vector of each left vector.
 COSINES = """
 vec AS (
@@ -368,12 +382,21 @@ ORACLES: dict[str, str] = {
         SELECT pair_id, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2 FROM rouge""",
     "rouge_n_unicode": f"""WITH {TFIDF}, {LEADS}, {TFIDF_OUTPUTS}, {_rouge('[\\p{L}\\p{N}]+')}
         SELECT pair_id, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2 FROM rouge""",
+    "rouge_l": f"""WITH {TFIDF}, {LEADS}, {TFIDF_OUTPUTS}, {LCS}
+        SELECT pair_id, round(rougeL, 6) AS "rougeL" FROM lcs""",
     "sentence_bleu": f"""WITH {TFIDF}, {LEADS}, {TFIDF_OUTPUTS}, {BLEU} SELECT pair_id, round(bleu, 6) AS bleu FROM bleu""",
     "sentence_chrf": f"""WITH {TFIDF}, {LEADS}, {TFIDF_OUTPUTS}, {CHRF} SELECT pair_id, round(chrf, 6) AS chrf FROM chrf""",
     "leaderboard": f"""WITH {TFIDF}, {LEADS}, {ALL_OUTPUTS}, {_rouge('[a-z0-9]+')}, {BLEU}, {CHRF}
         SELECT system, round(avg(rouge1), 3) AS rouge1, round(avg(rouge2), 3) AS rouge2, round(avg(bleu), 1) AS bleu,
           round(avg(chrf), 1) AS chrf, count(*) AS n_pairs
         FROM rouge JOIN bleu USING (system, pair_id) JOIN chrf USING (system, pair_id) GROUP BY system""",
+    "evaluate_systems": f"""WITH {TFIDF}, {LEADS}, {ALL_OUTPUTS}, {_rouge('[a-z0-9]+')}, {LCS}, {BLEU}, {CHRF}, {BERTSCORE}
+        SELECT system, round(avg(rouge1), 3) AS rouge1, round(avg(rouge2), 3) AS rouge2, round(avg(rougeL), 3) AS "rougeL",
+          round(avg(bleu), 1) AS bleu, round(avg(chrf), 1) AS chrf, round(avg(f1), 3) AS bertscore, count(*) AS n_pairs
+        FROM rouge JOIN lcs USING (system, pair_id) JOIN bleu USING (system, pair_id) JOIN chrf USING (system, pair_id)
+        LEFT JOIN (SELECT s.system, pr.pair_id, pr.f1 FROM pr, (VALUES ('lead'), ('tfidf')) AS s(system)) b
+          USING (system, pair_id)
+        GROUP BY system""",
     "bertscore_match": f"""WITH {BERTSCORE} SELECT pair_id, round(precision, 6) AS precision, round(recall, 6) AS recall,
         round(f1, 6) AS f1 FROM pr""",
     "bertscore_means": f"""WITH {BERTSCORE} SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall,

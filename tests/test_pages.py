@@ -89,3 +89,23 @@ def test_page_answers(spark):
 def test_statuses(spark):
     df = spark.createDataFrame([(c,) for c in (200, 301, 403, 404, 410, 429, 500, None)], "status int")
     assert [r.route for r in pg.classify_status(df).collect()] == ["ok", "ok", "drop", "drop", "drop", "retry", "retry", "retry"]
+
+
+def test_crawl_round(spark):
+    from pairmill.plans.crawl import crawl_queue, crawl_round
+
+    page = "<h1>t</h1><div class='article-content'>" + "w " * 150 + "</div>"
+    base = "https://n.example/article/"
+    urls = spark.createDataFrame([(f"{base}{i}",) for i in (1, 1, 2, 3, 4)] + [("https://n.example/tag",)], "url string")
+    done = spark.createDataFrame([(f"{base}4",)], "url string")
+    queue = crawl_queue(urls, done)
+    assert sorted(r.url[-1] for r in queue.collect()) == ["1", "2", "3"]
+    fetched = spark.createDataFrame(
+        [(f"{base}1", 200, page), (f"{base}2", 404, None), (f"{base}3", 429, None), (f"{base}4", 200, page)],
+        "url string, status int, html string",
+    )
+    result = crawl_round(queue, fetched, done, "n.example", "kk")
+    assert [r.url[-1] for r in result.articles.collect()] == ["1"]
+    assert sorted(r.url[-1] for r in result.done.collect()) == ["1", "2", "4"]
+    assert [r.url[-1] for r in result.retry.collect()] == ["3"]
+    assert [r.url[-1] for r in crawl_queue(urls, result.done).collect()] == ["3"]
