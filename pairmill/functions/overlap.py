@@ -37,12 +37,15 @@ def repeated(grams: Column) -> Column:
 
 
 def overlap(cand: Column, ref: Column) -> Column:
-    """(m, c, r): clipped matches of two bags of grams, and their sizes."""
+    """(m, c, r): clipped matches of two bags of grams, and their sizes. Equal bags need no counting."""
     runs = F.array_join(F.sort_array(F.concat(repeated(cand), repeated(ref))), _NEXT)
     shorter = F.array_join(F.regexp_extract_all(runs, F.lit(_SHORTER), F.lit(1)), _NEXT)
-    further = F.length(shorter) - F.length(F.replace(shorter, F.lit(_COPY), F.lit("")))
+    # Every expression is used once: inside a branch Spark does not share common subexpressions.
+    shared = F.size(F.array_intersect(cand, ref)) + F.size(F.split(shorter, _COPY)) - 1
     return F.struct(
-        (F.size(F.array_intersect(cand, ref)) + further).alias("m"), F.size(cand).alias("c"), F.size(ref).alias("r")
+        F.when(cand == ref, F.size(cand)).otherwise(shared).alias("m"),
+        F.size(cand).alias("c"),
+        F.size(ref).alias("r"),
     )
 
 
