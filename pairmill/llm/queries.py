@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairmill.llm.common import table
+from pairmill.llm.common import table, text_or_empty
+from pairmill.llm.hash_tree import assign_shards, even_tree, with_slots
 from pairmill.llm.id_files import read_token_ids, write_token_ids
+from pairmill.llm.mixing import mix, text_form, word_weight
 from pairmill.llm.piece_ids import encode_documents
+from pairmill.llm.secrets import BASE_RULES, find_secrets, span_list
 from pairmill.llm.token_counts import count_tokens
+from pairmill.llm.url_rules import filter_urls
+from pairmill.llm.weak_quality import judge
 from pairmill.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +64,75 @@ def op10_token_counts(spark, sf):
         "n_tokens",
         (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"),
     )
+
+
+@query
+def op1_secret_scan(spark, sf):
+    """Spans of secrets in every document."""
+    found = find_secrets(table(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: s["order"] < len(BASE_RULES))
+    orders = F.transform("spans", lambda s: s["order"])
+    counts = {
+        f"n_{rule.kind}": (F.size(orders) - F.size(F.array_remove(orders, i))).cast("long")
+        for i, rule in enumerate(BASE_RULES)
+    }
+    return found.select(
+        "doc_id",
+        *(c.alias(n) for n, c in counts.items()),
+        F.sha2(span_list(base).cast("binary"), 256).alias("base_sha256"),
+        span_list(F.col("spans")).alias("spans"),
+    )
+
+
+# Shares of token weight that the mixture should have; "*" stands for everything not named.
+MIX_TARGETS = {
+    "source": {"src0": 0.3, "*": 0.7},
+    "lang": {"en": 0.56, "de": 0.16, "fr": 0.16, "es": 0.12, "*": 0.001},
+    "topic": {"article": 0.5, "report": 0.46, "note": 0.013, "list": 0.027, "*": 0.001},
+}
+
+
+@query
+def op3_source_mix(spark, sf):
+    """Documents sampled so that source, language and form have their target shares of words."""
+    docs = table(spark, sf, "documents").withColumn("topic", text_form())
+    return mix(docs, MIX_TARGETS, word_weight()).select("doc_id", "source", "lang", "topic", "probability")
+
+
+SHARDS = 24
+
+
+@query
+def op6_hash_tree(spark, sf):
+    """Shard and slot of every document, and the shard with one more of them."""
+    docs = table(spark, sf, "documents")
+    sized = docs.withColumns(
+        {
+            "size": F.octet_length(text_or_empty()).cast("long") + 8,
+            "text_crc32": F.crc32(text_or_empty().cast("binary")),
+            "law": F.lit("key"),
+        }
+    )
+    placed = assign_shards(assign_shards(sized, even_tree(SHARDS)), even_tree(SHARDS + 1), "grown_shard")
+    narrow = placed.select("doc_id", "size", "text_crc32", "law", "shard", "grown_shard")
+    return with_slots(narrow, ["doc_id", "text_crc32", "size"])
+
+
+@query
+def op8_weak_quality(spark, sf):
+    """Base features and verdict of every document."""
+    return judge(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("p_good", 6).alias("p_good"),
+    )
+
+
+@query
+def op9_url_rules(spark, sf):
+    """Verdict on the address of every page. A page is bad if its document is labelled as poor or toxic."""
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    labels = table(spark, sf, "labels").select(
+        F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
+    )
+    labelled = pages.join(labels, "page_id")
+    return filter_urls(pages, labelled).select("page_id", "host", "path", "rule", "verdict")
