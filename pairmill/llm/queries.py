@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pairmill.llm.common import table, text_or_empty
 from pairmill.llm.hash_tree import assign_shards, even_tree, with_slots
 from pairmill.llm.id_files import read_token_ids, write_token_ids
+from pairmill.llm.lattice import near_vectors
 from pairmill.llm.mixing import mix, text_form, word_weight
 from pairmill.llm.piece_ids import encode_documents
 from pairmill.llm.secrets import BASE_RULES, find_secrets, span_list
@@ -136,3 +137,9 @@ def op9_url_rules(spark, sf):
     )
     labelled = pages.join(labels, "page_id")
     return filter_urls(pages, labelled).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op2_lattice_dedup(spark, sf):
+    """Links and component of every vector."""
+    return near_vectors(table(spark, sf, "embeddings"))
