@@ -13,6 +13,7 @@ from pairmill.llm.hash_tree import assign_shards, even_tree, with_slots
 from pairmill.llm.id_files import read_token_ids, write_token_ids
 from pairmill.llm.lattice import near_vectors
 from pairmill.llm.mixing import mix, text_form, word_weight
+from pairmill.llm.order_minhash import near_classes
 from pairmill.llm.piece_ids import encode_documents
 from pairmill.llm.secrets import BASE_RULES, find_secrets, span_list
 from pairmill.llm.token_counts import count_tokens
@@ -143,3 +144,10 @@ def op9_url_rules(spark, sf):
 def op2_lattice_dedup(spark, sf):
     """Links and component of every vector."""
     return near_vectors(table(spark, sf, "embeddings"))
+
+
+@query
+def op4_order_minhash(spark, sf):
+    """Class of every document, by similarity of texts."""
+    found = near_classes(table(spark, sf, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "kept")
