@@ -28,12 +28,13 @@ def worker_store() -> dict[str, Any]:
     return sys.modules.setdefault("_pairmill_worker", types.ModuleType("_pairmill_worker")).__dict__
 
 
-def per_worker(name: str, build: Callable[[], Any]) -> Any:
-    """The worker's object of that name, built at first use."""
+def per_worker(kind: str, token: str, build: Callable[[], Any]) -> Any:
+    """The worker's object of a kind, built at first use and whenever ``token`` has changed; the one before is let go."""
     store = worker_store()
-    if name not in store:
-        store[name] = build()
-    return store[name]
+    if store.get(kind, ("",))[0] != token:
+        store.pop(kind, None)
+        store[kind] = (token, build())
+    return store[kind][1]
 
 
 def partitions(spark: SparkSession) -> int:

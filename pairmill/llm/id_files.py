@@ -10,8 +10,8 @@ writers reach every store; the payload of a row is self-contained:
 
 from __future__ import annotations
 
+import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
 from pairmill.llm import elias_fano
@@ -99,7 +100,8 @@ def write_token_ids(
     tokenizer = Tokenizer.from_str(source)
     check_tokenizer(tokenizer)
     id_bytes = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-    shared, token = spark.sparkContext.broadcast(source), uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast(source)
+    token = hashlib.sha256(f"{id_bytes} {source}".encode()).hexdigest()
     rows = df.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text"))
     rows = rows.withColumn("tie", F.monotonically_increasing_id())
     placed = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
@@ -118,7 +120,7 @@ def write_token_ids(
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = per_worker(f"words-{token}", lambda: WordIds(Tokenizer.from_str(shared.value), id_bytes))
+        words = per_worker("words", token, lambda: WordIds(Tokenizer.from_str(shared.value), id_bytes))
         end = end_id.to_bytes(id_bytes, "little")
         part, segment, start = TaskContext.get().partitionId(), 0, 0
         doc_ids: list = []
@@ -149,8 +151,6 @@ def write_token_ids(
         if coded:
             yield close()
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     arrow_id = to_arrow_type(id_type)
     placed.select("doc_id", "text").mapInArrow(pack, schema).write.parquet(path)
 

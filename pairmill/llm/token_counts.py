@@ -12,7 +12,8 @@ import heapq
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched
 from pathlib import Path
 
 import numpy as np
@@ -82,22 +83,26 @@ def frequent_chunks(texts: DataFrame, col: str = "text", size: int = TABLE_SIZE)
     return [k for k, _ in heapq.nsmallest(size, total.items(), key=lambda e: (-e[1], e[0]))]
 
 
-class Lengths(dict):
+class Lengths:
     """Tokens of chunks: the broadcast table, and a cache of bounded size for what it lacks."""
 
     def __init__(self, frequent: dict[str, int], model, cache_size: int) -> None:
-        super().__init__(frequent)
         self.frequent, self.model, self.most = frequent, model, len(frequent) + cache_size
-
-    def __missing__(self, key: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-            self.update(self.frequent)
-        n = self[key] = len(encode_chunks(self.model, [key])[0])
-        return n
-
-    def count(self, text: str | None) -> int:
-        return sum(map(self.__getitem__, chunks(text))) if text else 0
+        self.known = dict(frequent)
+
+    def count(self, texts: Iterable[str | None]) -> list[int]:
+        """Tokens of each text. What a slice of texts lacks is encoded in one call."""
+        found = []
+        for some in batched(texts, 256):
+            cut = [chunks(t) if t else [] for t in some]
+            new = {k for one in cut for k in one if k not in self.known}
+            if len(self.known) + len(new) > self.most:
+                self.known = dict(self.frequent)
+                new = {k for one in cut for k in one if k not in self.known}
+            keys = list(new)
+            self.known.update((k, len(ids)) for k, ids in zip(keys, encode_chunks(self.model, keys)))
+            found += [sum(map(self.known.__getitem__, one)) for one in cut]
+        return found
 
 
 def count_tokens(
@@ -125,9 +130,9 @@ def count_tokens(
             proto, table = shared.value
             return Lengths(table, open_model(proto), cache_size)
 
-        known = per_worker(f"lengths-{token}", build)
+        known = per_worker("lengths", token, build)
         for batch in batches:
-            yield pd.Series([known.count(t) for t in batch], dtype="int64")
+            yield pd.Series(known.count(batch), dtype="int64")
 
     return df.withColumn(name, lengths(F.col(text)))
 
