@@ -5,15 +5,14 @@ that are smallest under one hash and keeps them in text order; texts with an equ
 and repetition count, equal sketches speak for a small edit distance. Candidates are verified by a banded alignment of
 their words.
 
-Equal texts are one node. In each bucket the first node meets all others; after that only buckets that hold nodes of
-different classes are looked at again, and there only nodes of different classes meet. So copies of one text never pair
-up with each other, yet every pair that shares a bucket ends in one class or has been compared, or is so different in
-word counts that it cannot be similar.
+Equal texts are one node. At first each node meets one other: the smallest node of any of its buckets, and, once more, the
+smallest of those of another class. After that only buckets that hold nodes of different classes are looked at again, and
+there only nodes of different classes meet. So a group of near copies gives about one pair per text, yet every pair that
+shares a bucket ends in one class or has been compared, or differs so much in word counts that it cannot be similar.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairmill.llm.blocks import block_slices, into_blocks
-from pairmill.llm.common import row_key, text_or_empty
+from pairmill.llm.common import digest128, row_key, text_or_empty
 from pairmill.llm.components import components
 from pairmill.session import freeze
 
@@ -36,6 +35,10 @@ SIMILARITY = 0.8
 # Word counts are kept in this many bins, each up to 255.
 BINS = 256
 SEED = 4
+# Rounds in which each text meets one other before what is still open is compared in full.
+STAR_ROUNDS = 2
+# A character that is not white space for str.split().
+WORD = r"(?U)[^\s\x1c-\x1f]"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,33 +141,40 @@ def similar(a: Sequence, b: Sequence, similarity: float = SIMILARITY) -> bool:
     return band_distance(a, b, limit) <= limit
 
 
-def sketch_table(keyed: DataFrame) -> DataFrame:
-    """(key, node, n_words, counts, buckets) of the rows (key, text) whose text has words."""
+def sketch_table(named: DataFrame) -> DataFrame:
+    """(node, n_words, counts, buckets) of the rows (node, text) whose text has words."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, nodes, sizes, counts, buckets = [], [], [], [], []
-            for key, text in zip(batch.column(0), batch.column(1)):
-                text = text.as_py()
-                words = text.split()
+            nodes, sizes, counts, buckets = [], [], [], []
+            for node, text in zip(batch.column(0), batch.column(1)):
+                words = text.as_py().split()
                 if not words:
                     continue
                 hashes = word_hashes(words)
-                keys.append(key.as_py())
-                nodes.append(hashlib.blake2b(text.encode(), digest_size=16).digest())
+                nodes.append(node.as_py())
                 sizes.append(len(words))
                 bins = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=BINS)
                 counts.append(np.minimum(bins, 255).astype(np.uint8).tobytes())
                 buckets.append(np.unique(sketches(kmers(hashes))))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(keys, pa.string()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()),
-                    pa.array(counts, pa.binary()), pa.array(buckets, pa.list_(pa.int64())),
+                    pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(counts, pa.binary()),
+                    pa.array(buckets, pa.list_(pa.int64())),
                 ],
-                ["key", "node", "n_words", "counts", "buckets"],
+                ["node", "n_words", "counts", "buckets"],
             )
 
-    return keyed.mapInArrow(sketch, "key string, node binary, n_words int, counts binary, buckets array<long>")
+    return named.mapInArrow(sketch, "node binary, n_words int, counts binary, buckets array<long>")
+
+
+def _stars(labelled: DataFrame) -> DataFrame:
+    """One pair (a, b) for each node that shares a bucket with a smaller class: the smallest such a."""
+    least = labelled.groupBy("bucket").agg(F.min(F.struct("component", "node")).alias("first"))
+    met = labelled.join(least, "bucket").filter(F.col("component") != F.col("first.component"))
+    return met.groupBy(F.col("node").alias("b")).agg(F.min("first.node").alias("a")).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    ).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -199,28 +209,37 @@ def near_classes(
     own class and kept. Other columns are left out. An empty table gives an empty one. Runs jobs when called.
     """
     keyed = df.select(row_key(id_col, text).alias("key"), F.col(id_col).alias("id"), text_or_empty(text).alias("text"))
-    sketched = freeze(sketch_table(keyed.select("key", "text")))
-    first = F.min("key").alias("key"), F.first("n_words").alias("n_words"), F.first("counts").alias("counts")
-    nodes = sketched.groupBy("node").agg(*first, F.first("buckets").alias("buckets"))
-    nodes = freeze(nodes)
+    keyed = keyed.withColumn("node", digest128(F.col("text")))
+    sketched = sketch_table(keyed.select("node", "text")).groupBy("node")
+    nodes = freeze(sketched.agg(*(F.first(c).alias(c) for c in ("n_words", "counts", "buckets"))))
     placed = nodes.select("node", "n_words", F.explode("buckets").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    members = freeze(placed.join(shared, "bucket"))
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = freeze(placed.join(shared.select("bucket"), "bucket"))
 
-    needed = members.select("node").distinct().join(nodes.select("node", "key"), "node")
+    # One row of each text that shares a bucket: its smallest key stands for it.
+    needed = keyed.select("node", "key").join(members.select("node").distinct(), "node")
+    needed = needed.groupBy("node").agg(F.min("key").alias("key"))
     texts = keyed.select("key", "text").join(needed, "key").groupBy("node").agg(F.first("text").alias("text"))
     texts = freeze(texts)
-    pairs = members.filter("node != a").select("a", F.col("node").alias("b")).distinct()
-    links = freeze(_verified(pairs, texts, similarity))
-    found = freeze(components(links))
+
+    labelled = members.withColumn("component", F.col("node"))
+    links = tested = found = None
+    for _ in range(STAR_ROUNDS):
+        pairs = _stars(labelled)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = freeze(pairs)
+        more = freeze(_verified(pairs, texts, similarity))
+        links, tested = (more, pairs) if links is None else (links.union(more), tested.union(pairs))
+        found = freeze(components(links))
+        labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     # Buckets in which classes still differ.
-    labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = labelled.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")
     )
-    open_ = freeze(open_.filter("low != high and n > 2").select("bucket", "n"))
-    dealt = into_blocks(labelled.select("bucket", "node", "a", "n_words", "component"), open_, "bucket", "node")
+    open_ = freeze(open_.filter("low != high").select("bucket", "n"))
+    dealt = into_blocks(labelled.select("bucket", "node", "n_words", "component"), open_, "bucket", "node")
     dealt = dealt.join(nodes.select("node", "counts"), "node")
 
     def candidates(table: pa.Table) -> pa.Table:
@@ -228,15 +247,13 @@ def near_classes(
         key, lo, hi, piece, size = (table.column(c).to_numpy() for c in ("bucket", "lo", "hi", "piece", "n_words"))
         _, label = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)
         order = np.argsort(np.argsort(np.array(names.to_pylist(), dtype=object), kind="stable"), kind="stable")
-        leads = np.array([x == y for x, y in zip(names.to_pylist(), table.column("a").to_pylist())], dtype=bool)
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, BINS)
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for inside in block_slices(key, lo, hi):
             cross = lo[inside[0]] != hi[inside[0]]
             for i, row in enumerate(inside):
-                # The first of the bucket has met all others already.
                 others = inside[i + 1 :]
-                others = others[(label[others] != label[row]) & ~leads[others]] if not leads[row] else others[:0]
+                others = others[label[others] != label[row]]
                 if cross:
                     others = others[piece[others] != piece[row]]
                 longer = np.maximum(size[others], size[row])
@@ -255,12 +272,14 @@ def near_classes(
         return pa.table({"a": names.take(pa.array(a)), "b": names.take(pa.array(b))})
 
     more = dealt.groupBy("bin").applyInArrow(candidates, "a binary, b binary").distinct()
+    more = more.join(tested, ["a", "b"], "left_anti")
     more = freeze(_verified(more, texts, similarity))
     if not more.isEmpty():
         found = freeze(components(links.union(more)))
 
-    rows = keyed.select("key", "id").join(sketched.select("key", "node").distinct(), "key", "left")
-    rows = rows.join(found, "node", "left").withColumn("_class", F.coalesce("component", "node"))
+    node = F.when(F.col("text").rlike(WORD), F.col("node"))
+    rows = keyed.select("key", "id", node.alias("node")).join(found, "node", "left")
+    rows = rows.withColumn("_class", F.coalesce("component", "node"))
     rows = freeze(rows.select("key", "id", "_class"))
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key"))
     best = rows.filter("_class is not null").groupBy("_class").agg(F.min(order).alias("best"))
@@ -283,7 +302,7 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     if again.isEmpty():
         return kept.drop("_key")
     # Rows that are there twice or more, with an id or a text in common.
-    wordless = ~text_or_empty(text).rlike(r"(?U)[^\s\x1c-\x1f]")
+    wordless = ~text_or_empty(text).rlike(WORD)
     single = kept.join(again.withColumnRenamed("key", "_key"), "_key", "left_anti")
     twice = kept.join(again.withColumnRenamed("key", "_key"), "_key", "left_semi")
     twice = twice.filter(wordless).unionByName(twice.filter(~wordless).dropDuplicates(["_key"]))

@@ -123,7 +123,7 @@ def op6_hash_tree(spark, sf):
 @query
 def op8_weak_quality(spark, sf):
     """Base features and verdict of every document."""
-    return judge(table(spark, sf, "documents")).select(
+    return judge(table(spark, sf, "documents"), carry=["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("p_good", 6).alias("p_good"),
     )

@@ -16,10 +16,15 @@ from pyspark.sql import functions as F
 
 from pairmill.llm.common import text_or_empty
 from pairmill.operators.columns import compute_once
+from pairmill.session import freeze
 
 # Fixed values of the base features.
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
+FEATURES = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_shouts", "n_ends",
+    "n_letters", "n_bare",
+)
 # Above this product of windows and repeated windows, positions are found by sorting instead of by look-up.
 LOOK_UP = 50_000_000
 
@@ -167,16 +172,27 @@ def posterior(votes: Sequence[int], evidence: Sequence[Mapping[int, float]], sta
     return 1 / (1 + math.exp(-odds)) if odds > -700 else 0.0
 
 
-def judge(df: DataFrame, text: str = "text", rules: Mapping[str, Column] | None = None, keep: float = 0.5) -> DataFrame:
+def judge(
+    df: DataFrame,
+    text: str = "text",
+    rules: Mapping[str, Column] | None = None,
+    keep: float = 0.5,
+    carry: Sequence[str] | None = None,
+) -> DataFrame:
     """Add the features, ``base_failed``, ``p_good`` and ``kept``.
 
     ``base_failed``: under 50 words, or more than half of the words in repeated runs. ``kept``: not failed, and the
     posterior probability of being good is at least ``keep``. Accuracies are estimated on the documents that did not
     fail. Repeated rows get the same verdict; NULL and empty texts fail; an empty table gives an empty one. Columns of
     the input that carry a name of these are replaced. Runs one aggregate over all documents when called.
+
+    With ``carry`` only those columns of the input stay (not the text); features are then computed once and written to the
+    checkpoint folder, else once for the estimate and once for the result.
     """
     rules = dict(rules or default_rules())
     df = features(df, text)
+    if carry is not None:
+        df = freeze(df.select(*carry, *FEATURES))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     names = [f"_vote_{i}" for i in range(len(rules))]
     df = compute_once(df, base_failed=failed, **dict(zip(names, rules.values())))
