@@ -19,7 +19,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairmill.llm.blocks import block_slices, into_blocks
@@ -37,6 +37,8 @@ BINS = 256
 SEED = 4
 # Rounds in which each text meets one other before what is still open is compared in full.
 STAR_ROUNDS = 2
+# Pairs that one tile of the full comparison holds on average.
+TILE_PAIRS = 500
 # A character that is not white space for str.split().
 WORD = r"(?U)[^\s\x1c-\x1f]"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -197,6 +199,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return met.mapInArrow(verify, "a binary, b binary")
 
 
+def _verified_in_tiles(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """As :func:`_verified`, for texts that stand in many pairs: pairs are dealt into tiles by a hash of either side, and a
+    text travels once to each tile that needs it, never more often than pairs name it."""
+    tiles = max(1, round((pairs.count() / TILE_PAIRS) ** 0.5))
+    placed = pairs.withColumn("tile", _tile("a", tiles) * tiles + _tile("b", tiles))
+    wanted = placed.select(F.col("tile").alias("at"), F.col("a").alias("node")).union(placed.select("tile", "b")).distinct()
+    wanted = wanted.join(texts, "node")
+
+    def verify(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        words = {n.as_py(): t.as_py().split() for n, t in zip(texts.column("node"), texts.column("text"))}
+        keep = [
+            similar(words[a], words[b], similarity)
+            for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())
+        ]
+        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return placed.groupBy("tile").cogroup(wanted.groupBy("at")).applyInArrow(verify, "a binary, b binary")
+
+
+def _tile(node: str, tiles: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("tile"), node), F.lit(tiles))
+
+
 def near_classes(
     df: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY
 ) -> DataFrame:
@@ -273,7 +298,7 @@ def near_classes(
 
     more = dealt.groupBy("bin").applyInArrow(candidates, "a binary, b binary").distinct()
     more = more.join(tested, ["a", "b"], "left_anti")
-    more = freeze(_verified(more, texts, similarity))
+    more = freeze(_verified_in_tiles(freeze(more), texts, similarity))
     if not more.isEmpty():
         found = freeze(components(links.union(more)))
 
