@@ -323,12 +323,12 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     judged = near_classes(df, id_col, text, similarity)
     gone = freeze(judged.filter(~F.col("kept")).select("key").distinct())
     again = freeze(judged.filter("kept").groupBy("key").count().filter("count > 1").select("key"))
-    kept = df.withColumn("_key", row_key(id_col, text)).join(gone.withColumnRenamed("key", "_key"), "_key", "left_anti")
+    kept = df.withColumn("__pm_key", row_key(id_col, text)).join(gone.withColumnRenamed("key", "__pm_key"), "__pm_key", "left_anti")
     if again.isEmpty():
-        return kept.drop("_key")
+        return kept.drop("__pm_key")
     # Rows that are there twice or more, with an id or a text in common.
     wordless = ~text_or_empty(text).rlike(WORD)
-    single = kept.join(again.withColumnRenamed("key", "_key"), "_key", "left_anti")
-    twice = kept.join(again.withColumnRenamed("key", "_key"), "_key", "left_semi")
-    twice = twice.filter(wordless).unionByName(twice.filter(~wordless).dropDuplicates(["_key"]))
-    return single.unionByName(twice).drop("_key")
+    single = kept.join(again.withColumnRenamed("key", "__pm_key"), "__pm_key", "left_anti")
+    twice = kept.join(again.withColumnRenamed("key", "__pm_key"), "__pm_key", "left_semi")
+    twice = twice.filter(wordless).unionByName(twice.filter(~wordless).dropDuplicates(["__pm_key"]))
+    return single.unionByName(twice).drop("__pm_key")

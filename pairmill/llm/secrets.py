@@ -49,7 +49,7 @@ MORE_RULES = (
 PLACEHOLDER = "[SECRET]"
 
 
-def candidates(keyed: DataFrame, rules: Sequence[Rule], key: str = "_key", text: str = "text") -> DataFrame:
+def candidates(keyed: DataFrame, rules: Sequence[Rule], key: str = "__pm_key", text: str = "text") -> DataFrame:
     """(key, rules): names of the indexed rules whose trigram query a row fulfils. Rows without any are left out."""
     spark = keyed.sparkSession
     lines = [
@@ -61,12 +61,12 @@ def candidates(keyed: DataFrame, rules: Sequence[Rule], key: str = "_key", text:
     # As many rows as the rules have trigrams.
     wanted = spark.createDataFrame(lines, "rule string, part string, gram string, of long")
     grams = F.array(*(F.lit(g) for g in sorted({line[2] for line in lines})))
-    folded = compute_once(keyed.select(key, text), _low=F.lower(text_or_empty(text))).drop(text)
-    present = F.filter(grams, lambda g: F.contains(F.col("_low"), g))
+    folded = compute_once(keyed.select(key, text), __pm_low=F.lower(text_or_empty(text))).drop(text)
+    present = F.filter(grams, lambda g: F.contains(F.col("__pm_low"), g))
     postings = folded.select(key, F.explode(present).alias("gram"))
     met = postings.join(F.broadcast(wanted), "gram").groupBy(key, "rule", "part", "of")
     whole = met.agg(F.count_distinct("gram").alias("n")).filter("n = of")
-    return whole.groupBy(key).agg(F.collect_set("rule").alias("_rules"))
+    return whole.groupBy(key).agg(F.collect_set("rule").alias("__pm_rules"))
 
 
 def match_spans(text: Column, rule: Rule, order: int) -> Column:
@@ -104,17 +104,17 @@ def find_secrets(
     indexed = [r for r in rules if trigram_query(r.pattern) != ANY]
     # Two rows of one key only share their candidates, and verification decides.
     columns = [F.col(c) for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
-    keyed = df.withColumn("_key", F.xxhash64(*columns))
-    joined = keyed.join(candidates(keyed, indexed, "_key", text), "_key", "left") if indexed else keyed
+    keyed = df.withColumn("__pm_key", F.xxhash64(*columns))
+    joined = keyed.join(candidates(keyed, indexed, "__pm_key", text), "__pm_key", "left") if indexed else keyed
     found = []
     for order, rule in enumerate(rules):
         spans = match_spans(text_or_empty(text), rule, order)
         if rule in indexed:
-            met = F.coalesce(F.array_contains("_rules", rule.kind), F.lit(False))
+            met = F.coalesce(F.array_contains("__pm_rules", rule.kind), F.lit(False))
             spans = F.when(met, spans).otherwise(F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>"))
         found.append(spans)
     spans = F.array_sort(F.flatten(F.array(*found)))
-    return compute_once(joined, **{name: spans}).drop("_key", "_rules")
+    return compute_once(joined, **{name: spans}).drop("__pm_key", "__pm_rules")
 
 
 def span_list(spans: Column) -> Column:

@@ -63,8 +63,8 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
     t = text_or_empty(text)
     df = compute_once(
         df,
-        _words=F.array_remove(F.split(t, SPACE), ""),
-        _lines=F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
+        __pm_words=F.array_remove(F.split(t, SPACE), ""),
+        __pm_lines=F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
         n_symbols=F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
         n_capitals=F.regexp_count(t, F.lit("[A-Z]")).cast("long"),
         n_shouts=F.regexp_count(t, F.lit("!!")).cast("long"),
@@ -75,21 +75,21 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
     df = compute_once(
         df.withColumns(
             {
-                "n_lines": F.size("_lines").cast("long"),
-                "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+                "n_lines": F.size("__pm_lines").cast("long"),
+                "n_dup_lines": (F.size("__pm_lines") - F.size(F.array_distinct("__pm_lines"))).cast("long"),
             }
-        ).drop("_lines"),
-        n_words=F.size("_words").cast("long"),
-        word_chars=F.length(F.array_join("_words", "")).cast("long"),
-        _windows=_windows(F.col("_words")),
-    ).drop("_words")
-    df = compute_once(df, _sorted=F.sort_array("_windows"))
-    twice = F.filter("_sorted", lambda x, i: F.get(F.col("_sorted"), i + 1) == x)
-    df = compute_once(df, _repeated=F.array_distinct(twice)).drop("_sorted")
-    df = compute_once(df, _at=_repeated_positions(F.col("_windows"), F.col("_repeated"))).drop("_windows", "_repeated")
-    covered = F.transform("_at", lambda p, k: F.least(F.lit(3), F.coalesce(F.get(F.col("_at"), k + 1) - p, F.lit(3))))
+        ).drop("__pm_lines"),
+        n_words=F.size("__pm_words").cast("long"),
+        word_chars=F.length(F.array_join("__pm_words", "")).cast("long"),
+        __pm_windows=_windows(F.col("__pm_words")),
+    ).drop("__pm_words")
+    df = compute_once(df, __pm_sorted=F.sort_array("__pm_windows"))
+    twice = F.filter("__pm_sorted", lambda x, i: F.get(F.col("__pm_sorted"), i + 1) == x)
+    df = compute_once(df, __pm_repeated=F.array_distinct(twice)).drop("__pm_sorted")
+    df = compute_once(df, __pm_at=_repeated_positions(F.col("__pm_windows"), F.col("__pm_repeated"))).drop("__pm_windows", "__pm_repeated")
+    covered = F.transform("__pm_at", lambda p, k: F.least(F.lit(3), F.coalesce(F.get(F.col("__pm_at"), k + 1) - p, F.lit(3))))
     total = F.aggregate(covered, F.lit(0), lambda a, n: a + n).cast("long")
-    return df.withColumn("n_repeat_words", total).drop("_at")
+    return df.withColumn("n_repeat_words", total).drop("__pm_at")
 
 
 def _vote(bad: Column, good: Column | None = None) -> Column:
@@ -194,10 +194,10 @@ def judge(
     if carry is not None:
         df = freeze(df.select(*carry, *FEATURES))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    names = [f"_vote_{i}" for i in range(len(rules))]
+    names = [f"__pm_vote_{i}" for i in range(len(rules))]
     df = compute_once(df, base_failed=failed, **dict(zip(names, rules.values())))
-    rows = df.filter("not base_failed").groupBy(*names).agg(F.count("*").alias("_n")).collect()
-    evidence, before = estimate({tuple(r[n] for n in names): r["_n"] for r in rows}, len(rules))
+    rows = df.filter("not base_failed").groupBy(*names).agg(F.count("*").alias("__pm_n")).collect()
+    evidence, before = estimate({tuple(r[n] for n in names): r["__pm_n"] for r in rows}, len(rules))
     odds = F.lit(before)
     for name, e in zip(names, evidence):
         odds = odds + F.when(F.col(name) < 0, e[-1]).when(F.col(name) > 0, e[1]).otherwise(0.0)
