@@ -37,20 +37,25 @@ def _windows(words: Column) -> Column:
     return F.transform(at, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
 
 
-def _repeated_positions(windows: Column, repeated: Column) -> Column:
-    """Positions of the windows that occur twice or more, ascending. Both forms give the same; the first is the faster
-    for few repeats, the second takes n log n for any number."""
+def _with_repeated_positions(df: DataFrame) -> DataFrame:
+    """Add ``__pm_at``: positions of the windows that occur twice or more, ascending. Both ways give the same; looking each
+    window up is the faster for few repeats, sorting takes n log n for any number."""
+    windows, repeated = F.col("__pm_windows"), F.col("__pm_repeated")
+    small = F.size(windows).cast("long") * F.size(repeated) <= LOOK_UP
+    pairs = F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    df = compute_once(df, __pm_placed=F.when(~small, pairs))
+    placed = F.col("__pm_placed")
+
+    def same(p: Column, k: Column) -> Column:
+        return F.coalesce(F.get(placed, k)["x"] == p["x"], F.lit(False))
+
+    twins = F.filter(placed, lambda p, k: same(p, k + 1) | ((k > 0) & same(p, k - 1)))
+    by_sort = F.sort_array(F.transform(twins, lambda p: p["i"]))
     at = F.sequence(F.lit(0), F.size(windows) - 1)
     by_look_up = F.filter(at, lambda i: F.array_contains(repeated, F.get(windows, i)))
-    placed = F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-    twins = F.filter(
-        placed,
-        lambda p, k: F.coalesce(F.get(placed, k + 1)["x"] == p["x"], F.lit(False))
-        | F.coalesce(F.get(placed, F.when(k > 0, k - 1).otherwise(F.size(placed)))["x"] == p["x"], F.lit(False)),
-    )
-    by_sort = F.sort_array(F.transform(twins, lambda p: p["i"]))
-    small = F.size(windows).cast("long") * F.size(repeated) <= LOOK_UP
-    return F.when(F.size(repeated) == 0, F.array().cast("array<int>")).when(small, by_look_up).otherwise(by_sort)
+    none = F.array().cast("array<int>")
+    found = F.when(F.size(repeated) == 0, none).when(small, by_look_up).otherwise(by_sort)
+    return compute_once(df, __pm_at=found).drop("__pm_windows", "__pm_repeated", "__pm_placed")
 
 
 def features(df: DataFrame, text: str = "text") -> DataFrame:
@@ -86,7 +91,7 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
     df = compute_once(df, __pm_sorted=F.sort_array("__pm_windows"))
     twice = F.filter("__pm_sorted", lambda x, i: F.get(F.col("__pm_sorted"), i + 1) == x)
     df = compute_once(df, __pm_repeated=F.array_distinct(twice)).drop("__pm_sorted")
-    df = compute_once(df, __pm_at=_repeated_positions(F.col("__pm_windows"), F.col("__pm_repeated"))).drop("__pm_windows", "__pm_repeated")
+    df = _with_repeated_positions(df)
     covered = F.transform("__pm_at", lambda p, k: F.least(F.lit(3), F.coalesce(F.get(F.col("__pm_at"), k + 1) - p, F.lit(3))))
     total = F.aggregate(covered, F.lit(0), lambda a, n: a + n).cast("long")
     return df.withColumn("n_repeat_words", total).drop("__pm_at")

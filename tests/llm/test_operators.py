@@ -195,7 +195,10 @@ def test_quality_features(spark, monkeypatch, look_up):
 
 def test_quality_verdicts(spark):
     junk = [(100 + i, " ".join(f"w{i}{j}***" for j in range(80))) for i in range(20)]
-    good = [(i, " ".join(f"Words of text {i} come here." for i in range(i, i + 30))) for i in range(80)]
+    def sentence():
+        return " ".join("".join(RNG.choice("abcdefgh") for _ in range(RNG.randrange(2, 9))) for _ in range(9)) + "."
+
+    good = [(i, " ".join(sentence() for _ in range(12))) for i in range(80)]
     df = spark.createDataFrame(junk + good, "doc_id long, text string")
     kept = {r.doc_id for r in weak_quality.judge(df).filter("kept").collect()}
     assert kept == {i for i, _ in good}
