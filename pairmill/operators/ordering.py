@@ -50,7 +50,7 @@ def global_row_number(df: DataFrame, order: Sequence[str | Column], name: str =
 def with_batch(df: DataFrame, n: int, order: Sequence[str | Column], name: str = "batch") -> DataFrame:
     """Number consecutive groups of ``n`` rows, starting at 0."""
     numbered = global_row_number(df, order, "_row")
-    return numbered.withColumn(name, F.floor((F.col("_row") - 1) / n)).drop("_row")
+    return numbered.withColumn(name, F.expr(f"(_row - 1) div {int(n)}")).drop("_row")
 
 
 def batch_requests(df: DataFrame, id_col: str, n: int = 50) -> DataFrame:

@@ -56,7 +56,8 @@ def append_articles_jsonl(df: DataFrame, path: str) -> None:
 
 def with_bucket(df: DataFrame, id_col: str = "id", width: int = 10_000) -> DataFrame:
     """Add the first id of the row's bucket of ``width`` ids."""
-    return df.withColumn("bucket", F.floor(F.col(id_col) / width) * width)
+    # Whole-number arithmetic: ids beyond 2^53 would not survive a division.
+    return df.withColumn("bucket", F.col(id_col) - F.pmod(F.col(id_col), F.lit(width)))
 
 
 def write_bucketed(df: DataFrame, path: str, id_col: str = "id", width: int = 10_000) -> None:

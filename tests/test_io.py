@@ -113,3 +113,11 @@ def test_snapshots(spark, tmp_path):
     st.snapshot_stream(stream, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
     back = spark.read.schema("url string, text string, batch int").json(str(tmp_path / "out"))
     assert sorted((r.batch, r.url) for r in back.collect()) == [(0, "u1"), (1, "u3")]
+
+
+def test_buckets_of_large_ids(spark):
+    from pairmill.sources.files import with_bucket
+
+    df = spark.createDataFrame([(9007199254740993,), (-1,), (0,)], "id long")
+    assert [r.bucket for r in with_bucket(df, "id", 1).collect()] == [9007199254740993, -1, 0]
+    assert [r.bucket for r in with_bucket(df, "id", 10).collect()] == [9007199254740990, -10, 0]
