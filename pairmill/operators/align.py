@@ -53,8 +53,8 @@ def align_best(
     piece_rows: int = 16_384,
 ) -> DataFrame:
     """(left_id, right_id, score): the best right row of each left row, where the unrounded cosine reaches
-    ``threshold``; the score is rounded to three digits. A right row may serve many left rows. A zero vector has
-    cosine 0 with everything. Runs small jobs when called."""
+    ``threshold``; the score is rounded to three digits. A right row may serve many left rows. Left rows need no unique
+    id: each gets its own match. A zero vector has cosine 0 with everything. Runs small jobs when called."""
     left = left.select(F.col(id_col).alias("left_id"), F.col(vec).alias("vec"))
     right = right.select(F.col(id_col).alias("right_id"), F.col(vec).alias("vec"))
     # Copies of a vector tie, and ties go to the lowest id, so one row per distinct vector is enough.
@@ -100,8 +100,8 @@ def _match_rings(
     left: DataFrame, right: DataFrame, threshold: float, pivots: int, rings: int, piece_rows: int
 ) -> DataFrame:
     spark = left.sparkSession
-    # Read twice below; a model may stand behind the vectors.
-    left = freeze(left)
+    # Read twice below; a model may stand behind the vectors. Rows are told apart by number, as ids may repeat.
+    left = freeze(left.withColumn("row", F.monotonically_increasing_id()))
     # A fixed number of pivots, drawn in hash order. Any choice is exact; it only decides how much is pruned.
     drawn = right.orderBy(F.md5(F.col("right_id").cast("string").cast("binary")), "right_id").limit(pivots)
     centres = spark.sparkContext.broadcast(unit_rows(drawn.toPandas()["vec"]))
@@ -111,7 +111,7 @@ def _match_rings(
     def angles(vectors) -> np.ndarray:
         return np.arccos(np.clip(unit_rows(vectors) @ centres.value.T, -1.0, 1.0))
 
-    id_type = right.schema["right_id"].dataType.simpleString()
+    id_type, right_vec = (right.schema[c].dataType.simpleString() for c in ("right_id", "vec"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -125,7 +125,7 @@ def _match_rings(
                 {"cell": nearest * rings + ring, "angle": angle, "right_id": batch["right_id"], "vec": batch["vec"]}
             )
 
-    placed = freeze(right.mapInPandas(place, f"cell long, angle double, right_id {id_type}, vec array<float>"))
+    placed = freeze(right.mapInPandas(place, f"cell long, angle double, right_id {id_type}, vec {right_vec}"))
     # At most pivots * rings lines.
     cells = (
         placed.groupBy("cell")
@@ -150,7 +150,7 @@ def _match_rings(
     visits = dict(visits.toPandas().itertuples(index=False))
     right_pieces = {c: -(-n // piece_rows) for c, n in zip(number.tolist(), cells["n"].tolist())}
     left_pieces = {c: -(-visits.get(c, 0) // piece_rows) for c in number.tolist()}
-    left_type = left.schema["left_id"].dataType.simpleString()
+    left_type, left_vec = (left.schema[c].dataType.simpleString() for c in ("left_id", "vec"))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -161,6 +161,7 @@ def _match_rings(
                 yield pd.DataFrame(
                     {
                         "cell": number[hit],
+                        "row": part["row"].to_numpy()[row],
                         "left_id": part["left_id"].to_numpy()[row],
                         "vec": part["vec"].to_numpy()[row],
                     }
@@ -169,13 +170,14 @@ def _match_rings(
     sizes = spark.createDataFrame(
         [(c, right_pieces[c], left_pieces[c]) for c in number.tolist()], "cell long, of_right long, of_left long"
     )
-    visitors = left.mapInPandas(visit, f"cell long, left_id {left_type}, vec array<float>")
+    visitors = left.mapInPandas(visit, f"cell long, row long, left_id {left_type}, vec {left_vec}")
     # Cell sizes are bounded by pivots * rings lines. Every left piece meets every right piece of its cell once.
     visitors = visitors.join(F.broadcast(sizes), "cell").select(
         "cell",
+        "row",
         "left_id",
         "vec",
-        F.pmod(F.xxhash64("left_id"), "of_left").alias("left_piece"),
+        F.pmod(F.xxhash64("row"), "of_left").alias("left_piece"),
         F.explode(F.sequence(F.lit(0), F.col("of_right") - 1)).alias("right_piece"),
     )
     residents = placed.join(F.broadcast(sizes), "cell").filter("of_left > 0").select(
@@ -189,17 +191,17 @@ def _match_rings(
 
     def meet(lefts: pd.DataFrame, rights: pd.DataFrame) -> pd.DataFrame:
         if lefts.empty or rights.empty:
-            return pd.DataFrame({"left_id": [], "right_id": [], "score": []})
+            return pd.DataFrame({"row": [], "left_id": [], "right_id": [], "score": []})
         rights = rights.sort_values("right_id")
         at, score = _best_rows(unit_rows(lefts["vec"]), unit_rows(rights["vec"]))
         hit = score >= threshold
-        return pd.DataFrame(
-            {"left_id": lefts["left_id"][hit], "right_id": rights["right_id"].to_numpy()[at[hit]], "score": score[hit]}
-        )
+        hits = lefts.loc[hit, ["row", "left_id"]]
+        return hits.assign(right_id=rights["right_id"].to_numpy()[at[hit]], score=score[hit])
 
-    met = visitors.groupBy(*keys).cogroup(residents.groupBy(*keys)).applyInPandas(meet, _schema(left, right))
+    schema = T.StructType([T.StructField("row", T.LongType()), *_schema(left, right)])
+    met = visitors.groupBy(*keys).cogroup(residents.groupBy(*keys)).applyInPandas(meet, schema)
     best = F.min(F.struct((-F.round("score", TIE_DIGITS)).alias("rank"), F.col("right_id"), F.col("score")))
-    return met.groupBy("left_id").agg(best.alias("best")).select("left_id", "best.right_id", "best.score")
+    return met.groupBy("row", "left_id").agg(best.alias("best")).select("left_id", "best.right_id", "best.score")
 
 
 def attach_matches(

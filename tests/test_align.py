@@ -79,3 +79,21 @@ def test_attach_keeps_reused_right_rows(spark):
     matches = spark.createDataFrame([(1, 5, 0.9), (2, 5, 0.95)], "left_id long, right_id long, score double")
     side = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (5, "c", "z")], "id long, title string, text string")
     assert attach_matches(matches, side, side).count() == 2
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_doubles_and_repeated_left_ids(spark, form):
+    """Cosines within 1e-8 of the threshold, two left rows for each id."""
+    rng = np.random.default_rng(7)
+    right = np.linalg.qr(rng.normal(size=(40, 40)))[0][:20]
+    cosines = 0.85 + rng.uniform(-1e-8, 1e-8, 200)
+    other = np.linalg.qr(np.vstack([right, rng.normal(size=(20, 40))]).T)[0].T[20]
+    left = cosines[:, None] * right[rng.integers(0, 20, 200)] + np.sqrt(1 - cosines**2)[:, None] * other
+    schema = "id long, embedding array<double>"
+    a = spark.createDataFrame([(i // 2, v.tolist()) for i, v in enumerate(left)], schema)
+    b = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(right)], schema)
+    got = align_best(a, b, threshold=0.85, **FORMS[form]).collect()
+    best = (left / np.linalg.norm(left, axis=1, keepdims=True)) @ right.T
+    want = sorted((i // 2, int(s.argmax())) for i, s in enumerate(best) if s.max() >= 0.85)
+    assert 50 < len(want) < 150
+    assert sorted((r.left_id, r.right_id) for r in got) == want
