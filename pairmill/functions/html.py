@@ -60,8 +60,8 @@ def decode_entities(c: Column) -> Column:
     )
 
     def one(piece: Column) -> Column:
-        hexadecimal = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)
-        decimal = F.regexp_extract(piece, r"^&#([0-9]{1,7});$", 1)
+        hexadecimal = F.regexp_extract(piece, r"^&#[xX]0*([0-9a-fA-F]{1,6});$", 1)
+        decimal = F.regexp_extract(piece, r"^&#0*([0-9]{1,7});$", 1)
         point = F.when(hexadecimal != "", F.upper(hexadecimal)).when(decimal != "", F.hex(decimal.cast("long")))
         number = F.conv(point, 16, 10).cast("long")
         valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)

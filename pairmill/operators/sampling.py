@@ -5,7 +5,9 @@ is needed is the key of the k-th row: a *cut*. Cuts are found on narrow (class,
 leading key digits; afterwards the wide rows are only compared with their cut. No wide row is shuffled or
 sorted, and a class holding any share of the table is spread over all its key buckets.
 
-``id_col`` must be unique. The functions run small jobs when called.
+An id that is NULL or stands in several rows cannot tell rows apart. If ``id_col`` holds such ids, rows are numbered once,
+the numbered table is written to the checkpoint folder, and the numbers are ordered by their hash instead: sizes stay exact,
+and the drawn rows are the same as long as the input is read in the same splits. The functions run small jobs when called.
 """
 
 from __future__ import annotations
@@ -22,6 +24,15 @@ from pairmill.session import freeze
 MAX_BROADCAST_CUTS = 50_000
 # Leading hex digits of the key that name a bucket: 16 ** 3 buckets per class.
 BUCKET_DIGITS = 3
+ROW = "_sampling_row"
+
+
+def _identified(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """The table and the column that names its rows: ``id_col``, or a row number where that column cannot."""
+    per_id = df.groupBy(id_col).agg(F.count("*").alias("n"))
+    if per_id.filter((F.col("n") > 1) | F.col(id_col).isNull()).isEmpty():
+        return df, id_col
+    return freeze(df.withColumn(ROW, F.monotonically_increasing_id())), ROW
 
 
 def _keyed(df: DataFrame, id_col: str, by: str | None, seed: int) -> DataFrame:
@@ -109,14 +120,18 @@ def stratified_quotas(class_counts: DataFrame, test_size: int) -> DataFrame:
 def stratified_split(
     df: DataFrame, by: str = "source", id_col: str = "doc_id", test_size: int = 2000, seed: int = 42
 ) -> DataFrame:
-    """Add ``is_test``: an exact-size test part, proportional per class of ``by``."""
+    """Add ``is_test``: an exact-size test part, proportional per class of ``by``.
+
+    Rows whose class is NULL take no part in the draw and stay in the train part.
+    """
+    df, id_col = _identified(df, id_col)
     keyed = _keyed(df, id_col, by, seed).filter(F.col("_class").isNotNull())
     buckets = _bucket_counts(keyed)
     quotas = stratified_quotas(buckets.groupBy("_class").agg(F.sum("_n").alias("n")), test_size)
     targets = quotas.select("_class", F.lit("test").alias("label"), F.col("quota").alias("rank"))
     cuts = _cuts(keyed, buckets, targets.filter("rank > 0"))
     marked = _with_cuts(df, cuts, by, ["test"]).withColumn("is_test", _within(id_col, seed, "test"))
-    return marked.drop("_cut_test")
+    return marked.drop("_cut_test", ROW)
 
 
 def nested_samples(
@@ -125,6 +140,7 @@ def nested_samples(
     """Add ``smallest_sample``: the smallest of ``sizes`` whose sample holds the row, NULL when only the
     full table does. Samples are prefixes of one order, hence nested; sizes beyond the table are skipped.
     """
+    df, id_col = _identified(df, id_col)
     keyed = _keyed(df, id_col, None, seed)
     buckets = _bucket_counts(keyed)
     sizes = sorted(sizes)
@@ -133,7 +149,7 @@ def nested_samples(
     labels = [str(n) for n in sizes]
     marked = _with_cuts(df, cuts, None, labels)
     smallest = F.coalesce(*(F.when(_within(id_col, seed, v), F.lit(int(v))) for v in labels))
-    return marked.withColumn("smallest_sample", smallest).drop(*(f"_cut_{v}" for v in labels))
+    return marked.withColumn("smallest_sample", smallest).drop(*(f"_cut_{v}" for v in labels), ROW)
 
 
 def sample_of(samples: DataFrame, n: int) -> DataFrame:
@@ -149,6 +165,7 @@ def random_split(
     seed: int = 42,
 ) -> DataFrame:
     """Add ``split``: consecutive parts of one random order, cut at floor(cumulative weight * n)."""
+    df, id_col = _identified(df, id_col)
     keyed = _keyed(df, id_col, None, seed)
     buckets = _bucket_counts(keyed)
     total = buckets.agg(F.sum("_n")).first()[0] or 0
@@ -161,4 +178,4 @@ def random_split(
     labels = list(names[:-1])
     marked = _with_cuts(df, cuts, None, labels)
     part = F.coalesce(*(F.when(_within(id_col, seed, v), F.lit(v)) for v in labels), F.lit(names[-1]))
-    return marked.withColumn("split", part).drop(*(f"_cut_{v}" for v in labels))
+    return marked.withColumn("split", part).drop(*(f"_cut_{v}" for v in labels), ROW)

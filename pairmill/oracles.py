@@ -323,6 +323,18 @@ ORACLES: dict[str, str] = {
           SELECT doc_id, row_number() OVER (ORDER BY {SAMPLE_KEY}, doc_id) AS k, count(*) OVER () AS n FROM pairs)
         SELECT doc_id, CASE WHEN k <= n * 8 // 10 THEN 'train' WHEN k <= n * 9 // 10 THEN 'val' ELSE 'test' END AS split
         FROM r""",
+    "split_sizes_any_ids": """WITH cls AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+        tot AS (SELECT sum(n)::BIGINT AS total, sum(n)::BIGINT - 60 AS train FROM cls),
+        share AS (SELECT source, n, n * train // total AS base, n * train % total AS rest, train FROM cls, tot),
+        quota AS (
+          SELECT source, n - base - CASE WHEN row_number() OVER (ORDER BY rest DESC, source)
+            <= train - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM share
+        )
+        SELECT 'train' AS split, total * 8 // 10 AS n FROM tot
+        UNION ALL SELECT 'val', total * 9 // 10 - total * 8 // 10 FROM tot
+        UNION ALL SELECT 'test', total - total * 9 // 10 FROM tot
+        UNION ALL SELECT '50', 50 UNION ALL SELECT '120', 70 UNION ALL SELECT 'rest', total - 120 FROM tot
+        UNION ALL SELECT 'test of ' || source, quota::BIGINT FROM quota WHERE quota > 0""",
     "row_ids_of_files": "SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) AS row_number FROM documents",
     "with_batch": "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 40 AS batch FROM documents",
     "batch_requests": """WITH b AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 50 AS batch FROM documents)
@@ -365,7 +377,8 @@ ORACLES: dict[str, str] = {
         md5('"' || text || '", \\') AS text_md5 FROM documents""",
     "write_bucketed": "SELECT doc_id AS id, lang, doc_id // 100 * 100 AS bucket FROM documents",
     "url_list": "SELECT url FROM pages",
-    "sitemap_urls": "SELECT page_id // 50 AS seq, url FROM pages WHERE page_id // 50 < 3 AND contains(url, '/en/')",
+    "sitemap_urls": """SELECT page_id // 50 AS seq, url FROM pages, range(CASE WHEN page_id = 50 THEN 2 ELSE 1 END)
+        WHERE page_id // 50 < 3 AND contains(url, '/en/')""",
     "explode_pages": """SELECT doc_id AS id, CASE WHEN doc_id % 7 <> 0 THEN source ELSE '' END AS title,
           'https://x.example/?id=' || doc_id AS url, md5(text) AS text_md5
         FROM documents WHERE doc_id % 11 <> 0 AND length(text) >= 400""",

@@ -206,6 +206,18 @@ def random_split(spark, sf):
     return sp.random_split(kept_pairs(spark, sf), "doc_id").drop("lang")
 
 
+@query
+def split_sizes_any_ids(spark, sf):
+    """Parts of documents under an id that is NULL in a third of the rows and repeats in the others."""
+    unsure = F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 50)
+    docs = table(spark, sf, "documents").select("doc_id", "source", unsure.alias("url"))
+    parts = sp.random_split(docs, "url").groupBy("split").agg(F.count("*").alias("n"))
+    sample = sp.nested_samples(docs, "url", [50, 120]).groupBy("smallest_sample").agg(F.count("*").alias("n"))
+    test = sp.stratified_split(docs, "source", "url", 60).filter("is_test").groupBy("source").agg(F.count("*").alias("n"))
+    sample = sample.select(F.coalesce(F.col("smallest_sample").cast("string"), F.lit("rest")).alias("split"), "n")
+    return parts.union(sample).union(test.select(F.concat(F.lit("test of "), "source").alias("split"), "n"))
+
+
 @query
 def row_ids_of_files(spark, sf):
     """Documents written as ordered JSON lines and numbered by their place in the files."""
@@ -399,9 +411,12 @@ def url_list(spark, sf):
 
 @query
 def sitemap_urls(spark, sf):
-    """Sitemaps of 50 pages each (by page id), the fourth one missing."""
+    """Sitemaps of 50 pages each (by page id), the fourth one missing; the second one holds bare ampersands and a tag that
+    is not closed, and names its first page twice."""
     pages = table(spark, sf, "pages")
-    loc = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
+    escaped = F.when(F.col("page_id").between(50, 99), F.col("url")).otherwise(F.replace("url", F.lit("&"), F.lit("&amp;")))
+    loc = F.concat(F.lit("<url><loc> "), escaped, F.lit(" </loc>"), F.when(F.col("page_id") == 50, "<b>").otherwise("</url>"))
+    loc = F.when(F.col("page_id") == 50, F.concat(loc, loc)).otherwise(loc)
     maps = pages.groupBy(F.floor(F.col("page_id") / 50).alias("seq")).agg(F.array_join(F.collect_list(loc), "").alias("locs"))
     xml = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.col("locs"), F.lit("</urlset>"))
     maps = maps.select("seq", F.when(F.col("seq") != 3, xml).alias("xml"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairmill.functions.html import decode_entities
 from pairmill.functions.text import strip
 from pairmill.sources import schemas
 
@@ -18,14 +19,18 @@ def sitemap_urls(docs: DataFrame, part: str = "/article/", order: str = "seq", x
     """Addresses in the ``loc`` elements of sitemap documents, kept when they contain ``part``; duplicates stay.
 
     Documents are numbered by ``order``; one whose content is NULL could not be fetched and ends the archive, so the
-    documents after the first such one are ignored.
+    documents after the first such one are ignored. Elements are found by their tags, so a document that is not
+    well-formed, say by a bare ``&``, gives its addresses all the same.
     """
     end = docs.filter(F.col(xml).isNull()).agg(F.min(order))
     usable = docs.filter(F.coalesce(F.col(order) < end.scalar(), F.lit(True)))
-    locs = usable.filter(F.col(xml).isNotNull()).select(
-        order, F.explode(F.xpath(F.col(xml), F.lit("//loc/text()"))).alias("url")
-    )
-    return locs.select(order, strip("url").alias("url")).filter(F.contains("url", F.lit(part)))
+    content = F.regexp_replace(F.col(xml), "(?s)<!--.*?-->", "")
+    found = F.regexp_extract_all(content, F.lit(r"(?s)<loc(?:\s[^>]*)?>(.*?)</loc\s*>"), F.lit(1))
+    locs = usable.filter(F.col(xml).isNotNull()).select(order, F.explode(found).alias("loc"))
+    locs = locs.withColumn("loc", strip("loc"))
+    literal = F.regexp_extract("loc", r"(?s)^<!\[CDATA\[(.*)\]\]>$", 1)
+    url = F.when(F.col("loc").startswith("<![CDATA["), literal).otherwise(decode_entities(F.col("loc")))
+    return locs.select(order, strip(url).alias("url")).filter(F.contains("url", F.lit(part)))
 
 
 def list_pages(listing: DataFrame, min_size: int = 500) -> DataFrame:

@@ -80,6 +80,16 @@ def test_sitemaps(spark):
     assert web.sitemap_urls(docs.filter("seq < 3")).count() == 2
 
 
+def test_broken_sitemaps(spark):
+    xml = (
+        "<urlset><url><loc>https://n.example/article/1?a=1&b=2</loc></ur><!-- <loc>/article/no</loc> -->"
+        "<url><loc><![CDATA[ https://n.example/article/2?a&amp;b ]]></loc><image:loc>/article/no</image:loc>"
+        "<url><loc>\nhttps://n.example/article/3?a&amp;b&#x0000041;</loc>"
+    )
+    got = web.sitemap_urls(spark.createDataFrame([(1, xml), (2, ""), (3, "<loc>/article/4")], "seq int, xml string"))
+    assert [r.url.removeprefix("https://n.example/article/") for r in got.collect()] == ["1?a=1&b=2", "2?a&amp;b", "3?a&bA"]
+
+
 def test_page_answers(spark):
     pages = {"1": {"missing": "", "title": "gone"}, "2": {"extract": "x" * 99}, "3": {"extract": "y" * 100}}
     df = spark.createDataFrame([(json.dumps({"query": {"pages": pages}}),), ("{}",), ("broken",)], "response string")

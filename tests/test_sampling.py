@@ -87,3 +87,30 @@ def test_cap(spark):
     df = spark.range(100).repartition(7)
     assert sorted(r.id for r in co.cap(df, 10, "id").collect()) == list(range(10))
     assert co.cap(df, 1000, "id").count() == 100
+
+
+@pytest.mark.parametrize("unsure", ["string(NULL)", "''", "CASE WHEN doc_id > 120 THEN string(doc_id) END"])
+def test_exact_sizes_for_any_ids(spark, unsure):
+    df = docs(spark, 200, by_ranges((100, "a"), (200, "b"))).withColumn("url", F.expr(unsure))
+    split = sp.stratified_split(df, id_col="url", test_size=20)
+    assert split.columns == [*df.columns, "is_test"]
+    assert Counter(r.source for r in split.filter("is_test").collect()) == {"a": 10, "b": 10}
+    parts = sp.random_split(df, "url").collect()
+    assert Counter(r.split for r in parts) == {"train": 160, "val": 20, "test": 20}
+    assert len({r.doc_id for r in parts}) == 200
+    samples = sp.nested_samples(df, "url", [50, 120, 500])
+    assert [sp.sample_of(samples, n).count() for n in (50, 120)] == [50, 120]
+
+
+def test_rows_without_class_stay_in_train(spark):
+    df = docs(spark, 60, F.when(F.col("id") % 3 != 0, "a"))
+    split = sp.stratified_split(df, test_size=10).collect()
+    assert sum(r.is_test for r in split) == 10 and len(split) == 60
+    assert not any(r.is_test for r in split if r.source is None)
+
+
+def test_file_order_counts_parts_by_number(spark, tmp_path):
+    for i, part in enumerate(("part-00002", "part-20000", "part-100000", "qart-1")):
+        (tmp_path / f"{part}-c000.json").write_text(f'{{"v": {i}}}\n')
+    lines = od.file_order(spark.read.schema("v int").json(str(tmp_path)))
+    assert [r.v for r in lines.orderBy("file_order").collect()] == [0, 1, 2, 3]
