@@ -3,17 +3,16 @@
 The k-mers of a text are its runs of five words, each labelled with its occurrence number. A sketch takes the few k-mers
 that are smallest under one hash and keeps them in text order; texts with an equal sketch share a bucket. Because order
 and repetition count, equal sketches speak for a small edit distance. Candidates are verified by a banded alignment of
-their words.
+their sequences of k-mers.
 
 Equal texts are one node. At first each node meets one other: the smallest node of any of its buckets, and, once more, the
 smallest of those of another class. After that only buckets that hold nodes of different classes are looked at again, and
 there only nodes of different classes meet. So a group of near copies gives about one pair per text, yet every pair that
-shares a bucket ends in one class or has been compared, or differs so much in word counts that it cannot be similar.
+shares a bucket ends in one class or has been compared, or has too few k-mers in common to be similar.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -28,11 +27,12 @@ from pairmill.llm.components import components
 from pairmill.session import freeze
 
 WORDS = 5
-# A pair that shares a share j of its k-mers is missed with probability (1 - j^3)^32: 1e-10 at 0.8, 0.014 at 0.5.
+# A pair with Jaccard similarity j of its k-mers is missed with probability (1 - j^3)^32: 1e-10 at 0.8, and 1e-5 at 2/3,
+# the least that texts of one length with an edit similarity of 0.8 can have.
 SKETCHES = 32
 PICKED = 3
 SIMILARITY = 0.8
-# Word counts are kept in this many bins, each up to 255.
+# Counts of k-mers are kept in this many bins, each up to 255.
 BINS = 256
 SEED = 4
 # Rounds in which each text meets one other before what is still open is compared in full.
@@ -48,13 +48,20 @@ def word_hashes(words: Sequence[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
-def kmers(hashes: np.ndarray, k: int = WORDS) -> np.ndarray:
-    """Hashes of all runs of ``k`` words with their occurrence numbers; a shorter text is one run."""
+def shingles(words: Sequence[str], k: int = WORDS) -> np.ndarray:
+    """Hashes of all runs of ``k`` words in text order; a shorter text is one run."""
+    hashes = word_hashes(words)
     n = max(1, len(hashes) - k + 1)
     runs = np.zeros(n, np.uint64)
     for i in range(min(k, len(hashes))):
         runs = (runs ^ hashes[i : i + n]) * GOLDEN
         runs ^= runs >> np.uint64(29)
+    return runs
+
+
+def labelled_kmers(runs: np.ndarray) -> np.ndarray:
+    """The runs with their occurrence numbers hashed in, so that no two of a text are equal."""
+    n = len(runs)
     order = np.argsort(runs, kind="stable")
     ordered = runs[order]
     same = ordered[1:] == ordered[:-1]
@@ -63,8 +70,11 @@ def kmers(hashes: np.ndarray, k: int = WORDS) -> np.ndarray:
         start = np.maximum.accumulate(np.where(first, np.arange(n), 0))
         occurrence = np.empty(n, np.uint64)
         occurrence[order] = (np.arange(n) - start).astype(np.uint64)
-        runs = (runs ^ (occurrence * np.uint64(0xC2B2AE3D27D4EB4F))) * GOLDEN
-        runs ^= runs >> np.uint64(31)
+        # First occurrences stay as they are, also in texts that repeat nothing.
+        again = occurrence > 0
+        mixed = (runs[again] ^ (occurrence[again] * np.uint64(0xC2B2AE3D27D4EB4F))) * GOLDEN
+        runs = runs.copy()
+        runs[again] = mixed ^ (mixed >> np.uint64(31))
     return runs
 
 
@@ -124,27 +134,40 @@ def band_distance(a: Sequence, b: Sequence, limit: int) -> int:
     return distance
 
 
-def similar(a: Sequence, b: Sequence, similarity: float = SIMILARITY) -> bool:
-    """Whether the edit distance of two word sequences is at most a share 1 - similarity of the longer one."""
-    longer = max(len(a), len(b))
-    limit = int((1 - similarity) * longer + 1e-9)
-    if abs(len(a) - len(b)) > limit:
+class Shingled:
+    """What a comparison needs of a text: its k-mers in text order, and their labelled forms sorted."""
+
+    def __init__(self, text: str):
+        runs = shingles(text.split())
+        self.runs = runs
+        self.kmers = np.sort(labelled_kmers(runs))
+
+
+def edits_allowed(longer: int | np.ndarray, similarity: float) -> np.ndarray:
+    """The most edits between similar sequences of which the longer one has ``longer`` k-mers (a number or an array)."""
+    return np.asarray((1 - similarity) * longer + 1e-9).astype(np.int64)
+
+
+def similar(a: Shingled, b: Shingled, similarity: float = SIMILARITY) -> bool:
+    """Whether the edit distance of two sequences of k-mers is at most a share 1 - similarity of the longer one."""
+    longer = max(len(a.runs), len(b.runs))
+    limit = int(edits_allowed(longer, similarity))
+    if abs(len(a.runs) - len(b.runs)) > limit:
         return False
-    counts = Counter(a)
-    counts.subtract(b)
-    # Each edit mends at most one missing and one surplus word.
-    if max(sum(n for n in counts.values() if n > 0), -sum(n for n in counts.values() if n < 0)) > limit:
+    # Every k-mer of the longer text that the other one lacks takes an edit.
+    if longer - len(np.intersect1d(a.kmers, b.kmers, assume_unique=True)) > limit:
         return False
+    left, right = a.runs.tolist(), b.runs.tolist()
     band = 16
     while band < limit:
-        if band_distance(a, b, band) <= band:
+        if band_distance(left, right, band) <= band:
             return True
         band *= 4
-    return band_distance(a, b, limit) <= limit
+    return band_distance(left, right, limit) <= limit
 
 
 def sketch_table(named: DataFrame) -> DataFrame:
-    """(node, n_words, counts, buckets) of the rows (node, text) whose text has words."""
+    """(node, n_kmers, counts, buckets) of the rows (node, text) whose text has words."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,21 +176,21 @@ def sketch_table(named: DataFrame) -> DataFrame:
                 words = text.as_py().split()
                 if not words:
                     continue
-                hashes = word_hashes(words)
+                runs = labelled_kmers(shingles(words))
                 nodes.append(node.as_py())
-                sizes.append(len(words))
-                bins = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=BINS)
+                sizes.append(len(runs))
+                bins = np.bincount((runs >> np.uint64(56)).astype(np.int64), minlength=BINS)
                 counts.append(np.minimum(bins, 255).astype(np.uint8).tobytes())
-                buckets.append(np.unique(sketches(kmers(hashes))))
+                buckets.append(np.unique(sketches(runs)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(counts, pa.binary()),
                     pa.array(buckets, pa.list_(pa.int64())),
                 ],
-                ["node", "n_words", "counts", "buckets"],
+                ["node", "n_kmers", "counts", "buckets"],
             )
 
-    return named.mapInArrow(sketch, "node binary, n_words int, counts binary, buckets array<long>")
+    return named.mapInArrow(sketch, "node binary, n_kmers int, counts binary, buckets array<long>")
 
 
 def _stars(labelled: DataFrame) -> DataFrame:
@@ -186,13 +209,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last, words = None, []
+            names, last = [None, None], [None, None]
             keep = []
-            for a, b in zip(batch.column("text_a"), batch.column("text_b")):
-                a = a.as_py()
-                if a != last:
-                    last, words = a, a.split()
-                keep.append(similar(words, b.as_py().split(), similarity))
+            for row in zip(*(batch.column(c) for c in ("a", "b", "text_a", "text_b"))):
+                for side in (0, 1):
+                    if row[side] != names[side]:
+                        names[side], last[side] = row[side], Shingled(row[side + 2].as_py())
+                keep.append(similar(*last, similarity))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -208,9 +231,9 @@ def _verified_in_tiles(pairs: DataFrame, texts: DataFrame, similarity: float) ->
     wanted = wanted.join(texts, "node")
 
     def verify(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-        words = {n.as_py(): t.as_py().split() for n, t in zip(texts.column("node"), texts.column("text"))}
+        read = {n.as_py(): Shingled(t.as_py()) for n, t in zip(texts.column("node"), texts.column("text"))}
         keep = [
-            similar(words[a], words[b], similarity)
+            similar(read[a], read[b], similarity)
             for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())
         ]
         return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -227,8 +250,9 @@ def near_classes(
 ) -> DataFrame:
     """(key, id, class_id, kept), one row per row of ``df``; ``key`` is the row's :func:`row_key`.
 
-    Rows belong to one class if their texts are equal or linked by a chain of similar texts: at most a share
-    1 - ``similarity`` of the words of the longer one has to be edited. ``class_id`` is the smallest id of the class, NULL
+    Rows belong to one class if their texts are equal or linked by a chain of similar texts: of their sequences of
+    five-word runs, at most a share 1 - ``similarity`` of the longer one has to be edited. So any two texts whose runs
+    have, in the same order, a Jaccard similarity of 0.8 belong together, and none below 2/3 are linked directly. ``class_id`` is the smallest id of the class, NULL
     if none of its rows has an id; ``kept`` marks the rows with the class's smallest key in order of (id, key), that is one
     document and its repeated rows. Rows whose text is NULL, empty or without words are compared with none: each is its
     own class and kept. Other columns are left out. An empty table gives an empty one. Runs jobs when called.
@@ -236,8 +260,8 @@ def near_classes(
     keyed = df.select(row_key(id_col, text).alias("key"), F.col(id_col).alias("id"), text_or_empty(text).alias("text"))
     keyed = keyed.withColumn("node", digest128(F.col("text")))
     sketched = sketch_table(keyed.select("node", "text")).groupBy("node")
-    nodes = freeze(sketched.agg(*(F.first(c).alias(c) for c in ("n_words", "counts", "buckets"))))
-    placed = nodes.select("node", "n_words", F.explode("buckets").alias("bucket"))
+    nodes = freeze(sketched.agg(*(F.first(c).alias(c) for c in ("n_kmers", "counts", "buckets"))))
+    placed = nodes.select("node", "n_kmers", F.explode("buckets").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = freeze(placed.join(shared.select("bucket"), "bucket"))
 
@@ -264,12 +288,12 @@ def near_classes(
         F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")
     )
     open_ = freeze(open_.filter("low != high").select("bucket", "n"))
-    dealt = into_blocks(labelled.select("bucket", "node", "n_words", "component"), open_, "bucket", "node")
+    dealt = into_blocks(labelled.select("bucket", "node", "n_kmers", "component"), open_, "bucket", "node")
     dealt = dealt.join(nodes.select("node", "counts"), "node")
 
     def candidates(table: pa.Table) -> pa.Table:
         names = table.column("node").combine_chunks()
-        key, lo, hi, piece, size = (table.column(c).to_numpy() for c in ("bucket", "lo", "hi", "piece", "n_words"))
+        key, lo, hi, piece, size = (table.column(c).to_numpy() for c in ("bucket", "lo", "hi", "piece", "n_kmers"))
         _, label = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)
         order = np.argsort(np.argsort(np.array(names.to_pylist(), dtype=object), kind="stable"), kind="stable")
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, BINS)
@@ -282,10 +306,10 @@ def near_classes(
                 if cross:
                     others = others[piece[others] != piece[row]]
                 longer = np.maximum(size[others], size[row])
-                limit = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+                limit = edits_allowed(longer, similarity)
                 others, limit, longer = (x[np.abs(size[others] - size[row]) <= limit] for x in (others, limit, longer))
                 if len(others):
-                    # Words in common by bins are at least the words in common; full bins say nothing.
+                    # K-mers in common by bins are at least the k-mers in common; full bins say nothing.
                     common = np.minimum(counts[others], counts[row]).sum(axis=1, dtype=np.int64)
                     full = ((counts[others] == 255) | (counts[row] == 255)).any(axis=1)
                     others = others[full | (longer - common <= limit)]

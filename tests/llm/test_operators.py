@@ -16,7 +16,7 @@ from pairmill.llm import elias_fano, mixing, pieces, trigrams, weak_quality
 from pairmill.llm.hash_tree import Leaf, assign_shards, even_tree, with_slots
 from pairmill.llm.id_files import read_token_ids, write_token_ids
 from pairmill.llm.lattice import near_vectors
-from pairmill.llm.order_minhash import band_distance, drop_near_copies, near_classes
+from pairmill.llm.order_minhash import Shingled, band_distance, drop_near_copies, near_classes, similar
 from pairmill.llm.piece_ids import decode_documents, encode_documents
 from pairmill.llm.queries import PIECE_MODEL, QUERIES, WORD_MODEL
 from pairmill.llm.secrets import BASE_RULES, MORE_RULES, find_secrets, redact, span_list
@@ -327,6 +327,58 @@ def test_near_classes(spark):
     assert set(kept[0].asDict()) == set(awkward(spark).columns)
 
 
+def runs_of(text):
+    words = text.split()
+    return [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+
+
+def test_similar_equals_full_alignment():
+    for _ in range(300):
+        a = [RNG.randrange(30) for _ in range(RNG.randrange(1, 60))]
+        b = list(a)
+        for _ in range(RNG.randrange(4)):
+            at = RNG.randrange(len(b) + 1)
+            b[at : at + RNG.randrange(2)] = [RNG.randrange(30)] * RNG.randrange(1, 3)
+        a, b = (" ".join(map(str, x)) for x in (a, b))
+        longer = max(len(runs_of(a)), len(runs_of(b)))
+        want = 5 * full_distance(runs_of(a), runs_of(b)) <= longer
+        assert similar(Shingled(a), Shingled(b)) == want
+
+
+def test_near_classes_equal_brute_force(spark, sf):
+    """All pairs of the documents of the smallest table, of which one in ten has one word in thirty changed besides."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    more = []
+    for i, text in rows[::10]:
+        words = (text or "").split(" ")
+        for at in range(0, len(words), 30):
+            words[at] = "other"
+        more.append((i + 1_000_000, " ".join(words)))
+    docs = spark.createDataFrame(rows + more, "doc_id long, text string")
+    ids = {r.doc_id: runs_of(r.text) for r in docs.collect() if (r.text or "").split()}
+    sets = {i: collections.Counter(x) for i, x in ids.items()}
+    parent = {i: i for i in ids}
+
+    def top(i):
+        return i if parent[i] == i else top(parent[i])
+
+    order = sorted(ids)
+    for n, a in enumerate(order):
+        for b in order[n + 1 :]:
+            longer = max(len(ids[a]), len(ids[b]))
+            if 5 * abs(len(ids[a]) - len(ids[b])) > longer or 5 * (longer - (sets[a] & sets[b]).total()) > longer:
+                continue
+            numbers = {}
+            x, y = ([numbers.setdefault(g, len(numbers)) for g in ids[i]] for i in (a, b))
+            if 5 * band_distance(x, y, longer // 5) <= longer:
+                low, high = sorted((top(a), top(b)))
+                parent[high] = low
+    want = {r.doc_id: top(r.doc_id) if r.doc_id in ids else r.doc_id for r in docs.collect()}
+    found = near_classes(docs).collect()
+    assert {r.id: r.class_id for r in found} == want
+    assert {r.id for r in found if r.kept} == set(want.values())
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
