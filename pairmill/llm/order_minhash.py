@@ -289,7 +289,7 @@ def near_classes(
     )
     open_ = freeze(open_.filter("low != high").select("bucket", "n"))
     dealt = into_blocks(labelled.select("bucket", "node", "n_kmers", "component"), open_, "bucket", "node")
-    dealt = dealt.join(nodes.select("node", "counts"), "node")
+    dealt = dealt.join(nodes.select("node", "counts", "buckets"), "node")
 
     def candidates(table: pa.Table) -> pa.Table:
         names = table.column("node").combine_chunks()
@@ -297,6 +297,10 @@ def near_classes(
         _, label = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)
         order = np.argsort(np.argsort(np.array(names.to_pylist(), dtype=object), kind="stable"), kind="stable")
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, BINS)
+        lists = table.column("buckets").to_pylist()
+        own = np.full((len(lists), SKETCHES), np.iinfo(np.int64).max)
+        for i, numbers in enumerate(lists):
+            own[i, : len(numbers)] = numbers
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for inside in block_slices(key, lo, hi):
             cross = lo[inside[0]] != hi[inside[0]]
@@ -313,6 +317,10 @@ def near_classes(
                     common = np.minimum(counts[others], counts[row]).sum(axis=1, dtype=np.int64)
                     full = ((counts[others] == 255) | (counts[row] == 255)).any(axis=1)
                     others = others[full | (longer - common <= limit)]
+                if len(others):
+                    # Two texts of different classes meet in all buckets they share; the lowest one gives the pair.
+                    lower = own[row][own[row] < key[row]]
+                    others = others[~np.isin(own[others], lower).any(axis=1)]
                     a.append(np.full(len(others), row))
                     b.append(others)
         a, b = np.concatenate(a), np.concatenate(b)
@@ -320,7 +328,7 @@ def near_classes(
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         return pa.table({"a": names.take(pa.array(a)), "b": names.take(pa.array(b))})
 
-    more = dealt.groupBy("bin").applyInArrow(candidates, "a binary, b binary").distinct()
+    more = dealt.groupBy("bin").applyInArrow(candidates, "a binary, b binary")
     more = more.join(tested, ["a", "b"], "left_anti")
     more = freeze(_verified_in_tiles(freeze(more), texts, similarity))
     if not more.isEmpty():
