@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import pairmill  # noqa: E402
-from pairmill.llm.mixing import mix, text_form, word_weight  # noqa: E402
+from pairmill.llm.mixing import AtMost, Measured, mix, text_form, word_weight  # noqa: E402
 from pairmill.llm.order_minhash import drop_near_copies  # noqa: E402
 from pairmill.llm.piece_ids import encode_documents  # noqa: E402
 from pairmill.llm.secrets import find_secrets, redact  # noqa: E402
@@ -27,12 +27,8 @@ from pairmill.session import scratch  # noqa: E402
 cloudpickle.register_pickle_by_value(pairmill)
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
-# Shares of words; "*" stands for everything not named.
-MIX_TARGETS = {
-    "source": {"src0": 0.3, "*": 0.7},
-    "lang": {"en": 0.56, "*": 0.44},
-    "_form": {"article": 0.5, "*": 0.5},
-}
+# No source above this share of words; languages and forms keep the shares that the documents have.
+MIX_TARGETS = {"source": AtMost(0.3), "lang": Measured(), "_form": Measured()}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +53,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample in which source, language and form have their target shares of words."""
+    """A sample in which no source is above its share of words, and languages and forms keep theirs."""
     mixed = mix(docs.withColumn("_form", text_form()), MIX_TARGETS, word_weight(), name="_probability")
     return mixed.select(docs.columns)
 

@@ -12,7 +12,7 @@ from pairmill.llm.common import table, text_or_empty
 from pairmill.llm.hash_tree import assign_shards, even_tree, with_slots
 from pairmill.llm.id_files import read_token_ids, write_token_ids
 from pairmill.llm.lattice import near_vectors
-from pairmill.llm.mixing import mix, text_form, word_weight
+from pairmill.llm.mixing import AtMost, Measured, mix, text_form, word_weight
 from pairmill.llm.order_minhash import near_classes
 from pairmill.llm.piece_ids import encode_documents
 from pairmill.llm.secrets import BASE_RULES, find_secrets, span_list
@@ -86,17 +86,13 @@ def op1_secret_scan(spark, sf):
     )
 
 
-# Shares of token weight that the mixture should have; "*" stands for everything not named.
-MIX_TARGETS = {
-    "source": {"src0": 0.3, "*": 0.7},
-    "lang": {"en": 0.56, "de": 0.16, "fr": 0.16, "es": 0.12, "*": 0.001},
-    "topic": {"article": 0.5, "report": 0.46, "note": 0.013, "list": 0.027, "*": 0.001},
-}
+# No source above this share of words; languages and forms keep the shares that the table has.
+MIX_TARGETS = {"source": AtMost(0.3), "lang": Measured(), "topic": Measured()}
 
 
 @query
 def op3_source_mix(spark, sf):
-    """Documents sampled so that source, language and form have their target shares of words."""
+    """Documents sampled so that no source is above its share of words, and languages and forms keep theirs."""
     docs = table(spark, sf, "documents").withColumn("topic", text_form())
     return mix(docs, MIX_TARGETS, word_weight()).select("doc_id", "source", "lang", "topic", "probability")
 
