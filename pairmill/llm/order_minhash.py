@@ -268,7 +268,9 @@ def near_classes(
     # One row of each text that shares a bucket: its smallest key stands for it.
     needed = keyed.select("node", "key").join(members.select("node").distinct(), "node")
     needed = needed.groupBy("node").agg(F.min("key").alias("key"))
-    texts = keyed.select("key", "text").join(needed, "key").groupBy("node").agg(F.first("text").alias("text"))
+    # An id may stand beside several texts, so the key alone does not name a text.
+    texts = keyed.select("node", "key", "text").join(needed, ["node", "key"])
+    texts = texts.groupBy("node").agg(F.first("text").alias("text"))
     texts = freeze(texts)
 
     labelled = members.withColumn("component", F.col("node"))
