@@ -56,6 +56,11 @@ def digest128(c: Column) -> Column:
     return F.unhex(F.md5(c.cast("binary")))
 
 
+def digest256(c: Column) -> Column:
+    """Thirty-two bytes (SHA-256) that stand for a text or binary value."""
+    return F.unhex(F.sha2(c.cast("binary"), 256))
+
+
 def row_key(id_col: str = "doc_id", text: str = "text") -> Column:
     """A key that is never NULL: the id, or the digest of the text where the id is missing."""
     by_text = F.concat(F.lit("text:"), F.md5(text_or_empty(text).cast("binary")))

@@ -1,3 +1,10 @@
 """The queries of this folder in SQL, where SQL can express them."""
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op11_exact_dedup"] = """
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+groups AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM docs GROUP BY text)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(text) AS text_sha256
+FROM docs JOIN groups USING (text)
+"""

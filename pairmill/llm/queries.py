@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairmill.llm.common import table, text_or_empty
+from pairmill.llm.exact_dedup import exact_copies
 from pairmill.llm.hash_tree import assign_shards, even_tree, with_slots
 from pairmill.llm.id_files import read_token_ids, write_token_ids
 from pairmill.llm.lattice import near_vectors
@@ -147,3 +148,12 @@ def op4_order_minhash(spark, sf):
     """Class of every document, by similarity of texts."""
     found = near_classes(table(spark, sf, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id", "kept")
+
+
+@query
+def op11_exact_dedup(spark, sf):
+    """Group of every document among equal texts, and whether it is the one that stays."""
+    found = exact_copies(table(spark, sf, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
