@@ -59,3 +59,22 @@ def freeze(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder next to the checkpoints, on storage that all executors share."""
     return f"{checkpoint_dir(spark).rstrip('/')}/scratch-{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders made by :func:`scratch` that no result reads any more."""
+    for path in paths:
+        if "/scratch-" not in path:
+            raise ValueError(f"not a scratch folder: {path}")
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to a scratch folder and return it as read from there, with the folder.
+
+    Like :func:`freeze`, but later reads load only the columns they need, and the folder can be discarded.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
