@@ -8,3 +8,35 @@ groups AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM docs
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(text) AS text_sha256
 FROM docs JOIN groups USING (text)
 """
+
+
+def _clusters(rounds: int = 3, k: int = 16) -> str:
+    """Rounds of nearest centroids and floored means, one pair of tables each."""
+    steps = [
+        """WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))))""",
+        f"""c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS k, v FROM kept
+  QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id), v) <= {k})""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (
+  SELECT r, vec_id, kept.v, c.k, c.v AS c,
+    list_inner_product(kept.v, kept.v) - 2 * list_inner_product(kept.v, c.v) + list_inner_product(c.v, c.v) AS d
+  FROM kept, c{i} c QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c.k) = 1)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (
+  SELECT k, i, floor(sum(x) / count(*)) AS x
+  FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i}) GROUP BY k, i),
+c{i + 1} AS (
+  SELECT k, list(x ORDER BY i) AS v FROM m{i} GROUP BY k
+  UNION ALL SELECT k, v FROM c{i} WHERE k NOT IN (SELECT k FROM m{i}))""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, k::INTEGER AS cluster, d::BIGINT AS distance,
+  (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a{rounds}
+"""
+
+
+ORACLES["op12_ns_clusters"] = _clusters()

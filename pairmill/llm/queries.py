@@ -13,6 +13,7 @@ from pairmill.llm.exact_dedup import exact_copies
 from pairmill.llm.hash_tree import assign_shards, even_tree, with_slots
 from pairmill.llm.id_files import read_token_ids, write_token_ids
 from pairmill.llm.lattice import near_vectors
+from pairmill.llm.ns_clusters import cluster_vectors, with_inertia
 from pairmill.llm.mixing import AtMost, Measured, mix, text_form, word_weight
 from pairmill.llm.order_minhash import near_classes
 from pairmill.llm.piece_ids import encode_documents
@@ -157,3 +158,11 @@ def op11_exact_dedup(spark, sf):
     return found.select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
+
+
+@query
+def op12_ns_clusters(spark, sf):
+    """Cluster of every vector after three rounds, with distances and inertia."""
+    found, centroids, _ = cluster_vectors(table(spark, sf, "embeddings"))
+    named = with_inertia(found, centroids).withColumnRenamed("id", "vec_id")
+    return named.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
