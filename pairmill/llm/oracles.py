@@ -40,3 +40,24 @@ FROM a{rounds}
 
 
 ORACLES["op12_ns_clusters"] = _clusters()
+
+ORACLES["op13_hard_negatives"] = """
+WITH part AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id AS other, a.label = b.label AS same,
+    list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM part a, part b WHERE a.vec_id % 50 = 0 AND a.r <> b.r AND len(a.v) = len(b.v)),
+positives AS (
+  SELECT * FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, other, br) <= 5),
+found AS (
+  SELECT p.ar, p.br, p.anchor_id, p.other AS positive_id, n.other AS negative_id, p.score AS positive_score,
+    n.score AS negative_score, row_number() OVER (PARTITION BY p.ar, p.br ORDER BY n.score DESC, n.other, n.br) AS nth
+  FROM positives p JOIN scores n ON p.ar = n.ar AND NOT n.same
+    AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT anchor_id, positive_id, nth::INTEGER AS rank, negative_id, positive_score, negative_score FROM found WHERE nth <= 3
+"""

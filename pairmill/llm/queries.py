@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pairmill.llm.common import table, text_or_empty
 from pairmill.llm.exact_dedup import exact_copies
+from pairmill.llm.hard_negatives import mine_hard_negatives
 from pairmill.llm.hash_tree import assign_shards, even_tree, with_slots
 from pairmill.llm.id_files import read_token_ids, write_token_ids
 from pairmill.llm.lattice import near_vectors
@@ -166,3 +167,13 @@ def op12_ns_clusters(spark, sf):
     found, centroids, _ = cluster_vectors(table(spark, sf, "embeddings"))
     named = with_inertia(found, centroids).withColumnRenamed("id", "vec_id")
     return named.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@query
+def op13_hard_negatives(spark, sf):
+    """Hard negatives of every fiftieth vector; labels of every seventh are moved on by one first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    anchor = F.col("vec_id") % 50 == 0
+    return mine_hard_negatives(table(spark, sf, "embeddings"), label=moved, anchor=anchor).select(
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"
+    )
