@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 def unit_rows(vectors) -> np.ndarray:
@@ -10,5 +13,28 @@ def unit_rows(vectors) -> np.ndarray:
     rows = np.array([np.asarray(v, dtype="float64") for v in vectors])
     if rows.size == 0:
         return rows.reshape(len(rows), 0)
+    return scaled(rows)
+
+
+def scaled(rows: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(norms == 0, 1.0, norms)
+
+
+def unit_matrices(column: pa.Array | pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each vector length in a list column: the places of its vectors, and the vectors at length one."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
+    starts = np.cumsum(lengths) - lengths
+    found = {}
+    for dim in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == dim)
+        found[dim] = at, scaled(flat[starts[at][:, None] + np.arange(dim)])
+    return found
+
+
+def is_finite(vec: Column) -> Column:
+    """True for vectors that are there and hold neither NULL nor a non-finite component."""
+    odd = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce(~odd, F.lit(False))

@@ -1,43 +1,51 @@
 """Best-match alignment of two corpora on embedding vectors.
 
-Every left row takes its most cosine-similar right row when the score reaches the threshold. The result is
-exact in both forms below:
+Every left row takes its most cosine-similar right row when the score reaches the threshold. The result is exact in the
+first two forms below:
 
 * a right side whose measured size fits ``max_broadcast_bytes`` travels to every task as one matrix;
-* otherwise right vectors are assigned to the nearest of a fixed number of pivots and cut into rings by their
-  angle to it. By the triangle inequality on angles a left row at angle ``a`` to a pivot can only match rings
-  that overlap ``[a - t, a + t]``, where ``t`` is the angle of the threshold. It visits those rings and no others.
-  Rings and their visitors are cut into pieces of bounded size, so no task depends on how vectors cluster.
+* otherwise both sides are cut into blocks of bounded size, and each pair of blocks is one product in one task. The best
+  partial match of a left row is kept by an associative maximum. A left vector is sent once per right block, so copies
+  follow from sizes alone, whatever the vectors look like;
+* ``align_buckets`` compares only rows that share a bucket: the signs of some random projections, in several tables. It
+  finds a match with a probability that the caller states.
+
+Both block forms use one mechanism: cells, in which pieces of either side meet. The grid has one cell, the tables have one
+for each bucket; pieces keep a cell of any size within bounds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairmill.functions.vectors import unit_rows
-from pairmill.session import freeze
+from pairmill.functions.vectors import is_finite, unit_matrices
+from pairmill.session import stage
 
 # Scores equal to this many digits are ties; the lowest right id wins them.
 TIE_DIGITS = 9
-# Rows of left vectors multiplied at a time, which bounds the size of one product.
-SLICE = 1024
+# Cells of one product, which bounds its size.
+PRODUCT = 1 << 23
+# Lines of the table of bucket sizes, which is broadcast.
+MOST_BUCKETS = 1 << 20
 
 
 def _best_rows(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each left row the position of its best right row (first among ties) and the cosine."""
     at = np.empty(len(left), dtype="int64")
     score = np.empty(len(left), dtype="float64")
-    for start in range(0, len(left), SLICE):
-        cosines = left[start : start + SLICE] @ right.T
+    step = max(1, PRODUCT // max(1, len(right)))
+    for start in range(0, len(left), step):
+        cosines = left[start : start + step] @ right.T
         best = np.round(cosines, TIE_DIGITS).argmax(axis=1)
-        at[start : start + SLICE] = best
-        score[start : start + SLICE] = cosines[np.arange(len(best)), best]
+        at[start : start + step] = best
+        score[start : start + step] = cosines[np.arange(len(best)), best]
     return at, score
 
 
@@ -48,158 +56,194 @@ def align_best(
     vec: str = "embedding",
     threshold: float = 0.85,
     max_broadcast_bytes: int = 64 << 20,
-    pivots: int = 256,
-    rings: int = 16,
-    piece_rows: int = 16_384,
+    block_bytes: int = 64 << 20,
 ) -> DataFrame:
     """(left_id, right_id, score): the best right row of each left row, where the unrounded cosine reaches
     ``threshold``; the score is rounded to three digits. A right row may serve many left rows. Left rows need no unique
-    id: each gets its own match. A zero vector has cosine 0 with everything. Runs small jobs when called."""
-    left = left.select(F.col(id_col).alias("left_id"), F.col(vec).alias("vec"))
-    right = right.select(F.col(id_col).alias("right_id"), F.col(vec).alias("vec"))
-    # Copies of a vector tie, and ties go to the lowest id, so one row per distinct vector is enough.
-    right = freeze(right.groupBy("vec").agg(F.min("right_id").alias("right_id")))
+    id: each gets its own match. A zero vector has cosine 0 with everything. Vectors that are NULL or hold NULL or
+    non-finite components match nothing, and neither do vectors of different length. Runs small jobs when called."""
+    left, right = _sides(left, right, id_col, vec)
     size = right.agg(F.sum(F.size("vec")).alias("cells")).first()["cells"] or 0
     if size == 0:
-        matches = _empty(left, right)
+        matches = left.sparkSession.createDataFrame([], _schema(left, right))
     elif size * 8 <= max_broadcast_bytes:
         matches = _match_broadcast(left, right, threshold)
     else:
-        matches = _match_rings(left, right, threshold, pivots, rings, piece_rows)
+        matches = _match_grid(left, right, threshold, size * 8, block_bytes)
     return matches.withColumn("score", F.round("score", 3))
 
 
+def align_buckets(
+    left: DataFrame,
+    right: DataFrame,
+    id_col: str = "id",
+    vec: str = "embedding",
+    threshold: float = 0.85,
+    recall: float = 0.95,
+    bits: int = 12,
+    piece_rows: int = 16_384,
+    seed: int = 11,
+) -> DataFrame:
+    """As :func:`align_best`, but a left row only meets right rows that share one of its buckets.
+
+    A bucket is a table and the signs of ``bits`` random projections in it. Two vectors at angle t agree in a sign with
+    probability 1 - t / pi; there are as many tables as make a pair at the threshold share a bucket with probability
+    ``recall``, and closer pairs more often. Every vector is sent once per table. What is found is compared exactly, so
+    scores are right and no match is below the threshold; a left row may get a less similar match, or none, where its best
+    one shares no bucket with it. Runs small jobs when called.
+    """
+    tables = tables_for(threshold, recall, bits)
+    left, right = _sides(left, right, id_col, vec)
+    left, _ = stage(left.withColumn("row", F.monotonically_increasing_id()), "align-left")
+
+    def buckets(df: DataFrame) -> DataFrame:
+        return df.mapInArrow(_bucket_batches(tables, bits, seed), T.StructType([T.StructField("cell", T.LongType()), *df.schema]))
+
+    visitors, residents = buckets(left), buckets(right)
+    pieces = {side: F.ceil(F.count("*") / piece_rows).alias(side) for side in ("of_left", "of_right")}
+    sizes = visitors.groupBy("cell").agg(pieces["of_left"]).join(residents.groupBy("cell").agg(pieces["of_right"]), "cell")
+    sizes, _ = stage(sizes, "align-buckets")
+    return _meet(visitors, residents, sizes, threshold, _schema(left, right)).withColumn("score", F.round("score", 3))
+
+
+def tables_for(threshold: float, recall: float, bits: int) -> int:
+    """How many tables of ``bits`` signs put a pair at the threshold into one bucket with probability ``recall``."""
+    if not 0 < threshold < 1 or not 0 < recall < 1:
+        raise ValueError("buckets need a threshold and a recall between 0 and 1")
+    shared = (1 - math.acos(threshold) / math.pi) ** bits
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - shared))
+    if tables << bits > MOST_BUCKETS:
+        raise ValueError(f"{tables} tables of {bits} bits are too many buckets")
+    return tables
+
+
+def alignment_recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: matches of the exact form, those of them that were found with the same right row, and their share."""
+    pairs = exact.select("left_id", "right_id", F.lit(1).alias("one")).join(
+        found.select("left_id", "right_id", F.lit(1).alias("hit")).distinct(), ["left_id", "right_id"], "left"
+    )
+    counts = pairs.agg(F.count("one").alias("n_exact"), F.count("hit").alias("n_found"))
+    return counts.withColumn("recall", F.try_divide("n_found", "n_exact"))
+
+
+def _sides(left: DataFrame, right: DataFrame, id_col: str, vec: str) -> tuple[DataFrame, DataFrame]:
+    left = left.select(F.col(id_col).alias("left_id"), F.col(vec).alias("vec")).filter(is_finite(F.col("vec")))
+    right = right.select(F.col(id_col).alias("right_id"), F.col(vec).alias("vec")).filter(is_finite(F.col("vec")))
+    # Copies of a vector tie, and ties go to the lowest id, so one row per distinct vector is enough.
+    right, _ = stage(right.groupBy("vec").agg(F.min("right_id").alias("right_id")), "align-right")
+    return left, right
+
+
 def _schema(left: DataFrame, right: DataFrame) -> T.StructType:
     return T.StructType(
         [left.schema["left_id"], right.schema["right_id"], T.StructField("score", T.DoubleType())]
     )
 
 
-def _empty(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.sparkSession.createDataFrame([], _schema(left, right))
-
-
 def _match_broadcast(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """The right side, whose size the caller has checked, as one matrix in every task."""
-    rows = right.toPandas().sort_values("right_id")
-    shared = left.sparkSession.sparkContext.broadcast((rows["right_id"].to_numpy(), unit_rows(rows["vec"])))
+    rows = right.orderBy("right_id").toArrow()
+    shared = left.sparkSession.sparkContext.broadcast((rows.column("right_id").combine_chunks(), unit_matrices(rows.column("vec"))))
 
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = shared.value
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrices = shared.value
         for batch in batches:
-            if batch.empty:
-                continue
-            at, score = _best_rows(unit_rows(batch["vec"]), matrix)
-            hit = score >= threshold
-            yield pd.DataFrame({"left_id": batch["left_id"][hit], "right_id": ids[at[hit]], "score": score[hit]})
+            for dim, (at, vectors) in unit_matrices(batch.column("vec")).items():
+                if dim in matrices:
+                    places, matrix = matrices[dim]
+                    best, score = _best_rows(vectors, matrix)
+                    hit = score >= threshold
+                    found = [batch.column("left_id").take(pa.array(at[hit])), ids.take(pa.array(places[best[hit]]))]
+                    yield pa.RecordBatch.from_arrays([*found, pa.array(score[hit])], ["left_id", "right_id", "score"])
 
-    return left.mapInPandas(match, _schema(left, right))
+    return left.mapInArrow(match, _schema(left, right))
 
 
-def _match_rings(
-    left: DataFrame, right: DataFrame, threshold: float, pivots: int, rings: int, piece_rows: int
-) -> DataFrame:
+def grid_blocks(left_bytes: int, right_bytes: int, block_bytes: int, tasks: int) -> tuple[int, int]:
+    """Blocks of the left and of the right side. Right blocks decide how often a left vector is sent, so they are as large
+    as allowed; left blocks may be smaller, so that there are at least ``tasks`` pairs of blocks."""
+    right_blocks = max(1, -(-right_bytes // block_bytes))
+    left_blocks = max(1, -(-left_bytes // block_bytes), -(-tasks // right_blocks))
+    return left_blocks, right_blocks
+
+
+def _match_grid(left: DataFrame, right: DataFrame, threshold: float, right_bytes: int, block_bytes: int) -> DataFrame:
     spark = left.sparkSession
-    # Read twice below; a model may stand behind the vectors. Rows are told apart by number, as ids may repeat.
-    left = freeze(left.withColumn("row", F.monotonically_increasing_id()))
-    # A fixed number of pivots, drawn in hash order. Any choice is exact; it only decides how much is pruned.
-    drawn = right.orderBy(F.md5(F.col("right_id").cast("string").cast("binary")), "right_id").limit(pivots)
-    centres = spark.sparkContext.broadcast(unit_rows(drawn.toPandas()["vec"]))
-    # Room for rounding in the angles. At thresholds up to 0 zero vectors match as well: visit everything.
-    reach = float(np.arccos(min(threshold, 1.0))) + 1e-6 if threshold > 0 else 2 * np.pi
+    # Rows are told apart by number, as ids may repeat; a model may stand behind the vectors.
+    left, _ = stage(left.withColumn("row", F.monotonically_increasing_id()), "align-left")
+    left_bytes = 8 * (left.agg(F.sum(F.size("vec"))).first()[0] or 0)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    of_left, of_right = grid_blocks(left_bytes, right_bytes, block_bytes, tasks)
+    sizes = spark.createDataFrame([(0, of_left, of_right)], "cell long, of_left long, of_right long")
+    whole = F.lit(0).cast("long").alias("cell")
+    return _meet(left.select(whole, "*"), right.select(whole, "*"), sizes, threshold, _schema(left, right))
 
-    def angles(vectors) -> np.ndarray:
-        return np.arccos(np.clip(unit_rows(vectors) @ centres.value.T, -1.0, 1.0))
 
-    id_type, right_vec = (right.schema[c].dataType.simpleString() for c in ("right_id", "vec"))
+def _bucket_batches(tables: int, bits: int, seed: int):
+    """Each row once per table, under the number of its bucket there."""
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(bits, dtype="int64")
         for batch in batches:
-            if batch.empty:
-                continue
-            angle = angles(batch["vec"])
-            nearest = angle.argmin(axis=1)
-            angle = angle[np.arange(len(nearest)), nearest]
-            ring = np.minimum((angle / np.pi * rings).astype("int64"), rings - 1)
-            yield pd.DataFrame(
-                {"cell": nearest * rings + ring, "angle": angle, "right_id": batch["right_id"], "vec": batch["vec"]}
-            )
-
-    placed = freeze(right.mapInPandas(place, f"cell long, angle double, right_id {id_type}, vec {right_vec}"))
-    # At most pivots * rings lines.
-    cells = (
-        placed.groupBy("cell")
-        .agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
-        .toPandas()
-        .sort_values("cell", ignore_index=True)
-    )
-    number, pivot = cells["cell"].to_numpy(), cells["cell"].to_numpy() // rings
-    low, high = cells["low"].to_numpy() - reach, cells["high"].to_numpy() + reach
+            for dim, (at, vectors) in unit_matrices(batch.column("vec")).items():
+                planes = np.random.default_rng([seed, dim]).normal(size=(tables, dim, bits))
+                rows = batch.take(pa.array(at))
+                for number, plane in enumerate(planes):
+                    bucket = ((vectors @ plane > 0) @ weights) + (number << bits)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), *rows.columns], ["cell", *rows.schema.names])
 
-    def visited(vectors) -> np.ndarray:
-        angle = angles(vectors)[:, pivot]
-        return (angle >= low) & (angle <= high)
+    return place
 
-    def count_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), SLICE):
-                visitors = visited(batch["vec"].iloc[start : start + SLICE]).sum(axis=0)
-                yield pd.DataFrame({"cell": number, "n": visitors})
 
-    visits = left.mapInPandas(count_visits, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    visits = dict(visits.toPandas().itertuples(index=False))
-    right_pieces = {c: -(-n // piece_rows) for c, n in zip(number.tolist(), cells["n"].tolist())}
-    left_pieces = {c: -(-visits.get(c, 0) // piece_rows) for c in number.tolist()}
-    left_type, left_vec = (left.schema[c].dataType.simpleString() for c in ("left_id", "vec"))
+def cell_pieces(visitors: DataFrame, residents: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of both sides with the pieces of their cell that meet: ``sizes`` has (cell, of_left, of_right), the pieces of
+    either side. Every left piece of a cell meets every right piece once; a row is in one piece, and is sent to each of the
+    other side's. ``sizes`` must be small, as it is broadcast."""
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            # Slices keep the copies of one batch small.
-            for start in range(0, len(batch), SLICE):
-                part = batch.iloc[start : start + SLICE]
-                row, hit = visited(part["vec"]).nonzero()
-                yield pd.DataFrame(
-                    {
-                        "cell": number[hit],
-                        "row": part["row"].to_numpy()[row],
-                        "left_id": part["left_id"].to_numpy()[row],
-                        "vec": part["vec"].to_numpy()[row],
-                    }
-                )
-
-    sizes = spark.createDataFrame(
-        [(c, right_pieces[c], left_pieces[c]) for c in number.tolist()], "cell long, of_right long, of_left long"
-    )
-    visitors = left.mapInPandas(visit, f"cell long, row long, left_id {left_type}, vec {left_vec}")
-    # Cell sizes are bounded by pivots * rings lines. Every left piece meets every right piece of its cell once.
-    visitors = visitors.join(F.broadcast(sizes), "cell").select(
-        "cell",
-        "row",
-        "left_id",
-        "vec",
-        F.pmod(F.xxhash64("row"), "of_left").alias("left_piece"),
-        F.explode(F.sequence(F.lit(0), F.col("of_right") - 1)).alias("right_piece"),
+    def piece(name: str, of: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit("piece"), name), of)
+
+    def every(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+
+    lefts = visitors.join(F.broadcast(sizes), "cell").select(
+        *visitors.columns, piece("row", "of_left").alias("left_piece"), every("of_right").alias("right_piece")
     )
-    residents = placed.join(F.broadcast(sizes), "cell").filter("of_left > 0").select(
-        "cell",
-        "right_id",
-        "vec",
-        F.pmod(F.xxhash64("right_id"), "of_right").alias("right_piece"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("of_left") - 1)).alias("left_piece"),
+    rights = residents.join(F.broadcast(sizes), "cell").select(
+        *residents.columns, piece("right_id", "of_right").alias("right_piece"), every("of_left").alias("left_piece")
     )
-    keys = ["cell", "left_piece", "right_piece"]
+    return lefts, rights
+
 
-    def meet(lefts: pd.DataFrame, rights: pd.DataFrame) -> pd.DataFrame:
-        if lefts.empty or rights.empty:
-            return pd.DataFrame({"row": [], "left_id": [], "right_id": [], "score": []})
-        rights = rights.sort_values("right_id")
-        at, score = _best_rows(unit_rows(lefts["vec"]), unit_rows(rights["vec"]))
-        hit = score >= threshold
-        hits = lefts.loc[hit, ["row", "left_id"]]
-        return hits.assign(right_id=rights["right_id"].to_numpy()[at[hit]], score=score[hit])
-
-    schema = T.StructType([T.StructField("row", T.LongType()), *_schema(left, right)])
-    met = visitors.groupBy(*keys).cogroup(residents.groupBy(*keys)).applyInPandas(meet, schema)
+def _meet(
+    visitors: DataFrame, residents: DataFrame, sizes: DataFrame, threshold: float, schema: T.StructType
+) -> DataFrame:
+    """The best match of each visitor (cell, row, left_id, vec) among the residents (cell, right_id, vec) of its cells."""
+    lefts, rights = cell_pieces(visitors, residents, sizes)
+
+    def meet(lefts: pa.Table, rights: pa.Table) -> pa.Table:
+        rights = rights.sort_by("right_id")
+        rows, left_ids, right_ids, scores = [], [], [], []
+        matrices = unit_matrices(rights.column("vec"))
+        for dim, (at, vectors) in unit_matrices(lefts.column("vec")).items():
+            if dim in matrices:
+                places, matrix = matrices[dim]
+                best, score = _best_rows(vectors, matrix)
+                hit = score >= threshold
+                rows.append(lefts.column("row").take(pa.array(at[hit])))
+                left_ids.append(lefts.column("left_id").take(pa.array(at[hit])))
+                right_ids.append(rights.column("right_id").take(pa.array(places[best[hit]])))
+                scores.append(pa.chunked_array([pa.array(score[hit])]))
+        if not rows:
+            return lefts.slice(0, 0).select(["row", "left_id"]).append_column(
+                "right_id", rights.slice(0, 0).column("right_id")
+            ).append_column("score", pa.chunked_array([pa.array([], pa.float64())]))
+        parts = [pa.table(dict(zip(("row", "left_id", "right_id", "score"), p))) for p in zip(rows, left_ids, right_ids, scores)]
+        return pa.concat_tables(parts)
+
+    keys = ["cell", "left_piece", "right_piece"]
+    out = T.StructType([T.StructField("row", T.LongType()), *schema])
+    met = lefts.groupBy(*keys).cogroup(rights.groupBy(*keys)).applyInArrow(meet, out)
     best = F.min(F.struct((-F.round("score", TIE_DIGITS)).alias("rank"), F.col("right_id"), F.col("score")))
     return met.groupBy("row", "left_id").agg(best.alias("best")).select("left_id", "best.right_id", "best.score")
 

@@ -348,6 +348,13 @@ ORACLES: dict[str, str] = {
     # --- joins and sets ---
     "align_best": ALIGNED,
     "align_best_rings": ALIGNED,
+    "align_buckets": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x,
+          list_transform(list_zip(embedding, list_reverse(embedding)), lambda p: p[1]::DOUBLE + p[2]::DOUBLE * 0.35) AS y
+        FROM embeddings),
+        s AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, list_cosine_similarity(a.x, b.y) AS cosine FROM v a, v b)
+        SELECT left_id, right_id, round(cosine, 3) AS score FROM s WHERE cosine >= 0.85
+        QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY round(cosine, 9) DESC, right_id) = 1""",
+    "align_buckets_recall": f"SELECT count(*) AS n_exact, true AS recall_reached FROM ({ALIGNED})",
     "attach_matches": f"""WITH {COSINES} SELECT left_id, right_id, 'label ' || a.label AS title_kk,
           'label ' || b.label AS title_ru, a.label AS text_kk, b.label AS text_ru, round(cosine, 3) AS score
         FROM nearest JOIN embeddings a ON a.vec_id = left_id JOIN embeddings b ON b.vec_id = right_id WHERE cosine >= 0.4""",

@@ -6,7 +6,15 @@ import numpy as np
 import pytest
 from pyspark import cloudpickle
 
-from pairmill.operators.align import align_best, attach_matches
+from pairmill.operators.align import (
+    align_best,
+    align_buckets,
+    alignment_recall,
+    attach_matches,
+    cell_pieces,
+    grid_blocks,
+    tables_for,
+)
 from pairmill.plans.align import align_corpora
 
 
@@ -31,8 +39,8 @@ def brute(left, right, threshold):
 
 FORMS = {
     "broadcast": {},
-    "rings": {"max_broadcast_bytes": 0, "pivots": 6, "rings": 8, "piece_rows": 16},
-    "one pivot": {"max_broadcast_bytes": 0, "pivots": 1, "rings": 2, "piece_rows": 7},
+    "grid": {"max_broadcast_bytes": 0, "block_bytes": 1000},
+    "one right block": {"max_broadcast_bytes": 0},
 }
 
 
@@ -97,3 +105,72 @@ def test_doubles_and_repeated_left_ids(spark, form):
     want = sorted((i // 2, int(s.argmax())) for i, s in enumerate(best) if s.max() >= 0.85)
     assert 50 < len(want) < 150
     assert sorted((r.left_id, r.right_id) for r in got) == want
+
+
+@pytest.mark.parametrize("form", [*FORMS, "buckets"])
+def test_odd_vectors_match_nothing(spark, form):
+    """NULL vectors, vectors with NULL or non-finite components, and vectors of another length."""
+    odd = [None, [1.0, None], [float("nan"), 1.0], [float("inf"), 0.0], []]
+    schema = "id long, embedding array<double>"
+    left = spark.createDataFrame([(i, v) for i, v in enumerate([*odd, [1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 2.0]])], schema)
+    right = spark.createDataFrame([(10 + i, v) for i, v in enumerate([*odd, [2.0, 0.0], [0.0, 0.0, 1.0]])], schema)
+    if form == "buckets":
+        rows = align_buckets(left, right, threshold=0.85, bits=2)
+    else:
+        rows = align_best(left, right, threshold=0.85, **FORMS[form])
+    assert [tuple(r) for r in rows.collect()] == [(5, 15, 1.0)]
+
+
+def test_grid_sends_a_vector_once_per_block(spark):
+    """Copies of a left vector are the right side's bytes over those of a block; blocks stay within their bytes."""
+    n_left, n_right, dim, block = 3000, 2000, 16, 32_000
+    of_left, of_right = grid_blocks(n_left * dim * 8, n_right * dim * 8, block, 8)
+    assert (of_left, of_right) == (12, 8)
+    assert grid_blocks(1000, 1000, block, 8) == (8, 1)
+    sizes = spark.createDataFrame([(0, of_left, of_right)], "cell long, of_left long, of_right long")
+    lefts, rights = cell_pieces(
+        spark.range(n_left).selectExpr("0L AS cell", "id AS row"), spark.range(n_right).selectExpr("0L AS cell", "id AS right_id"), sizes
+    )
+    assert lefts.count() == n_left * of_right and rights.count() == n_right * of_left
+    keys = ["left_piece", "right_piece"]
+    assert lefts.join(rights, keys).select("row", "right_id").distinct().count() == n_left * n_right
+    assert lefts.groupBy(*keys).count().agg({"count": "max"}).first()[0] * dim * 8 < 1.4 * block
+    assert rights.groupBy(*keys).count().agg({"count": "max"}).first()[0] * dim * 8 < 1.4 * block
+
+
+def test_hot_vector_in_grid(spark):
+    """A third of either side is one vector; the grid deals rows by number, so its blocks stay even."""
+    rng = np.random.default_rng(9)
+    left, right = rng.normal(size=(900, 8)), rng.normal(size=(600, 8))
+    left[:300], right[:200] = left[0], left[0]
+    got = align_best(frame(spark, left), frame(spark, right), threshold=0.9, max_broadcast_bytes=0, block_bytes=4096).collect()
+    assert {r.left_id: r.right_id for r in got} == {i: j for i, (j, _) in brute(left, right, 0.9).items()}
+
+
+def test_buckets_reach_their_recall(spark):
+    """Recall of matches near the threshold, of which every one found is right; a hot bucket is cut into pieces."""
+    rng = np.random.default_rng(5)
+    right = rng.normal(size=(400, 24))
+    right /= np.linalg.norm(right, axis=1, keepdims=True)
+    noise = rng.normal(size=(1200, 24))
+    of = rng.integers(0, 400, 1200)
+    of[:400] = 7
+    noise -= (noise * right[of]).sum(axis=1, keepdims=True) * right[of]
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    cosine = rng.uniform(0.85, 0.9, 1200)[:, None]
+    left = cosine * right[of] + np.sqrt(1 - cosine**2) * noise
+    sides = frame(spark, left), frame(spark, right)
+    exact = align_best(*sides, threshold=0.85)
+    found = align_buckets(*sides, threshold=0.85, recall=0.95, bits=8, piece_rows=50)
+    measured = alignment_recall(found, exact).first()
+    assert measured.n_exact > 1000 and 0.93 <= measured.recall <= 1
+    best = {r.left_id: (r.right_id, r.score) for r in exact.collect()}
+    assert all(r.score <= best[r.left_id][1] for r in found.collect())
+
+
+def test_tables_for():
+    assert tables_for(0.85, 0.95, 12) == 30
+    assert tables_for(0.85, 0.95, 8) < tables_for(0.85, 0.99, 8)
+    for bad in ((0.0, 0.9, 8), (0.85, 1.0, 8), (0.5, 0.99, 18)):
+        with pytest.raises(ValueError):
+            tables_for(*bad)
