@@ -456,7 +456,9 @@ ORACLES: dict[str, str] = {
             ELSE array_to_string(list_reverse(string_split(summary, ' ')), ' ') END FROM tfidf)
         SELECT fed.doc_id AS pair_id, system, cand, lead.summary AS ref FROM fed JOIN lead USING (doc_id)""",
     # --- streaming ---
-    "ingest_stream": f"""WITH c AS (SELECT doc_id, lang, {_clean('text')} AS t FROM documents)
+    "ingest_stream": f"""WITH won AS (
+          SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY n_chars ORDER BY doc_id % 3, doc_id) = 1),
+        c AS (SELECT doc_id, lang, {_clean('text')} AS t FROM won)
         SELECT doc_id, lang, length(t) AS chars FROM c WHERE {_words('t')} >= 150""",
     "snapshot_stream": "SELECT doc_id, quality::VARCHAR AS text FROM labels WHERE quality IS NOT NULL",
 }

@@ -1,5 +1,7 @@
 """Files and streams."""
 
+import hashlib
+import os
 import sys
 
 import pytest
@@ -90,19 +92,81 @@ def test_ingest_resumes_and_writes_once(spark, tmp_path):
 
     def run():
         stream = st.read_article_stream(spark, str(source), schema, files_per_batch=1)
-        st.ingest_stream(stream, out, progress, "url", lambda df: pr.min_words(df, "text", 2)).awaitTermination()
-        return sorted(tuple(r) for r in spark.read.schema(schema).json(out).collect())
+        query = st.ingest_stream(stream, out, progress, "url", lambda df: pr.min_words(df, "text", 2), compact_every=2)
+        query.awaitTermination()
+        return sorted((r.url, r.text) for r in spark.read.schema(schema).json(out).collect())
 
     article(source, "1.json", [("u1", "a b"), ("u2", "short"), ("u3", "c d")])
     article(source, "2.json", [("u1", "a b"), ("u4", "e f")])
     first = run()
     assert first == [("u1", "a b"), ("u3", "c d"), ("u4", "e f")]
     assert run() == first
-    article(source, "3.json", [("u3", "c d"), ("u5", "g h")])
-    assert run() == [*first, ("u5", "g h")]
-    # The same as one batch over everything.
-    batch = spark.read.schema(schema).json(str(source))
-    assert sorted(tuple(r) for r in pr.min_words(batch, "text", 2).dropDuplicates(["url"]).collect()) == [*first, ("u5", "g h")]
+    # u2 was done, though too short to be written; u6 comes twice in one batch, and the smaller content wins.
+    article(source, "3.json", [("u3", "c d"), ("u5", "g h"), ("u2", "long enough"), ("u6", "z z"), ("u6", "b b"), ("u6", "z z")])
+    chosen = min((hashlib.sha256(f'{{"url":"u6","text":"{t}"}}'.encode()).hexdigest(), t) for t in ("z z", "b b"))[1]
+    assert run() == [*first, ("u5", "g h"), ("u6", chosen)]
+    for n in range(4, 10):
+        article(source, f"{n}.json", [("u6", "no no"), (f"v{n}", "x y"), (f"v{n - 1}", "no no")])
+        os.utime(source / f"{n}.json", (2e9 + n, 2e9 + n))  # batches follow the files' times
+    last = run()
+    assert [t for u, t in last if u.startswith("v")] == ["no no"] + ["x y"] * 6 and ("u6", "no no") not in last
+    # Folders of finished keys are merged every second batch.
+    assert len([p for p in os.listdir(f"{out}-done") if "=" in p]) <= 3
+
+
+def test_batch_that_failed_is_repeated_alike(spark, tmp_path):
+    """A batch that stops after its keys are written, or after its rows are, gives the same rows when it comes again."""
+    failing = {"on": False}
+
+    def transform(df):
+        if failing["on"]:
+            raise RuntimeError("lost")
+        return df
+
+    sink = st.KeyedSink(str(tmp_path / "out"), str(tmp_path / "done"), "k", transform, order=["n"], compact_every=2)
+
+    def batch(*rows):
+        return spark.createDataFrame(rows, "k string, n int, ok boolean")
+
+    def rows():
+        return sorted((r.batch, r.k, r.n) for r in spark.read.schema("k string, n int, batch int").json(str(tmp_path / "out")).collect())
+
+    sink(batch(("a", 2, True), ("a", 1, True), ("b", 5, True), (None, 0, True)), 0)
+    want = [(0, "a", 1), (0, "b", 5)]
+    assert rows() == want
+    failing["on"] = True
+    second = batch(("a", 0, True), ("c", 7, True), ("c", 8, True))
+    with pytest.raises(RuntimeError):
+        sink(second, 1)
+    failing["on"] = False
+    sink(second, 1)
+    sink(second, 1)
+    want += [(1, "c", 7)]
+    assert rows() == want
+    for _ in range(2):
+        sink(batch(("b", 0, True), ("d", 1, True)), 2)
+    assert rows() == [*want, (2, "d", 1)]
+    sink(batch(), 3)
+    sink(batch(("e", 1, True)), 4)
+    sink(batch(("e", 0, True), ("d", 0, True)), 5)
+    assert rows() == [*want, (2, "d", 1), (4, "e", 1)]
+
+
+def test_unfinished_rows_come_again(spark, tmp_path):
+    sink = st.KeyedSink(str(tmp_path / "o"), str(tmp_path / "d"), "k", lambda df: df, finished=F.col("ok"))
+    schema = "k string, ok boolean"
+    sink(spark.createDataFrame([("a", False), ("b", True), ("c", None)], schema), 0)
+    sink(spark.createDataFrame([("a", True), ("b", True), ("c", True)], schema), 1)
+    back = spark.read.schema("k string, batch int").json(str(tmp_path / "o")).collect()
+    assert sorted((r.batch, r.k) for r in back) == [(0, "b"), (1, "a"), (1, "c")]
+
+
+def test_hot_key_leaves_each_task_once(spark, tmp_path):
+    """A key that fills a batch: the limit on row numbers stands before the exchange, and no state is kept."""
+    df = spark.range(0, 5000, numPartitions=8).selectExpr("'hot' AS k", "id AS n")
+    sink = st.KeyedSink(str(tmp_path / "o"), str(tmp_path / "d"), "k", lambda df: df, order=["n"])
+    sink(df, 0)
+    assert [r.n for r in spark.read.json(str(tmp_path / "o")).collect()] == [0]
 
 
 def test_snapshots(spark, tmp_path):
