@@ -2,55 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairmill.functions import text as tx
-from pairmill.operators.columns import place_by
+from pairmill.operators.columns import compute_once
 
+# Equal scores are such that agree in this many digits.
+TIE_DIGITS = 9
 
-def tfidf_summary(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 3, name: str = "summary") -> DataFrame:
-    """The ``n`` highest scoring sentences of each text, in text order, joined by ``'. '``.
+
+def sentence_scores(terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """TF-IDF scores of all sentences of a batch of documents (lists of lists of terms).
+
+    Returns the number of the first sentence of each document and one past its last, and the scores. Terms become numbers
+    by one dictionary for the batch; counts are runs in sorted arrays of (sentence, term), so nothing is done per term.
+    """
+    if not len(terms) or not len(terms.values):
+        # Arrow leaves the offsets of empty lists open.
+        none = np.zeros(len(terms), np.int64)
+        return none, none, np.zeros(0)
+    documents, sentences = terms.offsets.to_numpy(), terms.values.offsets.to_numpy()
+    per_document, per_sentence = np.diff(documents), np.diff(sentences)
+    words = terms.values.values
+    words = words.slice(sentences[0], sentences[-1] - sentences[0])
+    code = pc.dictionary_encode(words).indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # Sentences and documents that the terms stand in. The child arrays may begin before the first document.
+    sentence = np.repeat(np.arange(len(per_sentence)), per_sentence)
+    document = np.full(len(per_sentence), -1)
+    document[documents[0] : documents[-1]] = np.repeat(np.arange(len(per_document)), per_document)
+    size = int(code.max()) + 1 if len(code) else 1
+    # (sentence, term) with counts, then the number of sentences of each (document, term).
+    pair, count = np.unique(sentence * size + code, return_counts=True)
+    at, term = pair // size, pair % size
+    _, where, spread = np.unique(document[at] * size + term, return_inverse=True, return_counts=True)
+    weight = count * (np.log((1 + per_document[document[at]]) / (1 + spread[where])) + 1)
+    total = np.bincount(at, weight, len(per_sentence))
+    length = np.sqrt(np.bincount(at, weight * weight, len(per_sentence)))
+    return documents[:-1], documents[1:], np.divide(total, length, out=np.zeros_like(total), where=length > 0)
+
+
+def best_sentences(terms: Column, n: int) -> Column:
+    """Places of the ``n`` best sentences in text order, from the terms of each sentence; equal scores: the later one. Empty
+    if no sentence has a term, NULL for NULL."""
+
+    @F.arrow_udf("array<int>")
+    def best(batch: pa.Array) -> pa.Array:
+        starts, ends, scores = sentence_scores(batch)
+        scores = np.round(scores, TIE_DIGITS)
+        found: list[list[int] | None] = []
+        for valid, i, j in zip(batch.is_valid().to_pylist(), starts, ends):
+            one = scores[i:j]
+            first = np.lexsort((-np.arange(j - i), -one))[:n] if valid and one.any() else one[:0].astype(int)
+            found.append(np.sort(first).tolist() if valid else None)
+        return pa.array(found, pa.list_(pa.int32()))
+
+    return best(terms)
+
+
+def tfidf_summary(df: DataFrame, text: str = "text", n: int = 3, name: str = "summary") -> DataFrame:
+    """Add the ``n`` highest scoring sentences of each text, in text order, joined by ``'. '``. Map-only.
 
     A TF-IDF model is fitted on each document alone: its sentences are the model's documents. Weight of a term
     in a sentence: count * (ln((1 + sentences) / (1 + sentences with the term)) + 1); a sentence scores the
     sum of its weights after scaling the row to unit length. Equal scores: the later sentence wins. Texts of
     at most ``n`` sentences are returned whole, joined by a space; more sentences without any term give ''.
 
-    The one exchange places whole documents by id. Every later key contains the id, so sentences and terms,
-    many times the size of the text, never travel. Only positions of chosen sentences are aggregated; their
-    text is picked from the document row.
+    Sentences and terms are cut by built-in functions; only the terms of texts with more than ``n`` sentences go to Python,
+    in Arrow batches, and only places of sentences come back. All columns pass through, rows without an id as well.
     """
-    docs = df.filter(F.col(id_col).isNotNull()).select(id_col, tx.summary_sentences(text).alias("_sentences"))
-    docs = place_by(docs, id_col)
-    # The outer forms keep both readings of the exchange identical, so it is run once and reused.
-    sentences = docs.select(
-        id_col, F.size("_sentences").alias("_count"), F.posexplode_outer("_sentences").alias("_pos", "_sentence")
-    )
-    terms = sentences.select(id_col, "_count", "_pos", F.explode_outer(tx.term_tokens("_sentence")).alias("_term"))
-    counts = terms.groupBy(id_col, "_pos", "_count", "_term").agg(F.count("_term").alias("_tf"))
-    spread = F.count("*").over(Window.partitionBy(id_col, "_term"))
-    weights = counts.withColumn("_df", spread).withColumn(
-        "_w", F.col("_tf") * (F.log((F.col("_count") + 1) / (F.col("_df") + 1)) + 1)
-    )
-    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")))
-    scores = weights.groupBy(id_col, "_pos").agg(F.try_divide(F.sum("_w"), length).alias("_score"))
-    ranked = F.sort_array(
-        F.collect_list(F.struct(F.round(F.coalesce("_score", F.lit(0.0)), 9).alias("score"), F.col("_pos").alias("pos"))),
-        asc=False,
-    )
-    best = scores.groupBy(id_col).agg(F.slice(ranked, 1, n).alias("_best"))
-    chosen = best.select(
-        F.col(id_col),
-        (F.col("_best")[0]["score"] > 0).alias("_has_terms"),
-        F.array_sort(F.transform("_best", lambda b: b["pos"])).alias("_chosen"),
-    )
-    joined = docs.join(chosen.hint("shuffle_hash"), id_col, "left")
-    picked = F.transform("_chosen", lambda i: F.col("_sentences")[i])
-    summary = (
-        F.when(F.size("_sentences") <= n, F.array_join("_sentences", " "))
-        .when(F.col("_has_terms"), F.array_join(picked, ". "))
-        .otherwise("")
+    cut = compute_once(df, __pm_sentences=tx.summary_sentences(text))
+    sentences = F.col("__pm_sentences")
+    terms = F.when(F.size(sentences) > n, F.transform(sentences, lambda s: tx.term_tokens(s)))
+    cut = cut.withColumn("__pm_best", best_sentences(terms, n))
+    summary = F.when(F.size(sentences) <= n, F.array_join(sentences, " ")).otherwise(
+        F.array_join(F.transform("__pm_best", lambda i: F.get(sentences, i)), ". ")
     )
-    return joined.select(id_col, summary.alias(name))
+    return cut.withColumn(name, summary).drop("__pm_sentences", "__pm_best")

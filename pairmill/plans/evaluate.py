@@ -10,36 +10,32 @@ from pyspark.sql import functions as F
 from pairmill.functions import text as tx
 from pairmill.operators import bertscore as bs
 from pairmill.operators import metrics as me
-from pairmill.operators.columns import attach, drop_null, stack_systems
+from pairmill.operators.columns import drop_null, stack_systems
 from pairmill.operators.infer import generate
 from pairmill.operators.summarize import tfidf_summary
 
 Factory = Callable[..., Callable[[str], str]]
 
 
-def lead_references(pairs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(pair_id, ref): the leading sentences of the target-side text."""
-    return pairs.select(F.col(id_col).alias("pair_id"), tx.get_lead(text).alias("ref"))
-
-
 def system_outputs(
     pairs: DataFrame, id_col: str, text_in: str, text_out: str, systems: dict[str, tuple[str, Factory | None, dict]]
 ) -> DataFrame:
     """The long table (system, pair_id, cand, ref).
 
     Each system is (input, factory, options): ``input`` names what is fed to the callable: 'identity' (the reference
-    itself), 'lead' or 'tfidf' of the input-side text. Without a factory the input is the candidate.
+    itself, the leading sentences of the target-side text), 'lead' or 'tfidf' of the input-side text. Without a factory the input is the candidate.
     """
     pairs = drop_null(pairs, [text_in, text_out])
-    refs = lead_references(pairs, id_col, text_out)
+    # Inputs, candidates and references are all made inside the row of the pair; nothing is joined or exchanged.
+    pairs = pairs.select(F.col(id_col).alias("pair_id"), F.col(text_in).alias("text"), tx.get_lead(text_out).alias("ref"))
 
     def fed(kind: str) -> DataFrame:
         if kind == "identity":
-            return refs.select("pair_id", F.col("ref").alias("fed"))
+            return pairs.select("pair_id", "ref", F.col("ref").alias("fed"))
         if kind == "lead":
-            return pairs.select(F.col(id_col).alias("pair_id"), tx.get_lead(text_in).alias("fed"))
+            return pairs.select("pair_id", "ref", tx.get_lead("text").alias("fed"))
         if kind == "tfidf":
-            return tfidf_summary(pairs, id_col, text_in, name="fed").withColumnRenamed(id_col, "pair_id")
+            return tfidf_summary(pairs, "text", name="fed").drop("text")
         raise ValueError(f"unknown system input {kind!r}")
 
     outputs = {}
@@ -50,7 +46,7 @@ def system_outputs(
         else:
             out = generate(out, "fed", "cand", factory, options=options).drop("fed")
         outputs[name] = out
-    return attach(stack_systems(**outputs), refs, "pair_id", "inner")
+    return stack_systems(**outputs).select("system", "pair_id", "cand", "ref")
 
 
 def evaluate(

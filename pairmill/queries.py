@@ -128,7 +128,7 @@ def get_lead(spark, sf):
 
 @query
 def tfidf_summaries(spark, sf):
-    return tfidf_summary(documents(spark, sf, "doc_id", "text"))
+    return tfidf_summary(documents(spark, sf, "doc_id", "text")).select("doc_id", "summary")
 
 
 # --- profiles ---------------------------------------------------------------------------------

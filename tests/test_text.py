@@ -112,3 +112,21 @@ def test_tfidf_summary(spark):
     df = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
     got = {r.doc_id: r.summary for r in tfidf_summary(df).collect()}
     assert got == {i: python_tfidf(v or "") for i, v in enumerate(values)}
+
+
+def test_tfidf_summary_stays_in_its_row(spark):
+    """No exchange; other columns, rows without an id and repeated rows pass through, in Arrow batches of any size."""
+    values = ["one two three four five six. seven eight nine ten eleven. ab cd ab cd ab cd ab cd. zz zz zz zz zz zz zz zz"]
+    values += ["short", None, "", *values] * 7
+    rows = [(None if i % 5 == 0 else i % 3, v, "clash") for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = tfidf_summary(df, n=2)
+        assert "Exchange" not in tfidf_summary(spark.range(3).selectExpr("id", "'a. b' AS text"))._jdf.queryExecution().executedPlan().toString()
+        assert got.columns == ["doc_id", "text", "id", "summary"]
+        want = sorted((str(i), str(t), c, python_tfidf(t or "", 2)) for i, t, c in rows)
+        assert sorted((str(r.doc_id), str(r.text), r.id, r.summary) for r in got.collect()) == want
+        assert tfidf_summary(df.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
