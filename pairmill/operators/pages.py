@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairmill.functions import html as hx
 from pairmill.functions import text as tx
-from pairmill.functions.html import Element
+from pairmill.functions.html import Element, Meta, Texts, page_fields
 from pairmill.operators.columns import compute_once
 
 # --- Fixed values -----------------------------------------------------------------------------
@@ -54,29 +53,22 @@ def extract_news(
     """
     if url_part is not None:
         pages = url_filter(pages, final_url or url, url_part)
-    pages = compute_once(
-        pages.select(F.col(url).alias("url"), F.col(html).alias("_html")), _pieces=hx.page_pieces(F.col("_html"))
+    fields = page_fields(
+        F.col(html),
+        title=[Texts(Element(tag="h1")), Meta("property", "og:title")],
+        body=[Texts(container, "\n", tuple(noise))],
+        date=[Texts(date), Meta("property", "article:published_time")],
+        author=[Meta("name", "author")],
+        category=[Meta("property", "article:section")],
     )
-
-    def joined(element: Element, separator: str, skip: Sequence[Element] = ()):
-        texts = hx.container_texts(F.col("_pieces"), element, skip)
-        return F.coalesce(F.array_join(texts, separator), F.lit(""))
-
-    page = F.col("_html")
-    articles = compute_once(
-        pages,
-        title=tx.first_nonempty(joined(Element(tag="h1"), ""), hx.meta_content(page, "property", "og:title")),
-        body=joined(container, "\n", noise),
-    )
-    # Body and title decide first; the remaining fields are read from the kept pages only.
+    articles = pages.select(F.col(url).alias("url"), fields.alias("__pm_page")).select("url", "__pm_page.*")
     articles = compute_once(articles, word_count=tx.word_count("body"))
-    articles = articles.filter((F.col("title") != "") & (F.col("word_count") >= min_words))
-    return articles.select(
+    return articles.filter((F.col("title") != "") & (F.col("word_count") >= min_words)).select(
         "url",
         "title",
-        tx.first_nonempty(joined(date, ""), hx.meta_content(page, "property", "article:published_time")).alias("date"),
-        hx.meta_content(page, "name", "author").alias("author"),
-        hx.meta_content(page, "property", "article:section").alias("category"),
+        "date",
+        "author",
+        "category",
         "body",
         "word_count",
         F.length("body").alias("char_count"),
@@ -89,8 +81,7 @@ def extract_body(
     pages: DataFrame, html: str = "html", name: str = "text", container: Element = BODY_CONTAINER
 ) -> DataFrame:
     """Add the text of one container, its pieces joined by a space; NULL when the page has no such container."""
-    texts = hx.container_texts(hx.page_pieces(F.col(html)), container)
-    return pages.withColumn(name, F.array_join(texts, " "))
+    return pages.withColumn(name, page_fields(F.col(html), body=[Texts(container, " ")])["body"])
 
 
 def text_stats(df: DataFrame, col: str = "text") -> DataFrame:

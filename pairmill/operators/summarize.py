@@ -60,7 +60,8 @@ def best_sentences(terms: Column, n: int) -> Column:
             found.append(np.sort(first).tolist() if valid else None)
         return pa.array(found, pa.list_(pa.int32()))
 
-    return best(terms)
+    # Else a filter on the summary would run it twice.
+    return best.asNondeterministic()(terms)
 
 
 def tfidf_summary(df: DataFrame, text: str = "text", n: int = 3, name: str = "summary") -> DataFrame:

@@ -437,6 +437,22 @@ ORACLES: dict[str, str] = {
         SELECT url, title, '' AS date, '' AS author, '' AS category, body, {_words('body')} AS word_count,
           length(body) AS char_count, 'web' AS source, 'xx' AS language
         FROM b WHERE title <> '' AND {_words('body')} >= 150""",
+    "extract_news_fields": f"""WITH a AS (
+          SELECT page_id AS n, url, regexp_extract(html, '<h1>(.*?)</h1>', 1, 's') AS h1,
+            regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<h1>.*?</h1>', '', 's') AS inner_html
+          FROM pages WHERE contains(url, '/en/')),
+        b AS (
+          SELECT n, url, array_to_string(list_filter(list_transform(
+              string_split(regexp_replace(h1, '<[^>]+>', chr(1), 'g'), chr(1)),
+              lambda s: {_strip("replace(replace(s, '&quot;', '\"'), '&amp;', '&')")}), lambda s: s <> ''), '') AS title,
+            array_to_string(list_filter(list_transform(
+              string_split(regexp_replace(inner_html, '<[^>]+>', chr(1), 'g'), chr(1)),
+              lambda s: {_strip("replace(replace(s, '&quot;', '\"'), '&amp;', '&')")}), lambda s: s <> ''), chr(10)) AS body
+          FROM a)
+        SELECT url, CASE WHEN n % 4 = 0 THEN 'Og <' || n ELSE title END AS title,
+          CASE WHEN n % 3 = 0 THEN '5May' || n WHEN n % 2 = 0 THEN '2024-01-' || (n % 28 + 1) ELSE '' END AS date,
+          'A&' || n AS author, 'c' || (n % 7) AS category, {_words('body')} AS word_count
+        FROM b WHERE (n % 4 = 0 OR title <> '') AND {_words('body')} >= 150""",
     "extract_body": f"""WITH t AS (SELECT page_id, regexp_extract(html, '<div class="ad">(.*?)</div>', 1, 's') AS text,
           contains(html, '<div class="ad">') AS found FROM pages)
         SELECT page_id, {_strip("replace(replace(text, '&quot;', '\"'), '&amp;', '&')")} AS text FROM t WHERE found""",

@@ -592,6 +592,25 @@ def extract_news(spark, sf):
     )
 
 
+@query
+def extract_news_fields(spark, sf):
+    """News whose pages carry every field: each page gets an author, a section, a title in its head and, some of them, one
+    of the two kinds of date; every fourth loses its heading, so that its title comes from the head."""
+    page, n = F.col("html"), F.col("page_id")
+    head = F.concat(
+        F.lit('<head><meta name="author" content=" A&amp;'), n, F.lit(' "><META content=c'), n % 7,
+        F.lit(' property=article:section><meta property="og:title" content="Og &lt;'), n, F.lit('">'),
+        F.when(n % 2 == 0, F.concat(F.lit("<meta content='2024-01-"), n % 28 + 1, F.lit("' property='article:published_time'>")))
+        .otherwise(""),
+    )
+    body = F.concat(F.lit("<body>"), F.when(n % 3 == 0, F.concat(F.lit('<i class="x news-date"> 5 <b>May</b> '), n, F.lit("</i>"))).otherwise(""))
+    headless = F.when(n % 4 == 0, F.regexp_replace(page, "(?s)<h1>.*?</h1>", "<h1> <b></b></h1>")).otherwise(page)
+    marked = F.replace(F.replace(headless, F.lit("<head>"), head), F.lit("<body>"), body)
+    pages = co.spread(table(spark, sf, "pages")).withColumn("html", marked)
+    news = pg.extract_news(pages, "web", "xx", url_part="/en/", container=PAGE_CONTAINER, noise=PAGE_NOISE)
+    return news.select("url", "title", "date", "author", "category", "word_count")
+
+
 @query
 def extract_body(spark, sf):
     pages = co.spread(table(spark, sf, "pages"))

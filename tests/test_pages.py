@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairmill.functions import html as hx
-from pairmill.functions.html import Element
+from pairmill.functions.html import Element, Meta, PageIndex, Texts, page_fields
 from pairmill.operators import pages as pg
 from pairmill.sources import web
 
@@ -58,10 +58,43 @@ def test_extract_body(spark):
     assert [r.text for r in pg.extract_body(df).orderBy("i").collect()] == ["a b c", None, None, ""]
 
 
-def test_unclosed_container_reaches_the_end(spark):
-    df = spark.createDataFrame([("<div class='c'>a<div>b</div>c",)], "h string")
-    texts = hx.container_texts(hx.page_pieces(F.col("h")), Element(cls="c"))
-    assert df.select(texts).first()[0] == ["a", "b", "c"]
+def test_unclosed_container_reaches_the_end():
+    assert PageIndex("<div class='c'>a<div>b</div>c").texts(Element(cls="c")) == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div class=c>a<p class=n>b<div>x</div>y</p>z</div>q", ["a", "z"]),
+        ("<div class=c>a<p class=n>b<div>x</div>y</div>q", ["a"]),  # what is left out ends with the container
+        ("<div class=c>a<div class=n>b</div>c", ["a", "c"]),  # the one end tag is that of the inner element
+        ("<div class=c>a<div class='n m'>b<div class=n>x</div>y</div>c</div>", ["a", "c"]),
+        ("</div><div class='x c'>a<br class=n>b< c<img class='n'>d</div>", ["a", "b< c", "d"]),
+        ("<DIV CLASS=c>a<B>b</b>&amp;amp;<!-- </div> --><script>'</div>'</script>c</DIV >d", ["a", "b", "&amp;", "c"]),
+        ("<p><div class=c>x</p><p class=n>y</p>z</div>", ["x", "z"]),
+        ("<div class='cc c-c'>no</div>", None),
+        ("<div class=c>a", ["a"]),
+        ("<div class=c><span title='>'>a</span><x", ["a", "<x"]),
+        ("", None),
+    ],
+)
+def test_intervals(page, want):
+    assert PageIndex(page).texts(Element(cls="c"), (Element(cls="n"),)) == want
+
+
+def test_index_is_read_once(spark):
+    """Every field of a page from one call, in Arrow batches; NULL pages are empty ones."""
+    df = spark.createDataFrame([(1, PAGE), (2, None), (3, "")], "i int, h string")
+    fields = page_fields(
+        F.col("h"), a=[Texts(Element(tag="h1"))], b=[Meta("name", "author")], c=[Texts(Element(tag="h9")), Meta("property", "og:title")]
+    )
+    rows = [tuple(r.f) for r in df.select("i", fields.alias("f")).orderBy("i").collect()]
+    assert rows == [("Hello", 'Z "q"', "A & B қA ©"), (None, "", ""), (None, "", "")]
+    plan = df.select(fields.alias("f")).select("f.*")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    wide = df.withColumnRenamed("h", "html").repartition(2)
+    for read in (pg.extract_body(wide).filter("text <> ''"), pg.extract_news(wide.withColumn("url", F.lit("/article/")), "s", "l")):
+        assert read._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
 
 
 def test_entities_once(spark):
