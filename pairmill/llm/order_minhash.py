@@ -3,12 +3,14 @@
 The k-mers of a text are its runs of five words, each labelled with its occurrence number. A sketch takes the few k-mers
 that are smallest under one hash and keeps them in text order; texts with an equal sketch share a bucket. Because order
 and repetition count, equal sketches speak for a small edit distance. Candidates are verified by a banded alignment of
-their sequences of k-mers.
+their words, and by the share of their k-mers that they have in common: a changed word costs one edit, though it changes
+five runs.
 
 Equal texts are one node. At first each node meets one other: the smallest node of any of its buckets, and, once more, the
 smallest of those of another class. After that only buckets that hold nodes of different classes are looked at again, and
-there only nodes of different classes meet. So a group of near copies gives about one pair per text, yet every pair that
-shares a bucket ends in one class or has been compared, or has too few k-mers in common to be similar.
+there only nodes of different classes meet, inside a block of bounded size to which their texts travel. So a group of near
+copies gives about one pair per text, a pair that is not similar never becomes a row, and yet every pair that shares a bucket
+ends in one class or has been compared, or has too few k-mers in common to be similar.
 """
 
 from __future__ import annotations
@@ -21,24 +23,26 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairmill.llm.blocks import block_slices, into_blocks
-from pairmill.llm.common import digest128, row_key, text_or_empty
+from pairmill.llm.blocks import BIN_ROWS, block_slices
+from pairmill.llm.common import digest128, digest256, partitions, row_key, text_or_empty
 from pairmill.llm.components import components
+from pairmill.llm.exact_dedup import with_group
 from pairmill.session import freeze
 
 WORDS = 5
-# A pair with Jaccard similarity j of its k-mers is missed with probability (1 - j^3)^32: 1e-10 at 0.8, and 1e-5 at 2/3,
-# the least that texts of one length with an edit similarity of 0.8 can have.
+# A pair with Jaccard similarity j of its k-mers is missed with probability (1 - j^3)^32: 1e-5 at 2/3, 0.014 at 0.5.
 SKETCHES = 32
 PICKED = 3
 SIMILARITY = 0.8
+# Least Jaccard similarity of the k-mers of similar texts. Edits that spare so few runs that less is left are no near copy.
+SHARED = 0.3
 # Counts of k-mers are kept in this many bins, each up to 255.
 BINS = 256
 SEED = 4
 # Rounds in which each text meets one other before what is still open is compared in full.
 STAR_ROUNDS = 2
-# Pairs that one tile of the full comparison holds on average.
-TILE_PAIRS = 500
+# Rows of a piece in the full comparison, where each brings its text along.
+PIECE_ROWS = 512
 # A character that is not white space for str.split().
 WORD = r"(?U)[^\s\x1c-\x1f]"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -135,62 +139,98 @@ def band_distance(a: Sequence, b: Sequence, limit: int) -> int:
 
 
 class Shingled:
-    """What a comparison needs of a text: its k-mers in text order, and their labelled forms sorted."""
+    """What a comparison needs of a text: the hashes of its words in text order; its words and its k-mers, both labelled by
+    occurrence and sorted."""
 
     def __init__(self, text: str):
-        runs = shingles(text.split())
-        self.runs = runs
-        self.kmers = np.sort(labelled_kmers(runs))
+        words = text.split()
+        hashes = word_hashes(words)
+        self.words = hashes.tolist()
+        self.bag = np.sort(labelled_kmers(hashes))
+        self.kmers = np.sort(labelled_kmers(shingles(words)))
+
+
+def common_to(a: np.ndarray, b: np.ndarray) -> int:
+    """How many of the sorted, distinct numbers of one array are in the other."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int((b[at] == a).sum())
 
 
 def edits_allowed(longer: int | np.ndarray, similarity: float) -> np.ndarray:
-    """The most edits between similar sequences of which the longer one has ``longer`` k-mers (a number or an array)."""
+    """The most edits between similar texts of which the longer one has ``longer`` words (a number or an array)."""
     return np.asarray((1 - similarity) * longer + 1e-9).astype(np.int64)
 
 
-def similar(a: Shingled, b: Shingled, similarity: float = SIMILARITY) -> bool:
-    """Whether the edit distance of two sequences of k-mers is at most a share 1 - similarity of the longer one."""
-    longer = max(len(a.runs), len(b.runs))
+def kmers_needed(both: int | np.ndarray, shared: float) -> np.ndarray:
+    """The fewest k-mers in common of texts that have ``both`` k-mers together and a Jaccard similarity of ``shared``."""
+    return np.ceil(shared / (1 + shared) * both - 1e-9).astype(np.int64)
+
+
+def similar(a: Shingled, b: Shingled, similarity: float = SIMILARITY, shared: float = SHARED) -> bool:
+    """Whether at most a share 1 - similarity of the longer text's words have to be edited, and the k-mers of the texts have
+    a Jaccard similarity of at least ``shared``."""
+    longer = max(len(a.words), len(b.words))
     limit = int(edits_allowed(longer, similarity))
-    if abs(len(a.runs) - len(b.runs)) > limit:
+    if abs(len(a.words) - len(b.words)) > limit:
+        return False
+    if common_to(a.bag, b.bag) < longer - limit:
         return False
-    # Every k-mer of the longer text that the other one lacks takes an edit.
-    if longer - len(np.intersect1d(a.kmers, b.kmers, assume_unique=True)) > limit:
+    if common_to(a.kmers, b.kmers) < kmers_needed(len(a.kmers) + len(b.kmers), shared):
         return False
-    left, right = a.runs.tolist(), b.runs.tolist()
     band = 16
     while band < limit:
-        if band_distance(left, right, band) <= band:
+        if band_distance(a.words, b.words, band) <= band:
             return True
         band *= 4
-    return band_distance(left, right, limit) <= limit
+    return band_distance(a.words, b.words, limit) <= limit
+
+
+SKETCHED = "node binary, n_words int, n_kmers int, bag binary, counts binary, buckets array<long>"
+
+
+def binned(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes fall into each of ``BINS`` bins, up to 255. What two texts have in common by bins is at least what they
+    have in common, unless a bin is full."""
+    return np.minimum(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+
+
+def may_share(bins: np.ndarray, others: np.ndarray, row: int, needed: np.ndarray) -> np.ndarray:
+    """Whether by their bins ``others`` can have as much in common with ``row`` as needed. Full bins say nothing."""
+    common = np.minimum(bins[others], bins[row]).sum(axis=1, dtype=np.int64)
+    full = (bins[row] == 255).any() | (bins[others] == 255).any(axis=1)
+    return full | (common >= needed)
 
 
 def sketch_table(named: DataFrame) -> DataFrame:
-    """(node, n_kmers, counts, buckets) of the rows (node, text) whose text has words."""
+    """(node, n_words, n_kmers, bag, counts, buckets) of the rows (node, text) whose text has words."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, counts, buckets = [], [], [], []
+            nodes, lengths, sizes, bags, counts, buckets = [], [], [], [], [], []
             for node, text in zip(batch.column(0), batch.column(1)):
                 words = text.as_py().split()
                 if not words:
                     continue
                 runs = labelled_kmers(shingles(words))
+                bags.append(binned(word_hashes(words)).tobytes())
                 nodes.append(node.as_py())
+                lengths.append(len(words))
                 sizes.append(len(runs))
-                bins = np.bincount((runs >> np.uint64(56)).astype(np.int64), minlength=BINS)
-                counts.append(np.minimum(bins, 255).astype(np.uint8).tobytes())
+                counts.append(binned(runs).tobytes())
                 buckets.append(np.unique(sketches(runs)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(counts, pa.binary()),
-                    pa.array(buckets, pa.list_(pa.int64())),
+                    pa.array(nodes, pa.binary()), pa.array(lengths, pa.int32()), pa.array(sizes, pa.int32()),
+                    pa.array(bags, pa.binary()), pa.array(counts, pa.binary()), pa.array(buckets, pa.list_(pa.int64())),
                 ],
-                ["node", "n_kmers", "counts", "buckets"],
+                ["node", "n_words", "n_kmers", "bag", "counts", "buckets"],
             )
 
-    return named.mapInArrow(sketch, "node binary, n_kmers int, counts binary, buckets array<long>")
+    return named.mapInArrow(sketch, SKETCHED)
 
 
 def _stars(labelled: DataFrame) -> DataFrame:
@@ -202,7 +242,7 @@ def _stars(labelled: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shared: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -215,63 +255,131 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                 for side in (0, 1):
                     if row[side] != names[side]:
                         names[side], last[side] = row[side], Shingled(row[side + 2].as_py())
-                keep.append(similar(*last, similarity))
+                keep.append(similar(*last, similarity, shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return met.mapInArrow(verify, "a binary, b binary")
 
 
-def _verified_in_tiles(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """As :func:`_verified`, for texts that stand in many pairs: pairs are dealt into tiles by a hash of either side, and a
-    text travels once to each tile that needs it, never more often than pairs name it."""
-    tiles = max(1, round((pairs.count() / TILE_PAIRS) ** 0.5))
-    placed = pairs.withColumn("tile", _tile("a", tiles) * tiles + _tile("b", tiles))
-    wanted = placed.select(F.col("tile").alias("at"), F.col("a").alias("node")).union(placed.select("tile", "b")).distinct()
-    wanted = wanted.join(texts, "node")
+def _dealt(labelled: DataFrame, open_: DataFrame) -> DataFrame:
+    """Members (bucket, node) of open buckets (bucket, n, low), dealt into blocks of two pieces ``lo`` and ``hi`` of a bucket.
 
-    def verify(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-        read = {n.as_py(): Shingled(t.as_py()) for n, t in zip(texts.column("node"), texts.column("text"))}
-        keep = [
-            similar(read[a], read[b], similarity)
-            for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())
-        ]
-        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    Buckets whose smallest class is the same hold much the same texts, so their blocks go to one bin, as far as it has room:
+    there a text is needed once. A bin gets ``BIN_ROWS`` members, give or take a block.
+    """
+    spark = labelled.sparkSession
+    total = open_.agg(F.sum("n")).first()[0] or 0
+    bins = max(partitions(spark), -(-total // BIN_ROWS))
+    room = open_.groupBy("low").agg(F.ceil(F.sum("n") / BIN_ROWS).alias("parts"))
+    sizes = open_.join(room, "low").select(
+        "bucket",
+        F.ceil(F.col("n") / PIECE_ROWS).cast("int").alias("pieces"),
+        F.xxhash64("low", F.pmod(F.xxhash64("bucket"), "parts")).alias("place"),
+    )
+    met = labelled.select("bucket", "node").join(sizes, "bucket")
+    met = met.withColumn("piece", F.pmod(F.xxhash64(F.lit("piece"), "node"), "pieces").cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    met = met.withColumns({"lo": F.least("piece", "other"), "hi": F.greatest("piece", "other")})
+    return met.select("bucket", "node", "piece", "lo", "hi", F.pmod(F.xxhash64("place", "lo", "hi"), F.lit(bins)).alias("bin"))
 
-    return placed.groupBy("tile").cogroup(wanted.groupBy("at")).applyInArrow(verify, "a binary, b binary")
 
+def _linked_in_blocks(members: DataFrame, described: DataFrame, similarity: float, shared: float) -> DataFrame:
+    """Pairs (a, b) of similar texts, as many as join the classes of each block of ``members``, see :func:`_dealt`.
+    ``described`` has each node's class, numbers, bins and text; a text travels once to each bin that needs it.
 
-def _tile(node: str, tiles: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit("tile"), node), F.lit(tiles))
+    Nodes of different classes in a block are compared, each pair in the lowest of its buckets in the bin; classes that a pair
+    joins are one from then on, so a group of near copies takes about one comparison a text. Pairs that are not similar
+    leave nothing behind.
+    """
+    # Fresh names tell the two sides of the meeting apart.
+    needed = members.select(F.col("bin").alias("at"), F.col("node").alias("name")).distinct()
+    needed = needed.join(described.withColumnRenamed("node", "name"), "name")
+
+    def link(blocks: pa.Table, nodes: pa.Table) -> pa.Table:
+        names, texts = nodes.column("name").to_pylist(), nodes.column("text").combine_chunks()
+        number = {name: i for i, name in enumerate(names)}
+        words, size = (nodes.column(c).to_numpy().astype(np.int64) for c in ("n_words", "n_kmers"))
+        _, label = np.unique(np.array(nodes.column("component").to_pylist(), dtype=object), return_inverse=True)
+        bags, counts = (
+            np.frombuffer(b"".join(nodes.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("bag", "counts")
+        )
+        key, lo, hi, piece = (blocks.column(c).to_numpy() for c in ("bucket", "lo", "hi", "piece"))
+        node = np.array([number[n] for n in blocks.column("node").to_pylist()], np.int64)
+        # The blocks of each node in the bin, with its piece there.
+        own: list[dict[tuple[int, int, int], int]] = [{} for _ in names]
+        for n, p, block in zip(node.tolist(), piece.tolist(), zip(key.tolist(), lo.tolist(), hi.tolist())):
+            own[n][block] = p
+        def met_before(a: int, b: int, block: tuple[int, int, int]) -> bool:
+            """Whether two nodes are compared in an earlier block: in one of a single piece, or as members of two."""
+            both = own[a].keys() & own[b].keys()
+            return any(x < block and (x[1] == x[2] or own[a][x] != own[b][x]) for x in both)
+
+        read: dict[int, Shingled] = {}
+
+        def shingled(n: int) -> Shingled:
+            if n not in read:
+                read[n] = Shingled(texts[n].as_py())
+            return read[n]
+
+        found: list[tuple[bytes, bytes]] = []
+        for inside in block_slices(key, lo, hi):
+            first = inside[0]
+            block = (int(key[first]), int(lo[first]), int(hi[first]))
+            cross = lo[first] != hi[first]
+            group, side = node[inside], piece[inside]
+            if (label[group] == label[group[0]]).all():
+                continue
+            for at, row in enumerate(group.tolist()):
+                others = group[at + 1 :]
+                fits = label[others] != label[row]
+                if cross:
+                    fits &= side[at + 1 :] != side[at]
+                others = others[fits]
+                longer = np.maximum(words[others], words[row])
+                limit = edits_allowed(longer, similarity)
+                near = np.abs(words[others] - words[row]) <= limit
+                others, common = others[near], (longer - limit)[near]
+                # Words that need no edit are common to both; k-mers in common are asked for by ``shared``.
+                others = others[may_share(bags, others, row, common)]
+                others = others[may_share(counts, others, row, kmers_needed(size[others] + size[row], shared))]
+                for other in others.tolist():
+                    if label[other] == label[row] or met_before(row, other, block):
+                        continue
+                    if similar(shingled(row), shingled(other), similarity, shared):
+                        found.append((min(names[row], names[other]), max(names[row], names[other])))
+                        label[label == label[other]] = label[row]
+        return pa.table({c: pa.array([pair[i] for pair in found], pa.binary()) for i, c in enumerate(("a", "b"))})
+
+    return members.groupBy("bin").cogroup(needed.groupBy("at")).applyInArrow(link, "a binary, b binary")
 
 
 def near_classes(
-    df: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shared: float = SHARED
 ) -> DataFrame:
-    """(key, id, class_id, kept), one row per row of ``df``; ``key`` is the row's :func:`row_key`.
-
-    Rows belong to one class if their texts are equal or linked by a chain of similar texts: of their sequences of
-    five-word runs, at most a share 1 - ``similarity`` of the longer one has to be edited. So any two texts whose runs
-    have, in the same order, a Jaccard similarity of 0.8 belong together, and none below 2/3 are linked directly. ``class_id`` is the smallest id of the class, NULL
-    if none of its rows has an id; ``kept`` marks the rows with the class's smallest key in order of (id, key), that is one
-    document and its repeated rows. Rows whose text is NULL, empty or without words are compared with none: each is its
-    own class and kept. Other columns are left out. An empty table gives an empty one. Runs jobs when called.
+    """(key, node, id, class_id, kept), one row per row of ``df``; ``key`` is the row's :func:`row_key`, ``node`` a digest of
+    its text.
+
+    Rows belong to one class if their texts are equal or linked by a chain of similar texts. Two texts are similar if at most
+    a share 1 - ``similarity`` of the longer one's words has to be edited, and their runs of five words have a Jaccard
+    similarity of at least ``shared``. A similar pair whose runs have Jaccard similarity j, in the same order, is found with
+    probability 1 - (1 - j^3)^32, and by way of others of its class. ``class_id`` is the smallest id of the class, NULL if
+    none of its rows has an id. ``kept`` marks one text of one id in each class: the smallest by (id, key, node), ids that are
+    NULL last; rows that repeat both id and text are marked alike. An id that stands beside several texts names several
+    rows, each judged by its own text. Rows whose text is NULL, empty or without words are compared with none: each is its
+    own class and kept. Texts of any length are compared whole. Other columns are left out, so no name clashes. An empty
+    table gives an empty one. Runs jobs when called.
     """
     keyed = df.select(row_key(id_col, text).alias("key"), F.col(id_col).alias("id"), text_or_empty(text).alias("text"))
     keyed = keyed.withColumn("node", digest128(F.col("text")))
+    # Copies of a text become one row in each map task, before anything travels.
     sketched = sketch_table(keyed.select("node", "text")).groupBy("node")
-    nodes = freeze(sketched.agg(*(F.first(c).alias(c) for c in ("n_kmers", "counts", "buckets"))))
-    placed = nodes.select("node", "n_kmers", F.explode("buckets").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = freeze(placed.join(shared.select("bucket"), "bucket"))
-
-    # One row of each text that shares a bucket: its smallest key stands for it.
-    needed = keyed.select("node", "key").join(members.select("node").distinct(), "node")
-    needed = needed.groupBy("node").agg(F.min("key").alias("key"))
-    # An id may stand beside several texts, so the key alone does not name a text.
-    texts = keyed.select("node", "key", "text").join(needed, ["node", "key"])
-    texts = texts.groupBy("node").agg(F.first("text").alias("text"))
-    texts = freeze(texts)
+    nodes = freeze(sketched.agg(*(F.first(c).alias(c) for c in ("n_words", "n_kmers", "bag", "counts", "buckets"))))
+    placed = nodes.select("node", F.explode("buckets").alias("bucket"))
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = freeze(placed.join(sizes.select("bucket"), "bucket"))
+    texts = keyed.groupBy("node").agg(F.first("text").alias("text"))
+    texts = freeze(texts.join(members.select("node").distinct(), "node", "left_semi"))
 
     labelled = members.withColumn("component", F.col("node"))
     links = tested = found = None
@@ -280,7 +388,7 @@ def near_classes(
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = freeze(pairs)
-        more = freeze(_verified(pairs, texts, similarity))
+        more = freeze(_verified(pairs, texts, similarity, shared))
         links, tested = (more, pairs) if links is None else (links.union(more), tested.union(pairs))
         found = freeze(components(links))
         labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -289,80 +397,59 @@ def near_classes(
     open_ = labelled.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")
     )
-    open_ = freeze(open_.filter("low != high").select("bucket", "n"))
-    dealt = into_blocks(labelled.select("bucket", "node", "n_kmers", "component"), open_, "bucket", "node")
-    dealt = dealt.join(nodes.select("node", "counts", "buckets"), "node")
-
-    def candidates(table: pa.Table) -> pa.Table:
-        names = table.column("node").combine_chunks()
-        key, lo, hi, piece, size = (table.column(c).to_numpy() for c in ("bucket", "lo", "hi", "piece", "n_kmers"))
-        _, label = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)
-        order = np.argsort(np.argsort(np.array(names.to_pylist(), dtype=object), kind="stable"), kind="stable")
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, BINS)
-        lists = table.column("buckets").to_pylist()
-        own = np.full((len(lists), SKETCHES), np.iinfo(np.int64).max)
-        for i, numbers in enumerate(lists):
-            own[i, : len(numbers)] = numbers
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for inside in block_slices(key, lo, hi):
-            cross = lo[inside[0]] != hi[inside[0]]
-            for i, row in enumerate(inside):
-                others = inside[i + 1 :]
-                others = others[label[others] != label[row]]
-                if cross:
-                    others = others[piece[others] != piece[row]]
-                longer = np.maximum(size[others], size[row])
-                limit = edits_allowed(longer, similarity)
-                others, limit, longer = (x[np.abs(size[others] - size[row]) <= limit] for x in (others, limit, longer))
-                if len(others):
-                    # K-mers in common by bins are at least the k-mers in common; full bins say nothing.
-                    common = np.minimum(counts[others], counts[row]).sum(axis=1, dtype=np.int64)
-                    full = ((counts[others] == 255) | (counts[row] == 255)).any(axis=1)
-                    others = others[full | (longer - common <= limit)]
-                if len(others):
-                    # Two texts of different classes meet in all buckets they share; the lowest one gives the pair.
-                    lower = own[row][own[row] < key[row]]
-                    others = others[~np.isin(own[others], lower).any(axis=1)]
-                    a.append(np.full(len(others), row))
-                    b.append(others)
-        a, b = np.concatenate(a), np.concatenate(b)
-        swap = order[a] > order[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return pa.table({"a": names.take(pa.array(a)), "b": names.take(pa.array(b))})
-
-    more = dealt.groupBy("bin").applyInArrow(candidates, "a binary, b binary")
-    more = more.join(tested, ["a", "b"], "left_anti")
-    more = freeze(_verified_in_tiles(freeze(more), texts, similarity))
+    open_ = freeze(open_.filter("low != high").select("bucket", "n", "low"))
+    described = nodes.drop("buckets").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    described = described.join(texts, "node")
+    more = freeze(_linked_in_blocks(freeze(_dealt(members, open_)), described, similarity, shared))
     if not more.isEmpty():
         found = freeze(components(links.union(more)))
 
     node = F.when(F.col("text").rlike(WORD), F.col("node"))
-    rows = keyed.select("key", "id", node.alias("node")).join(found, "node", "left")
-    rows = rows.withColumn("_class", F.coalesce("component", "node"))
-    rows = freeze(rows.select("key", "id", "_class"))
-    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key"))
-    best = rows.filter("_class is not null").groupBy("_class").agg(F.min(order).alias("best"))
-    judged = rows.join(best, "_class", "left")
-    alone = F.col("_class").isNull()
+    rows = keyed.select("key", "id", F.col("node").alias("own"), node.alias("node")).join(found, "node", "left")
+    rows = rows.select("key", "id", "own", F.coalesce("component", "node").alias("class"))
+    rows = freeze(rows)
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key"), F.col("own"))
+    best = rows.filter("class is not null").groupBy("class").agg(F.min(order).alias("best"))
+    judged = rows.join(best, "class", "left")
+    alone = F.col("class").isNull()
     return judged.select(
         "key",
+        F.col("own").alias("node"),
         "id",
         F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("class_id"),
-        (alone | (F.col("key") == F.col("best.key"))).alias("kept"),
+        (alone | ((F.col("key") == F.col("best.key")) & (F.col("own") == F.col("best.own")))).alias("kept"),
     )
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class of :func:`near_classes`; all columns stay. Rows without words all stay."""
-    judged = near_classes(df, id_col, text, similarity)
-    gone = freeze(judged.filter(~F.col("kept")).select("key").distinct())
-    again = freeze(judged.filter("kept").groupBy("key").count().filter("count > 1").select("key"))
-    kept = df.withColumn("__pm_key", row_key(id_col, text)).join(gone.withColumnRenamed("key", "__pm_key"), "__pm_key", "left_anti")
-    if again.isEmpty():
-        return kept.drop("__pm_key")
-    # Rows that are there twice or more, with an id or a text in common.
-    wordless = ~text_or_empty(text).rlike(WORD)
-    single = kept.join(again.withColumnRenamed("key", "__pm_key"), "__pm_key", "left_anti")
-    twice = kept.join(again.withColumnRenamed("key", "__pm_key"), "__pm_key", "left_semi")
-    twice = twice.filter(wordless).unionByName(twice.filter(~wordless).dropDuplicates(["__pm_key"]))
-    return single.unionByName(twice).drop("__pm_key")
+def drop_near_copies(
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shared: float = SHARED
+) -> DataFrame:
+    """One row of each class of :func:`near_classes`, with all its columns.
+
+    A row goes for its own text's class only, never for that of another row with its id. Of rows that repeat id and text one
+    stays, any of them. Rows whose text is NULL, empty or without words all stay, repeated or not. Columns of any name pass
+    through, but for names that begin with ``__pm_``. An empty table gives an empty one. Runs jobs when called.
+    """
+    judged = near_classes(df, id_col, text, similarity, shared)
+
+    def group(key: Column, node: Column) -> Column:
+        return digest256(F.concat_ws("|", F.hex(node), key))
+
+    named = judged.select(group(F.col("key"), F.col("node")).alias("__pm_group"), "kept")
+    groups = named.groupBy("__pm_group").agg(F.min("kept").alias("__pm_kept"), F.count("*").alias("__pm_size"))
+    groups = freeze(groups)
+    counts = groups.agg(F.sum("__pm_size").alias("rows"), F.max(F.when(F.col("__pm_kept"), F.col("__pm_size"))).alias("most")).first()
+    marked = df.withColumns(
+        {
+            "__pm_group": group(row_key(id_col, text), digest128(text_or_empty(text))),
+            "__pm_row": F.monotonically_increasing_id(),
+        }
+    )
+    # Rows meet their verdict without gathering the copies of a hot row in one task.
+    kept = with_group(marked, groups, counts["rows"] or 0).filter("__pm_kept")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    if (counts["most"] or 0) < 2:
+        return kept.select(columns)
+    # Rows that are there twice or more with one id and one text.
+    again = (F.col("__pm_size") > 1) & text_or_empty(text).rlike(WORD)
+    return kept.filter(~again).unionByName(kept.filter(again).dropDuplicates(["__pm_group"])).select(columns)
