@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pairmill.llm.common import text_or_empty
 from pairmill.operators.columns import compute_once
-from pairmill.session import freeze
+from pairmill.session import stage
 
 # Fixed values of the base features.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -191,13 +191,13 @@ def judge(
     fail. Repeated rows get the same verdict; NULL and empty texts fail; an empty table gives an empty one. Columns of
     the input that carry a name of these are replaced. Runs one aggregate over all documents when called.
 
-    With ``carry`` only those columns of the input stay (not the text); features are then computed once and written to the
-    checkpoint folder, else once for the estimate and once for the result.
+    With ``carry`` only those columns of the input stay; they are written together with the features, which are then computed
+    once and not once for the estimate and once for the result.
     """
     rules = dict(rules or default_rules())
     df = features(df, text)
     if carry is not None:
-        df = freeze(df.select(*carry, *FEATURES))
+        df, _ = stage(df.select(*carry, *FEATURES), "quality")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     names = [f"__pm_vote_{i}" for i in range(len(rules))]
     df = compute_once(df, base_failed=failed, **dict(zip(names, rules.values())))
