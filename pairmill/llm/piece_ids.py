@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairmill.llm.common import partitions, text_or_empty
-from pairmill.llm.pieces import chunks, decoded, encode_chunks, open_model
+from pairmill.llm.pieces import chunks, encode_chunks, open_model
 
 # Bytes of text per block, if that asks for more blocks than there are shuffle partitions.
 BLOCK_BYTES = 32 << 20
@@ -122,7 +122,7 @@ def encode_documents(
         for text in texts.column("_text"):  # cut again, as the chunks of a whole block take several times its size
             one = chunks(text.as_py())
             coded.append(begin + b"".join(map(table.__getitem__, one)) + end)
-            plain.append("".join(map(decoded, one))[1:])
+            plain.append(model.decode(np.frombuffer(coded[-1], "<u4").tolist()))
         columns = [texts.column(c) for c in keep]
         return pa.table([*columns, pa.array(coded, pa.binary()), pa.array(plain, pa.string())], names=out.names)
 
