@@ -24,15 +24,34 @@ from pairmill.session import freeze
 MAX_BROADCAST_CUTS = 50_000
 # Leading hex digits of the key that name a bucket: 16 ** 3 buckets per class.
 BUCKET_DIGITS = 3
-ROW = "_sampling_row"
+ROW = "__pm_row"
 
 
 def _identified(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
-    """The table and the column that names its rows: ``id_col``, or a row number where that column cannot."""
+    """The table and the column that names its rows: ``id_col``, or a name made of the row's content where ids are NULL or
+    repeated."""
     per_id = df.groupBy(id_col).agg(F.count("*").alias("n"))
     if per_id.filter((F.col("n") > 1) | F.col(id_col).isNull()).isEmpty():
         return df, id_col
-    return freeze(df.withColumn(ROW, F.monotonically_increasing_id())), ROW
+    return freeze(_named_by_content(df)), ROW
+
+
+def _named_by_content(df: DataFrame) -> DataFrame:
+    """Add the digest of the row's content and its number among equal rows: the same names however the table is split.
+
+    Equal rows are numbered inside their input split, and each split's numbers follow those of the splits before it, so
+    that a row which fills a large part of the table is not numbered in one task.
+    """
+    content = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"})
+    rows = freeze(df.withColumns({"__pm_digest": F.sha2(content, 256), "__pm_split": F.spark_partition_id()}))
+    same = ["__pm_digest", "__pm_split"]
+    before = Window.partitionBy("__pm_digest").orderBy("__pm_split")
+    counts = rows.groupBy(*same).agg(F.count("*").alias("__pm_n"))
+    offsets = counts.withColumn("__pm_before", F.sum("__pm_n").over(before) - F.col("__pm_n")).drop("__pm_n")
+    numbered = rows.withColumn("__pm_nth", F.row_number().over(Window.partitionBy(*same).orderBy("__pm_digest")))
+    named = numbered.join(offsets, same)
+    name = F.concat_ws(":", "__pm_digest", (F.col("__pm_before") + F.col("__pm_nth")).cast("string"))
+    return named.withColumn(ROW, name).select(*(F.col(f"`{c}`") for c in df.columns), ROW)
 
 
 def _keyed(df: DataFrame, id_col: str, by: str | None, seed: int) -> DataFrame:
@@ -71,18 +90,18 @@ def _with_cuts(df: DataFrame, cuts: DataFrame, by: str | None, labels: Sequence[
     """One row of cuts per class, one column per label, joined to the rows of the class."""
     per_class = cuts.groupBy("_class").agg(
         *(
-            F.max(F.when(F.col("label") == v, F.struct("cut_key", "cut_id"))).alias(f"_cut_{v}")
+            F.max(F.when(F.col("label") == v, F.struct("cut_key", "cut_id"))).alias(f"__pm_cut_{v}")
             for v in labels
         )
     )
-    per_class = _broadcast_if_small(per_class)
+    per_class = _broadcast_if_small(per_class.withColumnRenamed("_class", "__pm_class"))
     group = F.col(by) if by is not None else F.lit("")
-    return df.withColumn("_class", group).join(per_class, "_class", "left").drop("_class")
+    return df.withColumn("__pm_class", group).join(per_class, "__pm_class", "left").drop("__pm_class")
 
 
 def _within(id_col: str, seed: int, label: str) -> Column:
     """True for rows at or before the cut."""
-    key, cut = seeded_key(id_col, seed), F.col(f"_cut_{label}")
+    key, cut = seeded_key(id_col, seed), F.col(f"__pm_cut_{label}")
     before = (key < cut["cut_key"]) | ((key == cut["cut_key"]) & (F.col(id_col) <= cut["cut_id"]))
     return F.coalesce(before, F.lit(False))
 
@@ -131,7 +150,7 @@ def stratified_split(
     targets = quotas.select("_class", F.lit("test").alias("label"), F.col("quota").alias("rank"))
     cuts = _cuts(keyed, buckets, targets.filter("rank > 0"))
     marked = _with_cuts(df, cuts, by, ["test"]).withColumn("is_test", _within(id_col, seed, "test"))
-    return marked.drop("_cut_test", ROW)
+    return marked.drop("__pm_cut_test", ROW)
 
 
 def nested_samples(
@@ -149,7 +168,7 @@ def nested_samples(
     labels = [str(n) for n in sizes]
     marked = _with_cuts(df, cuts, None, labels)
     smallest = F.coalesce(*(F.when(_within(id_col, seed, v), F.lit(int(v))) for v in labels))
-    return marked.withColumn("smallest_sample", smallest).drop(*(f"_cut_{v}" for v in labels), ROW)
+    return marked.withColumn("smallest_sample", smallest).drop(*(f"__pm_cut_{v}" for v in labels), ROW)
 
 
 def sample_of(samples: DataFrame, n: int) -> DataFrame:
@@ -178,4 +197,4 @@ def random_split(
     labels = list(names[:-1])
     marked = _with_cuts(df, cuts, None, labels)
     part = F.coalesce(*(F.when(_within(id_col, seed, v), F.lit(v)) for v in labels), F.lit(names[-1]))
-    return marked.withColumn("split", part).drop(*(f"_cut_{v}" for v in labels), ROW)
+    return marked.withColumn("split", part).drop(*(f"__pm_cut_{v}" for v in labels), ROW)

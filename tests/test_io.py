@@ -185,3 +185,13 @@ def test_buckets_of_large_ids(spark):
     df = spark.createDataFrame([(9007199254740993,), (-1,), (0,)], "id long")
     assert [r.bucket for r in with_bucket(df, "id", 1).collect()] == [9007199254740993, -1, 0]
     assert [r.bucket for r in with_bucket(df, "id", 10).collect()] == [9007199254740990, -10, 0]
+
+
+def test_from_records(spark):
+    """Records follow the schema: order of keys does not matter, absent ones are NULL, others are left out."""
+    rows = [{"b": 1, "a": "x"}, {"a": "y", "c": 9}, {}]
+    for schema in ("a string, b int", spark.createDataFrame([], "a string, b int").schema):
+        df = fl.from_records(spark, rows, schema)
+        assert df.dtypes == [("a", "string"), ("b", "int")]
+        assert [tuple(r) for r in df.collect()] == [("x", 1), ("y", None), (None, None)]
+    assert fl.from_records(spark, [], "a string").count() == 0

@@ -114,3 +114,26 @@ def test_file_order_counts_parts_by_number(spark, tmp_path):
         (tmp_path / f"{part}-c000.json").write_text(f'{{"v": {i}}}\n')
     lines = od.file_order(spark.read.schema("v int").json(str(tmp_path)))
     assert [r.v for r in lines.orderBy("file_order").collect()] == [0, 1, 2, 3]
+
+
+def test_draw_without_ids_is_the_same_for_any_split(spark):
+    """Rows without an id, or with repeated ones, are named by content: the drawn rows do not follow the partitions."""
+    rows = [(None if i % 3 else i % 40, f"t{i % 90}", "ab"[i % 2], None) for i in range(300)] + [(7, "hot", "a", None)] * 150
+    schema = "doc_id long, text string, source string, n int"
+    whole = spark.createDataFrame(rows, schema)
+
+    def drawn(df):
+        split = sp.stratified_split(df, test_size=90).filter("is_test").drop("is_test").collect()
+        nested = sp.nested_samples(df, sizes=(20, 60)).filter("smallest_sample = 20").collect()
+        part = sp.random_split(df).filter("split = 'val'").collect()
+        return [Counter(map(tuple, x)) for x in (split, [r[:4] for r in nested], [r[:4] for r in part])]
+
+    first = drawn(whole.repartition(2))
+    assert [sum(x.values()) for x in first] == [90, 20, 45]
+    assert drawn(whole.repartition(5).orderBy("text")) == first
+
+
+def test_columns_named_like_helpers_stay(spark):
+    df = docs(spark, 40).withColumns({"_class": F.lit("x"), "_cut_test": F.lit("y"), "_cut_20": F.lit("z")})
+    for made in (sp.stratified_split(df, test_size=4), sp.nested_samples(df, sizes=(20,)), sp.random_split(df)):
+        assert {(r["_class"], r["_cut_test"], r["_cut_20"]) for r in made.collect()} == {("x", "y", "z")}
