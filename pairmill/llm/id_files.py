@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
+import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -31,39 +33,65 @@ from pairmill.llm.common import per_worker, text_or_empty
 SEGMENT_IDS = 4_000_000
 # Words and pre-tokens that a worker's cache holds before it starts afresh.
 CACHE_SIZE = 500_000
-# Splitting and byte mapping of the tokenizer, for words of lower-case printable ASCII.
-ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+# Characters below this one are cut by a pattern here, others by the library.
+PLAIN_END = 0x250
+
+
+class PartIds(dict):
+    """The ids of pre-tokens as bytes, by the model at first sight."""
+
+    def __init__(self, tokenizer: Tokenizer, id_bytes: int, cache_size: int) -> None:
+        super().__init__()
+        self.tokenize, self.most = tokenizer.model.tokenize, cache_size
+        # Unsigned little-endian integers of that many bytes.
+        self.pack = {2: "<%dH", 4: "<%dI"}[id_bytes]
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        self[part] = found = self.coded([t.id for t in self.tokenize(part)])
+        return found
+
+    def coded(self, ids: list[int]) -> bytes:
+        return struct.pack(self.pack % len(ids), *ids)
 
 
 class WordIds(dict):
     """The ids of words as bytes, encoded by the library at first sight.
 
-    The tokenizer drops white space and no token spans it, so a text is the chain of its words.
+    The tokenizer drops white space and no token spans it, so a text is the chain of its words. Its normaliser and its
+    byte mapping work character by character on printable ones below ``PLAIN_END``; what they make of each is asked of
+    the library once, and words of such characters are cut by one pattern. Other words go to the library whole.
     """
 
     def __init__(self, tokenizer: Tokenizer, id_bytes: int, cache_size: int = CACHE_SIZE) -> None:
         super().__init__()
-        self.tokenizer, self.kind, self.most, self.parts = tokenizer, f"<u{id_bytes}", cache_size, {}
-
-    def _part(self, part: str) -> bytes:
-        if part not in self.parts:
-            if len(self.parts) >= self.most:
-                self.parts.clear()
-            ids = [t.id for t in self.tokenizer.model.tokenize(part)]
-            self.parts[part] = np.array(ids, self.kind).tobytes()
-        return self.parts[part]
+        self.tokenizer, self.most, self.parts = tokenizer, cache_size, PartIds(tokenizer, id_bytes, cache_size)
+        self.lower, self.bytes, classes = {}, {}, {"L": "", "N": ""}
+        for c in filter(str.isprintable, map(chr, range(0x21, PLAIN_END))):
+            normal = tokenizer.normalizer.normalize_str(c)
+            if len(normal) == 1 and ord(normal) < PLAIN_END:
+                self.lower[ord(c)] = normal
+                self.bytes[ord(c)] = "".join(p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(c))
+                if unicodedata.category(c)[0] in classes:
+                    classes[unicodedata.category(c)[0]] += c
+        letters, numbers = map(re.escape, classes.values())
+        self.plain = re.compile(f"[{re.escape(''.join(map(chr, self.lower)))}]*").fullmatch
+        self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{letters}{numbers}]+").findall
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
         if "<|" in word:  # may hold an added token
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            found = np.array(ids, self.kind).tobytes()
+            found = self.parts.coded(self.tokenizer.encode(word, add_special_tokens=False).ids)
         elif word.isascii() and word.isprintable():
-            found = b"".join(map(self._part, ASCII_WORD.findall(word.lower())))
+            found = b"".join(map(self.parts.__getitem__, self.cut(word.lower())))
+        elif self.plain(word):
+            cut = (p if p.isascii() else p.translate(self.bytes) for p in self.cut(word.translate(self.lower)))
+            found = b"".join(map(self.parts.__getitem__, cut))
         else:
-            plain = self.tokenizer.normalizer.normalize_str(word)
-            found = b"".join(self._part(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain))
+            normal = self.tokenizer.normalizer.normalize_str(word)
+            found = b"".join(self.parts[p] for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal))
         self[word] = found
         return found
 
@@ -72,9 +100,10 @@ class WordIds(dict):
 
 
 def check_tokenizer(tokenizer: Tokenizer) -> None:
-    """ValueError unless texts can be cut at white space and ASCII words by ``ASCII_WORD``."""
-    probe = "It's 42, isn't  IT?\nwe'll-see:<x> ''d ~a1b2"
+    """ValueError unless texts can be cut at white space, and words by the pattern of :class:`WordIds`."""
     words = WordIds(tokenizer, 4)
+    plain = "".join(map(chr, words.lower))
+    probe = f"It's 42, isn't  IT?\nwe'll-see:<x> ''d ~a1b2 {plain} {' '.join(plain)} a{'a'.join(plain)} 1{'1'.join(plain)}"
     want = tokenizer.encode(probe, add_special_tokens=False).ids
     if np.frombuffer(words.encode(probe), "<u4").tolist() != want:
         raise ValueError("this tokenizer does not work word by word")
