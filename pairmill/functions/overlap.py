@@ -6,12 +6,16 @@ counts once, by set intersection. What is left are grams that occur repeatedly i
 to each other, a regex cuts out the runs of copies, and of two runs of the same gram the shorter one, which is a prefix
 of the longer, tells how many further matches there are. Cost is linear in the text but for the sort, and scoring a
 table is a plain projection: no gram becomes a row, nothing is shuffled.
+
+Grams of characters are too many for that: a text has as many as characters, for each of six orders. There grams are
+numbers, and the overlaps of a whole Arrow batch come from one sort of them for each order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -109,3 +113,74 @@ def lcs_length(a: list[str], b: list[str]) -> int:
 def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest common subsequence of two token arrays; the one score that no built-in function expresses."""
     return pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
+
+
+# Characters of the rows whose grams are sorted together; a longer pair of texts is sorted alone.
+SORTED_CHARS = 1 << 17
+
+
+def char_overlaps(cand: Column | str, ref: Column | str, orders: Sequence[int] = CHRF_ORDERS) -> Column:
+    """Array of the clipped overlaps of two texts, one for each order, in the form of :func:`overlap`. NULL counts as empty."""
+    orders = tuple(orders)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def matches(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(list(char_matches(a.fillna("").tolist(), b.fillna("").tolist(), orders)), dtype="object")
+
+    def windows(text: Column | str, n: int) -> Column:
+        return F.greatest(F.coalesce(F.length(text), F.lit(0)) - (n - 1), F.lit(0))
+
+    sizes = F.array(*(F.struct(windows(cand, n).alias("c"), windows(ref, n).alias("r")) for n in orders))
+    return F.zip_with(
+        matches(cand, ref), sizes, lambda m, size: F.struct(m.alias("m"), size["c"].alias("c"), size["r"].alias("r"))
+    )
+
+
+def char_matches(cand: list[str], ref: list[str], orders: Sequence[int]) -> np.ndarray:
+    """For each pair of texts and each order the matches of their bags of character grams."""
+    found = np.zeros((len(cand), len(orders)), dtype="int32")
+    if not cand:
+        return found
+    sizes = np.cumsum([len(a) + len(b) for a, b in zip(cand, ref)])
+    at = 0
+    while at < len(cand):
+        before = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + SORTED_CHARS, side="right")))
+        found[at:end] = _sorted_matches(cand[at:end], ref[at:end], orders)
+        at = end
+    return found
+
+
+def _sorted_matches(cand: list[str], ref: list[str], orders: Sequence[int]) -> np.ndarray:
+    texts = [*cand, *ref]
+    n = len(cand)
+    lengths = np.fromiter(map(len, texts), dtype="int64", count=2 * n)
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    alphabet, chars = np.unique(chars, return_inverse=True)
+    place = np.repeat(np.arange(2 * n), lengths)
+    # The pair above the side, so that both sides of a gram are neighbours once sorted.
+    pair, side = place % n, place // n
+    room = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(chars))
+    size = max(1, len(alphabet))
+    found = np.zeros((n, len(orders)), dtype="int64")
+    grams, kinds = chars.astype("int64"), size
+    for order in range(1, max(orders) + 1):
+        fits = np.flatnonzero(room >= order)
+        if not len(fits):
+            break
+        if order > 1:
+            # A gram is the one before it and its last character; numbers are drawn together before they overflow.
+            if kinds * size >= (1 << 61) // n:
+                known, grams = np.unique(grams, return_inverse=True)
+                kinds = len(known)
+            grams = grams[kept[fits]] * size + chars[fits + order - 1]
+            kinds *= size
+        kept = np.zeros(len(chars) + 1, dtype="int64")
+        kept[fits] = np.arange(len(fits))
+        if order in orders:
+            keys = np.sort((pair[fits] * kinds + grams) * 2 + side[fits])
+            first = np.flatnonzero(np.r_[True, (keys[1:] >> 1) != (keys[:-1] >> 1)])
+            of_ref = np.add.reduceat(keys & 1, first)
+            both = np.minimum(of_ref, np.diff(np.r_[first, len(keys)]) - of_ref)
+            found[:, list(orders).index(order)] = np.bincount((keys[first] >> 1) // kinds, both, minlength=n)
+    return found

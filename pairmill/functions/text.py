@@ -187,20 +187,6 @@ def word_ngrams(tokens: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
 
 
-def char_ngrams(c: Column | str, n: int) -> Column:
-    """All runs of ``n`` characters of a text, in one pass.
-
-    A look-ahead collects overlapping runs without a lambda per character. It steps by UTF-16 units, so texts
-    with characters beyond U+FFFF take the slower way over an array of characters.
-    """
-    c = _col(c)
-    count = F.length(c) - (n - 1)
-    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    by_char = F.transform(starts, lambda i: F.array_join(F.slice(F.split(c, ""), i, n), ""))
-    by_regex = F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
-    return F.when(c.rlike(r"[^\x{0}-\x{FFFF}]"), by_char).otherwise(by_regex)
-
-
 def first_nonempty(*cols: Column) -> Column:
     """The first value that is neither NULL nor '', else ''."""
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in cols), F.lit(""))

@@ -37,7 +37,6 @@ def pair_scores(
             grams |= {f"_bleu{n}_{side}": tx.word_ngrams(F.col(f"_bleu_{side}"), n) for n in ov.BLEU_ORDERS}
         if "chrf" in metrics:
             tokens[f"_chrf_{side}"] = tx.squeezed(side)
-            grams |= {f"_chrf{n}_{side}": tx.char_ngrams(f"_chrf_{side}", n) for n in ov.CHRF_ORDERS}
     families = [g.removesuffix("_cand") for g in grams if g.endswith("_cand")]
 
     # Texts and tokens are pinned, so that no text is cut twice.
@@ -45,6 +44,8 @@ def pair_scores(
     scored = compute_once(pairs, **tokens).drop("cand", "ref")
     if "rougeL" in metrics:
         scored = scored.withColumn("_lcs", ov.lcs("_rouge_cand", "_rouge_ref"))
+    if "chrf" in metrics:
+        scored = scored.withColumn("_chrf", ov.char_overlaps("_chrf_cand", "_chrf_ref"))
     # Plain projections here: each bag is read several times, so they are not merged, and unlike one large generator
     # their generated code is split into methods small enough for the JIT compiler.
     scored = scored.withColumns(grams)
@@ -56,7 +57,7 @@ def pair_scores(
     scores = {f"rouge{n}": ov.rouge_n(F.col(f"_rouge{n}")) for n in rouge}
     scores["rougeL"] = ov.f_measure(F.col("_lcs"), F.size("_rouge_cand"), F.size("_rouge_ref"))
     scores["bleu"] = ov.bleu(of("bleu", ov.BLEU_ORDERS))
-    scores["chrf"] = ov.chrf(of("chrf", ov.CHRF_ORDERS))
+    scores["chrf"] = ov.chrf([F.col("_chrf")[i] for i in range(len(ov.CHRF_ORDERS))])
     return scored.select(*keys, *(scores[m].alias(m) for m in metrics))
 
 

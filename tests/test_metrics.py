@@ -156,3 +156,41 @@ def test_identity_system_is_the_upper_bound(spark, sf):
     row = scored.agg(*(F.min(m).alias(m) for m in ("rouge1", "rougeL", "bleu", "chrf"))).first()
     assert row.chrf == pytest.approx(100) and row.bleu == pytest.approx(100)
     assert row.rouge1 in (0.0, 1.0) and row.rougeL in (0.0, 1.0)
+
+
+def test_char_overlaps_against_brute_force(spark, monkeypatch):
+    """Few and many different characters, equal texts, empty ones, and texts beyond the size that is sorted together."""
+    rng = random.Random(3)
+    orders = ov.CHRF_ORDERS
+    for alphabet in ("ab", "abcdefgh\U0001f600", "".join(map(chr, range(0x4E00, 0x4E00 + 20_000)))):
+        ref = ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(200)]
+        cand = [t if i % 3 == 0 else t[i % 7 :] + t[:9] for i, t in enumerate(ref)]
+        want = [[clipped(grams(c, n), grams(r, n))[0] for n in orders] for c, r in zip(cand, ref)]
+        for together in (1 << 17, 50):
+            monkeypatch.setattr(ov, "SORTED_CHARS", together)
+            assert ov.char_matches(cand, ref, orders).tolist() == want
+    df = spark.createDataFrame([("abc", "abcd"), (None, "a"), ("", "")], "c string, r string")
+    rows = [r[0] for r in df.select(ov.char_overlaps("c", "r", (1, 3))).collect()]
+    assert [[tuple(x) for x in r] for r in rows] == [[(3, 3, 4), (1, 1, 2)], [(0, 0, 1), (0, 0, 0)], [(0, 0, 0), (0, 0, 0)]]
+    assert ov.char_matches([], [], orders).shape == (0, 6)
+
+
+def test_long_pair_meets_in_many_cells(spark, monkeypatch):
+    """One pair with most of all tokens is a grid of cells, so that no join key holds all its meetings."""
+    monkeypatch.setattr(bs, "BLOCK", 16)
+    monkeypatch.setattr(bs, "STRIP", 2)
+    side = F.when(F.col("id") % 2 == 0, "cand").otherwise("ref")
+    long_pair = spark.range(1200).select(F.lit(0).alias("pair_id"), side.alias("side"), F.col("id").alias("pos"))
+    short = spark.range(40).select((F.col("id") % 10 + 1).cast("int").alias("pair_id"), F.when(F.col("id") < 20, "cand").otherwise("ref").alias("side"), F.col("id").alias("pos"))
+    angle = F.col("pos") % 17 + F.col("pair_id") + 0.3
+    tokens = long_pair.unionByName(short).withColumn("vec", F.array(F.cos(angle), F.sin(angle * 2), F.lit(0.4)))
+    cand, ref = bs.strips(tokens, ["pair_id"])
+    cells = cand.join(ref, ["pair_id", "_cand_strip", "_ref_strip"]).groupBy("pair_id", "_cand_strip", "_ref_strip").count()
+    of_long = [r["count"] for r in cells.filter("pair_id = 0").collect()]
+    blocks = 75
+    assert sum(of_long) == blocks * blocks and len(of_long) > 200 and max(of_long) < 200
+    assert all(r["count"] <= 9 for r in cells.filter("pair_id > 0").collect())
+    spread = {r.pair_id: r for r in bs.bertscore_match(tokens).collect()}
+    monkeypatch.setattr(bs, "BLOCK", 4096)
+    for row in bs.bertscore_match(tokens).collect():
+        assert tuple(spread[row.pair_id]) == pytest.approx(tuple(row))
