@@ -6,7 +6,11 @@ travel. Only the one input column crosses to Python.
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -55,3 +59,22 @@ def encode(
             yield pd.Series([[float(x) for x in v] for v in call(batch.fillna("").tolist())], dtype="object")
 
     return df.withColumn(out_col, run(F.col(in_col)))
+
+
+def hashed_grams(dim: int = 256, size: int = 3) -> Callable[[list[str]], list]:
+    """The default encoder, which needs no model: counts of character grams in ``dim`` hashed places, at length one.
+
+    A text is lower-cased and has a blank put on both ends; one that is shorter than a gram is a gram itself. Texts that
+    share many grams have a high cosine, whatever their language or script."""
+
+    @lru_cache(1 << 16)
+    def place(gram: str) -> int:
+        return int(hashlib.md5(gram.encode()).hexdigest()[:7], 16) % dim
+
+    def vector(text: str) -> list[float]:
+        text = f" {text.lower()} "
+        counts = Counter(place(text[i : i + size]) for i in range(max(1, len(text) - size + 1)))
+        length = math.sqrt(sum(n * n for n in counts.values()))
+        return [counts[i] / length for i in range(dim)]
+
+    return lambda texts: [vector(t) for t in texts]

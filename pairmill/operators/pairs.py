@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from pairmill.functions import text as tx
 from pairmill.operators.columns import compute_once
+from pairmill.session import stage
+
+# Rows to drop that are broadcast, eight bytes each; more of them are joined by shuffle.
+MOST_BROADCAST_ROWS = 1 << 20
 
 
 def derive_pairs(
@@ -77,6 +81,23 @@ def drop_duplicates(df: DataFrame, col: str = "text_clean", order: str = "doc_id
     )
 
 
+def first_copies(df: DataFrame, col: str = "text_clean", order: str = "doc_id") -> DataFrame:
+    """The rows that :func:`drop_duplicates` keeps, for wide rows that are needed whole. Runs jobs when called.
+
+    The table is written once with a row number and the digest of ``col``. The first row of each digest is found on these
+    narrow columns, where copies collapse before the shuffle, and the rows to drop are taken out of the written table by
+    their numbers: texts are never sorted, and not shuffled either while the dropped rows are few enough to broadcast.
+    A NULL text is a value like any other, a NULL in ``order`` comes first, and of rows equal in both one stays.
+    """
+    rows = df.withColumns({"__pm_row": F.monotonically_increasing_id(), "__pm_digest": F.sha2(F.col(col), 256)})
+    rows, _ = stage(rows, "copies")
+    first = rows.groupBy("__pm_digest").agg(F.min(F.struct(order, "__pm_row")).alias("first"))
+    lost, _ = stage(rows.select("__pm_row").join(first.select("first.__pm_row"), "__pm_row", "left_anti"), "lost")
+    few = lost.count() <= MOST_BROADCAST_ROWS
+    lost = F.broadcast(lost) if few else lost.hint("shuffle_hash")
+    return rows.join(lost, "__pm_row", "left_anti").drop("__pm_row", "__pm_digest")
+
+
 def quality_report(df: DataFrame, col: str = "text_clean", order: str = "doc_id", **thresholds) -> DataFrame:
     """Rows before and after filter and deduplication, dropped rows, dropped percent (one digit).
 

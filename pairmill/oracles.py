@@ -252,6 +252,22 @@ p AS (SELECT pair_id, avg(best) AS precision FROM (SELECT pair_id, c, max(cosine
 r AS (SELECT pair_id, avg(best) AS recall FROM (SELECT pair_id, r, max(cosine) AS best FROM met GROUP BY ALL) GROUP BY ALL),
 pr AS (SELECT *, 2 * precision * recall / (precision + recall) AS f1 FROM p JOIN r USING (pair_id))"""
 
+
+def _gram_places(e: str) -> str:
+    """Hashed places of the character grams of a text, one for each gram."""
+    padded = f"' ' || lower({e}) || ' '"
+    grams = f"list_transform(range(1, greatest(length({padded}) - 2, 1) + 1), lambda i: substring({padded}, i, 3))"
+    return f"list_transform({grams}, lambda g: ('0x' || substr(md5(g), 1, 7))::BIGINT % 256)"
+
+
+# Weights of the places of each text: its share of the length is w.
+def _gram_weights(table: str, e: str) -> str:
+    return f"""
+placed AS (SELECT doc_id, unnest({_gram_places(e)}) AS place FROM {table}),
+counted AS (SELECT doc_id, place, count(*) AS n FROM placed GROUP BY ALL),
+weights AS (SELECT doc_id, place, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS w FROM counted)"""
+
+
 SAMPLE_KEY = "md5('42' || doc_id::VARCHAR)"
 
 ORACLES: dict[str, str] = {
@@ -272,6 +288,33 @@ ORACLES: dict[str, str] = {
     "derived_columns": f"""WITH {DERIVED}
         SELECT doc_id, text_words, summary_words, round(compression, 6) AS compression FROM derived""",
     "drop_duplicates": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text",
+    "first_copies": """SELECT doc_id, lang, md5(text) AS text_md5 FROM documents
+        QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""",
+    "publish_corpus": f"""WITH {DERIVED},
+        pairs_l AS (SELECT pairs.doc_id, text_words, lang AS source FROM pairs JOIN documents USING (doc_id)),
+        cls AS (SELECT source, count(*) AS n FROM pairs_l GROUP BY source),
+        tot AS (SELECT sum(n)::BIGINT AS total, sum(n)::BIGINT - 20 AS train FROM cls),
+        share AS (SELECT source, n, n * train // total AS base, n * train % total AS rest, train FROM cls, tot),
+        quota AS (
+          SELECT source, n - base - CASE WHEN row_number() OVER (ORDER BY rest DESC, source)
+            <= train - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM share
+        ),
+        split AS (
+          SELECT doc_id, text_words,
+            row_number() OVER (PARTITION BY source ORDER BY {SAMPLE_KEY}, doc_id) <= quota AS is_test
+          FROM pairs_l JOIN quota USING (source)
+        ),
+        train AS (
+          SELECT text_words, row_number() OVER (ORDER BY {SAMPLE_KEY}, doc_id) AS k FROM split WHERE NOT is_test
+        ),
+        parts AS (
+          SELECT 'pairs' AS part, text_words FROM pairs
+          UNION ALL SELECT 'test', text_words FROM split WHERE is_test
+          UNION ALL SELECT 'train_10', text_words FROM train WHERE k <= 10
+          UNION ALL SELECT 'train_30', text_words FROM train WHERE k <= 30
+          UNION ALL SELECT 'train_full', text_words FROM train
+        )
+        SELECT part, count(*) AS n, sum(text_words)::BIGINT AS words FROM parts GROUP BY part""",
     # --- summaries ---
     "extract_lead": f"WITH {DERIVED} SELECT doc_id, summary FROM led",
     "get_lead": f"WITH {LEADS} SELECT doc_id, summary FROM lead",
@@ -358,6 +401,14 @@ ORACLES: dict[str, str] = {
     "attach_matches": f"""WITH {COSINES} SELECT left_id, right_id, 'label ' || a.label AS title_kk,
           'label ' || b.label AS title_ru, a.label AS text_kk, b.label AS text_ru, round(cosine, 3) AS score
         FROM nearest JOIN embeddings a ON a.vec_id = left_id JOIN embeddings b ON b.vec_id = right_id WHERE cosine >= 0.4""",
+    "align_corpora": f"""WITH titles AS (SELECT doc_id, string_split(text, chr(10))[1] AS title FROM documents),
+        {_gram_weights("titles", "title")},
+        met AS (
+          SELECT a.doc_id, b.doc_id AS other, sum(a.w * b.w) AS cosine FROM weights a JOIN weights b USING (place)
+          WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 GROUP BY ALL
+        ),
+        best AS (SELECT doc_id, max(cosine) AS cosine FROM met GROUP BY doc_id)
+        SELECT title AS title_kk, round(cosine, 3) AS score FROM best JOIN titles USING (doc_id) WHERE cosine >= 0.4321""",
     "remaining_documents": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "grow_done": "SELECT doc_id FROM labels UNION SELECT doc_id FROM documents WHERE n_chars > 2000",
     "attach_replies": """SELECT q.conv_id, q.turn, q.text AS cand, a.text AS ref FROM conversations q
@@ -456,6 +507,27 @@ ORACLES: dict[str, str] = {
     "extract_body": f"""WITH t AS (SELECT page_id, regexp_extract(html, '<div class="ad">(.*?)</div>', 1, 's') AS text,
           contains(html, '<div class="ad">') AS found FROM pages)
         SELECT page_id, {_strip("replace(replace(text, '&quot;', '\"'), '&amp;', '&')")} AS text FROM t WHERE found""",
+    "crawl_round": f"""WITH s AS (
+          SELECT url, page_id, html, [200, 204, 301, 403, 404, 410, 429, 500, 503, NULL][page_id % 10 + 1] AS status FROM pages),
+        before AS (SELECT url FROM s WHERE page_id % 5 = 0),
+        f AS (SELECT * FROM s WHERE contains(url, '/en/') AND url NOT IN (SELECT url FROM before)),
+        a AS (
+          SELECT url, regexp_extract(html, '<h1>(.*?)</h1>', 1, 's') AS h1,
+            regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<h1>.*?</h1>', '', 's') AS inner_html
+          FROM f WHERE status BETWEEN 200 AND 399),
+        b AS (
+          SELECT url, array_to_string(list_filter(list_transform(
+              string_split(regexp_replace(h1, '<[^>]+>', chr(1), 'g'), chr(1)), lambda s: {_strip("s")}),
+              lambda s: s <> ''), '') AS title,
+            array_to_string(list_filter(list_transform(
+              string_split(regexp_replace(inner_html, '<[^>]+>', chr(1), 'g'), chr(1)), lambda s: {_strip("s")}),
+              lambda s: s <> ''), chr(10)) AS body
+          FROM a)
+        SELECT 'article' AS kind, url FROM b WHERE title <> '' AND {_words('body')} >= 150
+        UNION ALL SELECT 'done', url FROM (
+          SELECT url FROM before UNION SELECT url FROM f WHERE status BETWEEN 200 AND 399 OR status IN (403, 404, 410))
+        UNION ALL SELECT 'retry', url FROM f
+          WHERE status IS NULL OR NOT (status BETWEEN 200 AND 399 OR status IN (403, 404, 410))""",
     # --- inference ---
     "generate": """SELECT doc_id, md5(CASE WHEN contains(text, '|') THEN ''
         ELSE array_to_string(list_reverse(string_split(text, ' ')), ' ') END) AS generated_md5 FROM documents""",
@@ -464,6 +536,8 @@ ORACLES: dict[str, str] = {
         FROM documents""",
     "encode_texts": """SELECT doc_id, length(text)::DOUBLE AS v0, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS v1,
         (length(text) - length(replace(text, chr(10), '')))::DOUBLE AS v2 FROM documents""",
+    "encode_default": f"""WITH {_gram_weights("documents", "text")}
+        SELECT doc_id, count(*) AS n_places, round(sum((place + 1) * w * w), 2) AS centre FROM weights GROUP BY doc_id""",
     "system_outputs": f"""WITH {TFIDF}, {LEADS}, fed AS (
           SELECT 'identity' AS system, doc_id, summary AS cand FROM lead
           UNION ALL SELECT 'lead_reversed', doc_id, CASE WHEN contains(summary, '|') THEN ''

@@ -7,18 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from pairmill.operators.align import align_best, attach_matches
-from pairmill.operators.infer import encode
+from pairmill.operators.infer import encode, hashed_grams
 
 
 def align_corpora(
     left: DataFrame,
     right: DataFrame,
-    encoder: Callable[..., Callable[[list[str]], list]],
+    encoder: Callable[..., Callable[[list[str]], list]] = hashed_grams,
     id_col: str = "id",
     threshold: float = 0.85,
     **options,
 ) -> DataFrame:
-    """(title_kk, title_ru, text_kk, text_ru, score): titles are encoded, matched, and the texts joined back."""
+    """(title_kk, title_ru, text_kk, text_ru, score): titles are encoded, matched, and the texts joined back.
+
+    Without an ``encoder`` titles are compared by their character grams."""
     vectors = [encode(df.select(id_col, "title"), "title", "embedding", encoder).drop("title") for df in (left, right)]
     matches = align_best(*vectors, id_col=id_col, threshold=threshold, **options)
     return attach_matches(matches, left, right, id_col).drop("left_id", "right_id")

@@ -41,11 +41,12 @@ def prepare_corpus(
 ) -> dict[str, DataFrame]:
     """Write pairs, test set, train samples and full train set under ``out_dir``; return the two reports.
 
-    The pairs are written once as Parquet, and split, samples and reports read that table: the text chain runs a
+    The pairs are written as Parquet, and split, samples and reports read that table: the text chain runs a
     single time. Split and samples compare rows with cuts, so each output is one pass over the written table.
     """
     spark = articles.sparkSession
-    clean_pairs(articles, id_col, **thresholds).write.mode("overwrite").parquet(f"{out_dir}/pairs")
+    passed = pr.quality_filter(pr.derive_pairs(articles), **thresholds)
+    pr.first_copies(passed, "text_clean", id_col).write.mode("overwrite").parquet(f"{out_dir}/pairs")
     pairs = spark.read.parquet(f"{out_dir}/pairs")
 
     split = sp.stratified_split(pairs, "source", id_col, test_size, seed)

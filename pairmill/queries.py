@@ -6,6 +6,7 @@ Where the given tables lack an input (markup, sitemaps, interface answers), it i
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +24,11 @@ from pairmill.operators import pairs as pr
 from pairmill.operators import profile as pf
 from pairmill.operators import sampling as sp
 from pairmill.operators.summarize import tfidf_summary
+from pairmill.plans import align as pl
+from pairmill.plans import crawl as cr
 from pairmill.plans import evaluate as ev
 from pairmill.plans import prepare as pp
+from pairmill.plans import publish as pb
 from pairmill.session import freeze, scratch
 from pairmill.sources import files as fl
 from pairmill.sources import web
@@ -112,6 +116,30 @@ def drop_duplicates(spark, sf):
     return pr.drop_duplicates(documents(spark, sf, "doc_id", "text"), "text", "doc_id").select("doc_id")
 
 
+@query
+def first_copies(spark, sf):
+    firsts = pr.first_copies(documents(spark, sf, "doc_id", "text", "lang"), "text", "doc_id")
+    return firsts.select("doc_id", "lang", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query
+def publish_corpus(spark, sf):
+    """The whole preparation with languages as sources, run twice; rows and words of each output of the version that counts."""
+    out = scratch(spark, "corpus")
+    articles = table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("source"))
+    for _ in range(2):
+        pb.publish_corpus(articles, out, test_size=20, sizes=(10, 30))
+    folder = pb.current(spark, out)
+    columns = "text string, summary string, source string, text_words long, summary_words long"
+    parts = {"pairs": spark.read.parquet(f"{folder}/pairs")}
+    parts |= {name: fl.read_pairs_csv(spark, f"{folder}/{name}", columns) for name in ("test", "train_10", "train_30", "train_full")}
+    counts = [
+        part.agg(F.count("*").alias("n"), F.sum("text_words").cast("long").alias("words")).withColumn("part", F.lit(name))
+        for name, part in parts.items()
+    ]
+    return reduce(DataFrame.union, counts)
+
+
 # --- summaries --------------------------------------------------------------------------------
 
 
@@ -304,6 +332,19 @@ def attach_matches(spark, sf):
     return al.attach_matches(al.align_best(left, right, threshold=ALIGN_THRESHOLD), left, right)
 
 
+def headed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Even documents as one corpus, odd ones as the other, with the first line as title."""
+    docs = documents(spark, sf, "doc_id", "text")
+    docs = docs.select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), "text")
+    return docs.filter("id % 2 = 0"), docs.filter("id % 2 = 1")
+
+
+@query
+def align_corpora(spark, sf):
+    """Titles of two corpora matched by the encoder that needs no model."""
+    return pl.align_corpora(*headed(spark, sf), threshold=0.4321).select("title_kk", "score")
+
+
 @query
 def remaining_documents(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang")
@@ -618,6 +659,19 @@ def extract_body(spark, sf):
     return co.drop_null(texts.select("page_id", "text"), ["text"])
 
 
+@query
+def crawl_round(spark, sf):
+    """A round over pages of one section, a fifth of them done before, with statuses derived from page ids."""
+    codes = F.array(*(F.lit(c) for c in (200, 204, 301, 403, 404, 410, 429, 500, 503)), F.lit(None).cast("int"))
+    pages = co.spread(table(spark, sf, "pages")).withColumn("status", codes[(F.col("page_id") % 10).cast("int")])
+    done = pages.filter("page_id % 5 = 0").select("url")
+    queue = cr.crawl_queue(pages, done, "/en/")
+    fetched = pages.select("url", "status", "html")
+    made = cr.crawl_round(queue, fetched, done, "web", "xx", url_part="/en/", container=PAGE_CONTAINER, noise=PAGE_NOISE)
+    kinds = {"article": made.articles, "done": made.done, "retry": made.retry}
+    return reduce(DataFrame.union, (df.select(F.lit(kind).alias("kind"), "url") for kind, df in kinds.items()))
+
+
 # --- inference --------------------------------------------------------------------------------
 
 
@@ -657,6 +711,16 @@ def encode_texts(spark, sf):
     return docs.select("doc_id", *(F.col("vector")[i].cast("double").alias(f"v{i}") for i in range(3)))
 
 
+@query
+def encode_default(spark, sf):
+    """The encoder without a model: used places of each vector, and where its weight lies."""
+    docs = nf.encode(documents(spark, sf, "doc_id", "text"), "text", "vector", nf.hashed_grams)
+    centre = F.aggregate(
+        F.transform("vector", lambda x, i: (i + 1) * x.cast("double") * x), F.lit(0.0), lambda total, x: total + x
+    )
+    return docs.select("doc_id", F.size(F.filter("vector", lambda x: x > 0)).alias("n_places"), F.round(centre, 2).alias("centre"))
+
+
 @query
 def system_outputs(spark, sf):
     """Lead and TF-IDF summaries fed to a callable, and the identity system."""

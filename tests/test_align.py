@@ -15,6 +15,7 @@ from pairmill.operators.align import (
     grid_blocks,
     tables_for,
 )
+from pairmill.operators.infer import hashed_grams
 from pairmill.plans.align import align_corpora
 
 
@@ -83,6 +84,18 @@ def test_align_corpora(spark):
     assert [tuple(r) for r in rows] == [("aab", "aab", "x", "u", 1.0)]
 
 
+def test_default_encoder(spark):
+    """Titles that differ by a letter meet; the empty one and one of another script match nothing."""
+    left = spark.createDataFrame([(1, "Harvest festival opens", "x"), (2, "", "y"), (3, "Қазақ тілі", "z")], "id long, title string, text string")
+    right = spark.createDataFrame([(5, "harvest festivals open", "u"), (6, "tax rates", "v"), (7, None, "w")], "id long, title string, text string")
+    rows = align_corpora(left, right, threshold=0.6).collect()
+    assert [(r.title_kk[:4], r.text_ru) for r in rows if r.title_kk] == [("Harv", "u")]
+    # Empty and NULL titles count as the same text.
+    assert [r.text_ru for r in rows if not r.title_kk] == ["w"]
+    encoded = hashed_grams(dim=64)(["ab", "", "x" * 5000])
+    assert all(abs(sum(x * x for x in v) - 1) < 1e-9 and len(v) == 64 for v in encoded)
+
+
 def test_attach_keeps_reused_right_rows(spark):
     matches = spark.createDataFrame([(1, 5, 0.9), (2, 5, 0.95)], "left_id long, right_id long, score double")
     side = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (5, "c", "z")], "id long, title string, text string")

@@ -1,10 +1,12 @@
 """Filter, deduplication and profiles on small inputs."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from pairmill.operators import columns as co
 from pairmill.operators import pairs as pr
 from pairmill.operators import profile as pf
+from pairmill.plans import publish as pb
 from pairmill.plans.prepare import clean_pairs, prepare_corpus
 
 
@@ -69,3 +71,46 @@ def test_prepare_corpus(spark, sf, tmp_path):
     assert not (tmp_path / "out" / "train_1000000").exists()
     assert rows("test").columns == ["text", "summary", "source", "text_words", "summary_words"]
     assert reports["by_source"].agg(F.sum("n")).first()[0] == total
+
+
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_first_copies(spark, monkeypatch, few):
+    """A hot text, NULL and empty texts, NULL and repeated ids, rows that repeat as a whole, a column of a clashing name."""
+    monkeypatch.setattr(pr, "MOST_BROADCAST_ROWS", few)
+    rows = [(i, "copy" if i % 3 else f"text {i}", i) for i in range(300)]
+    rows += [(None, "copy", -1), (7, None, -2), (5, None, -3), (9, "", -4), (400, "twice", -5), (400, "twice", -5), (3, "other", -6)]
+    df = spark.createDataFrame(rows, "doc_id long, text_clean string, first int").repartition(7)
+    kept = pr.first_copies(df)
+    assert kept.columns == df.columns
+    want = [(i, f"text {i}", i) for i in range(0, 300, 3)]
+    want += [(None, "copy", -1), (5, None, -3), (9, "", -4), (400, "twice", -5), (3, "other", -6)]
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
+    assert sorted(map(str, pr.drop_duplicates(df).collect())) == sorted(map(str, kept.collect()))
+    assert pr.first_copies(df.limit(0)).count() == 0
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Sort " not in plan and ("Exchange hash" in plan) == (few == 0)
+
+
+def test_versions_become_visible_together(spark, tmp_path):
+    """A run that fails leaves the version before it; the next one takes its place whole."""
+    out = str(tmp_path / "corpus")
+    assert pb.current(spark, out) is None
+
+    def job(n, fail=False):
+        def write(folder):
+            spark.range(n).write.parquet(f"{folder}/a")
+            if fail:
+                raise RuntimeError("lost")
+            spark.range(n * 2).write.parquet(f"{folder}/b")
+
+        return write
+
+    first = pb.publish(spark, out, job(3))
+    assert pb.current(spark, out) == first
+    with pytest.raises(RuntimeError):
+        pb.publish(spark, out, job(5, fail=True))
+    assert pb.current(spark, out) == first
+    second = pb.publish(spark, out, job(5))
+    assert pb.current(spark, out) == second != first
+    assert spark.read.parquet(f"{second}/b").count() == 10 and spark.read.parquet(f"{first}/a").count() == 3
+    assert sorted(r.version for r in pb.versions(spark, out).collect()) == [1, 2]
