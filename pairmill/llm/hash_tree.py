@@ -69,9 +69,9 @@ def assign_shards(
     is replaced.
     """
     key = row_key(id_col, text)
-    df = df.withColumn("_region", _pick(key, "region", _children(leaves, "region")))
-    df = df.withColumn("_rack", _pick(key, "rack", _below(leaves, "region", "rack")[F.col("_region")]))
-    return df.withColumn(name, _pick(key, "shard", _below(leaves, "rack", "shard")[F.col("_rack")])).drop("_region", "_rack")
+    df = df.withColumn("__pm_region", _pick(key, "region", _children(leaves, "region")))
+    df = df.withColumn("__pm_rack", _pick(key, "rack", _below(leaves, "region", "rack")[F.col("__pm_region")]))
+    return df.withColumn(name, _pick(key, "shard", _below(leaves, "rack", "shard")[F.col("__pm_rack")])).drop("__pm_region", "__pm_rack")
 
 
 def with_slots(df: DataFrame, order: Sequence[str], shard: str = "shard", name: str = "slot") -> DataFrame:
@@ -81,11 +81,11 @@ def with_slots(df: DataFrame, order: Sequence[str], shard: str = "shard", name:
     before are taken off. So a shard of any size, or a third of all rows with one id, is numbered by many tasks. Pass
     narrow rows: they are written to the checkpoint folder.
     """
-    fixed = freeze(df).withColumn("_tie", F.monotonically_increasing_id())
-    numbered = global_row_number(fixed, [shard, *order, "_tie"], "_row")
+    fixed = freeze(df).withColumn("__pm_tie", F.monotonically_increasing_id())
+    numbered = global_row_number(fixed, [shard, *order, "__pm_tie"], "__pm_row")
     # One row per shard.
-    counts = fixed.groupBy(shard).agg(F.count("*").alias("_n"))
+    counts = fixed.groupBy(shard).agg(F.count("*").alias("__pm_n"))
     before = Window.partitionBy(F.lit(0)).orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(shard, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    counts = counts.select(shard, F.coalesce(F.sum("__pm_n").over(before), F.lit(0)).alias("__pm_before"))
     slots = numbered.join(F.broadcast(counts), shard)
-    return slots.withColumn(name, F.col("_row") - 1 - F.col("_before")).drop("_row", "_before", "_tie")
+    return slots.withColumn(name, F.col("__pm_row") - 1 - F.col("__pm_before")).drop("__pm_row", "__pm_before", "__pm_tie")

@@ -188,20 +188,7 @@ def read_token_ids(spark: SparkSession, path: str, id_name: str = "doc_id") -> D
     """(doc_id, start, n_tokens, ids): one row per document of the files. ``start`` counts the ids of all documents
     before it; ``ids`` are unsigned 32-bit integers, little-endian."""
     segments = spark.read.parquet(path)
-    sums = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    # One row per part of the files, that is per task that wrote them.
-    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    id_type = segments.schema["doc_ids"].dataType.elementType
-    schema = T.StructType(
-        [
-            T.StructField("part", T.IntegerType()),
-            T.StructField(id_name, id_type),
-            T.StructField("at", T.LongType()),
-            T.StructField("n_tokens", T.LongType()),
-            T.StructField("ids", T.BinaryType()),
-        ]
-    )
+    schema = _document_schema(segments, id_name)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,5 +208,59 @@ def read_token_ids(spark: SparkSession, path: str, id_name: str = "doc_id") -> D
                 )
 
     columns = ["part", "start_in_part", "id_bytes", "doc_ids", "boundaries", "ids"]
-    found = segments.select(*columns).mapInArrow(unpack, schema).join(F.broadcast(offsets), "part")
+    return _with_start(segments.select(*columns).mapInArrow(unpack, schema), segments, id_name)
+
+
+def read_documents(spark: SparkSession, path: str, wanted: DataFrame, id_name: str = "doc_id") -> DataFrame:
+    """The rows of :func:`read_token_ids` whose id is in ``wanted``, without unpacking the others.
+
+    Wanted ids are looked up in the id lists alone. Only segments that hold one are then read whole, and there ``select``
+    gives the two boundaries of each document. An id that stands in several documents gives them all, one that ``wanted``
+    repeats gives them once, and a NULL or unknown one gives none; other columns of ``wanted`` are left out.
+    """
+    segments = spark.read.parquet(path)
+    listed = segments.select("part", "segment", F.posexplode("doc_ids").alias("at", id_name))
+    found = listed.join(wanted.select(id_name), id_name, "left_semi")
+    found = found.groupBy("part", "segment").agg(F.collect_list("at").alias("places"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (pa.Table.from_batches([batch.slice(i, 1)]).to_pylist()[0] for i in range(batch.num_rows)):
+                edges, flat = elias_fano.EliasFano(row["boundaries"]), np.frombuffer(row["ids"], f"<u{row['id_bytes']}")
+                spans = [(edges.select(i), edges.select(i + 1)) for i in row["places"]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([row["part"]] * len(spans), pa.int32()),
+                        pa.array([row["doc_ids"][i] for i in row["places"]], arrow_id),
+                        pa.array([row["start_in_part"] + a for a, _ in spans], pa.int64()),
+                        pa.array([b - a for a, b in spans], pa.int64()),
+                        pa.array([flat[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary()),
+                    ],
+                    ["part", id_name, "at", "n_tokens", "ids"],
+                )
+
+    schema = _document_schema(segments, id_name)
+    arrow_id = to_arrow_type(schema[id_name].dataType)
+    held = segments.drop("n_ids").join(found, ["part", "segment"])
+    return _with_start(held.mapInArrow(pick, schema), segments, id_name)
+
+
+def _document_schema(segments: DataFrame, id_name: str) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("part", T.IntegerType()),
+            T.StructField(id_name, segments.schema["doc_ids"].dataType.elementType),
+            T.StructField("at", T.LongType()),
+            T.StructField("n_tokens", T.LongType()),
+            T.StructField("ids", T.BinaryType()),
+        ]
+    )
+
+
+def _with_start(found: DataFrame, segments: DataFrame, id_name: str) -> DataFrame:
+    sums = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    # One row per part of the files, that is per task that wrote them.
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    found = found.join(F.broadcast(offsets), "part")
     return found.select(id_name, (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids")

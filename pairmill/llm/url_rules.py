@@ -115,8 +115,8 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, url: str = "url", **minin
     found = match_rules(pages, mine_rules(labelled, **mining), url).select(url, F.col("tokens").alias("mined"))
     judged = pages.join(found, url, "left")
     judged = judged.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    judged = judged.withColumn("_base", base_rule(F.col("host"), F.col("path")))
+    judged = judged.withColumn("__pm_base", base_rule(F.col("host"), F.col("path")))
     mined = F.when(F.col("mined").isNotNull(), "block").otherwise("allow")
     return judged.withColumns(
-        {"rule": F.col("_base.rule"), "verdict": F.coalesce(F.col("_base.verdict"), mined)}
-    ).drop("_base")
+        {"rule": F.col("__pm_base.rule"), "verdict": F.coalesce(F.col("__pm_base.verdict"), mined)}
+    ).drop("__pm_base")
