@@ -5,9 +5,9 @@ is needed is the key of the k-th row: a *cut*. Cuts are found on narrow (class,
 leading key digits; afterwards the wide rows are only compared with their cut. No wide row is shuffled or
 sorted, and a class holding any share of the table is spread over all its key buckets.
 
-An id that is NULL or stands in several rows cannot tell rows apart. If ``id_col`` holds such ids, rows are numbered once,
-the numbered table is written to the checkpoint folder, and the numbers are ordered by their hash instead: sizes stay exact,
-and the drawn rows are the same as long as the input is read in the same splits. The functions run small jobs when called.
+An id that is NULL or stands in several rows cannot tell rows apart. If ``id_col`` holds such ids, rows are named by the
+digest of their content and their number among equal rows, and the named table is written to the checkpoint folder: sizes
+stay exact, and the drawn rows are the same however the input is split. The functions run small jobs when called.
 """
 
 from __future__ import annotations
