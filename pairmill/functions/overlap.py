@@ -1,22 +1,17 @@
 """Scores of a candidate text against its reference, as column expressions.
 
-All of them rest on one quantity, the clipped overlap of two bags of n-grams: the sum over grams of the smaller
-of the two counts. It is taken inside the row with built-in array and regex functions. Every gram that both bags share
-counts once, by set intersection. What is left are grams that occur repeatedly in both: sorting a bag puts copies next
-to each other, a regex cuts out the runs of copies, and of two runs of the same gram the shorter one, which is a prefix
-of the longer, tells how many further matches there are. Cost is linear in the text but for the sort, and scoring a
-table is a plain projection: no gram becomes a row, nothing is shuffled.
-
-Grams of characters are too many for that: a text has as many as characters, for each of six orders. There grams are
-numbers, and the overlaps of a whole Arrow batch come from one sort of them for each order.
+All of them rest on one quantity, the clipped overlap of two bags of n-grams: the sum over grams of the smaller of the two
+counts. Tokens and texts are cut by built-in functions; grams never become strings or rows. In an Arrow batch they are
+numbers, and the overlaps of its rows come from one sort of them for each order. Only the overlaps come back, so scoring a
+table is a map and nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,31 +22,6 @@ BLEU_ORDERS = (1, 2, 3, 4)
 CHRF_ORDERS = (1, 2, 3, 4, 5, 6)
 CHRF_BETA = 2
 
-# Grams hold neither of these: tokens and chrF texts are free of whitespace, word grams are joined by spaces.
-_COPY, _NEXT = "\n", "\r"
-# In a sorted list joined by _COPY: a gram and its further copies, at least one.
-_COPIES = r"(?<![^\n])([^\n]++)(?:\n\1(?![^\n]))++"
-# In a sorted list of such runs joined by _NEXT: a run followed by a run of the same gram that is no shorter.
-_SHORTER = r"(?<![^\r])([^\r]++)\r\1(?![^\n\r])"
-
-
-def repeated(grams: Column) -> Column:
-    """Grams that occur more than once, each with all its copies as one string."""
-    return F.regexp_extract_all(F.array_join(F.sort_array(grams), _COPY), F.lit(_COPIES), F.lit(0))
-
-
-def overlap(cand: Column, ref: Column) -> Column:
-    """(m, c, r): clipped matches of two bags of grams, and their sizes. Equal bags need no counting."""
-    runs = F.array_join(F.sort_array(F.concat(repeated(cand), repeated(ref))), _NEXT)
-    shorter = F.array_join(F.regexp_extract_all(runs, F.lit(_SHORTER), F.lit(1)), _NEXT)
-    # Every expression is used once: inside a branch Spark does not share common subexpressions.
-    shared = F.size(F.array_intersect(cand, ref)) + F.size(F.split(shorter, _COPY)) - 1
-    return F.struct(
-        F.when(cand == ref, F.size(cand)).otherwise(shared).alias("m"),
-        F.size(cand).alias("c"),
-        F.size(ref).alias("r"),
-    )
-
 
 def f_measure(match: Column, cand: Column, ref: Column) -> Column:
     """2PR / (P + R) with P = match / cand and R = match / ref, 0 when nothing matches."""
@@ -104,59 +74,121 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     full = (1 << len(b)) - 1
     row = full
     for token in a:
-        hits = row & where.get(token, 0)
-        row = ((row + hits) | (row - hits)) & full
+        if token in where:
+            hits = row & where[token]
+            row = ((row + hits) | (row - hits)) & full
     return len(b) - row.bit_count()
 
 
-@F.pandas_udf(T.IntegerType())
-def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
+@F.arrow_udf(T.IntegerType())
+def _lcs(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([lcs_length(x or (), y or ()) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
+
+
+def lcs(cand: Column | str, ref: Column | str) -> Column:
     """Longest common subsequence of two token arrays; the one score that no built-in function expresses."""
-    return pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
+    return F.when(_equal(cand, ref), F.array_size(cand)).otherwise(_lcs(*_unequal(cand, ref)))
 
 
-# Characters of the rows whose grams are sorted together; a longer pair of texts is sorted alone.
-SORTED_CHARS = 1 << 17
+def _equal(cand: Column | str, ref: Column | str) -> Column:
+    cand, ref = (F.col(c) if isinstance(c, str) else c for c in (cand, ref))
+    return cand == ref
 
 
-def char_overlaps(cand: Column | str, ref: Column | str, orders: Sequence[int] = CHRF_ORDERS) -> Column:
-    """Array of the clipped overlaps of two texts, one for each order, in the form of :func:`overlap`. NULL counts as empty."""
-    orders = tuple(orders)
+def _unequal(cand: Column | str, ref: Column | str) -> list[Column]:
+    """Both sides where they differ, else NULL: equal sides need no counting, so they do not go to Python."""
+    return [F.when(~_equal(cand, ref), c if isinstance(c, Column) else F.col(c)) for c in (cand, ref)]
+
+
+# Tokens or characters of the rows whose grams are sorted together; a longer pair of texts is sorted alone.
+SORTED_CHARS = 1 << 17
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def matches(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(list(char_matches(a.fillna("").tolist(), b.fillna("").tolist(), orders)), dtype="object")
 
-    def windows(text: Column | str, n: int) -> Column:
-        return F.greatest(F.coalesce(F.length(text), F.lit(0)) - (n - 1), F.lit(0))
+def _with_sizes(matches: Column, equal: Column, cand: Column, ref: Column, orders: Sequence[int]) -> Column:
+    """Array of (m, c, r) for each order: clipped matches of two bags of grams, and their sizes; from the lengths of both."""
+    equal = F.coalesce(equal, F.lit(False))
+
+    def windows(length: Column, n: int) -> Column:
+        return F.greatest(F.coalesce(length, F.lit(0)) - (n - 1), F.lit(0))
 
     sizes = F.array(*(F.struct(windows(cand, n).alias("c"), windows(ref, n).alias("r")) for n in orders))
     return F.zip_with(
-        matches(cand, ref), sizes, lambda m, size: F.struct(m.alias("m"), size["c"].alias("c"), size["r"].alias("r"))
+        matches,
+        sizes,
+        lambda m, size: F.struct(F.when(equal, size["c"]).otherwise(m).alias("m"), size["c"].alias("c"), size["r"].alias("r")),
     )
 
 
+def char_overlaps(cand: Column | str, ref: Column | str, orders: Sequence[int] = CHRF_ORDERS) -> Column:
+    """Array of the clipped overlaps (m, c, r) of two texts, one for each order. NULL counts as empty."""
+    orders = tuple(orders)
+
+    @F.arrow_udf("array<int>")
+    def matches(a: pa.Array, b: pa.Array) -> pa.Array:
+        texts = (side.fill_null("").to_pylist() for side in (a, b))
+        return _lists(char_matches(*texts, orders))
+
+    return _with_sizes(matches(*_unequal(cand, ref)), _equal(cand, ref), F.length(cand), F.length(ref), orders)
+
+
+def word_overlaps(cand: Column | str, ref: Column | str, orders: Sequence[int]) -> Column:
+    """The same for two arrays of tokens."""
+    orders = tuple(orders)
+
+    @F.arrow_udf("array<int>")
+    def matches(a: pa.Array, b: pa.Array) -> pa.Array:
+        return _lists(word_matches(a, b, orders))
+
+    return _with_sizes(matches(*_unequal(cand, ref)), _equal(cand, ref), F.array_size(cand), F.array_size(ref), orders)
+
+
+def _lists(found: np.ndarray) -> pa.Array:
+    rows, width = found.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype="int32") * width), pa.array(found.ravel()))
+
+
 def char_matches(cand: list[str], ref: list[str], orders: Sequence[int]) -> np.ndarray:
     """For each pair of texts and each order the matches of their bags of character grams."""
-    found = np.zeros((len(cand), len(orders)), dtype="int32")
-    if not cand:
-        return found
-    sizes = np.cumsum([len(a) + len(b) for a, b in zip(cand, ref)])
+
+    def some(at: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        texts = [*cand[at:end], *ref[at:end]]
+        chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        return chars, np.fromiter(map(len, texts), dtype="int64", count=len(texts))
+
+    return _in_groups(np.array([len(a) + len(b) for a, b in zip(cand, ref)], dtype="int64"), some, orders)
+
+
+def word_matches(cand: pa.Array, ref: pa.Array, orders: Sequence[int]) -> np.ndarray:
+    """For each pair of token lists and each order the matches of their bags of token grams."""
+    lengths = [side.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype("int64") for side in (cand, ref)]
+    # Numbers of tokens hold for both sides of the batch.
+    tokens = pa.chunked_array([cand.flatten(), ref.flatten()]).combine_chunks()
+    codes = tokens.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    ends = [np.r_[0, np.cumsum(lengths[0])], np.r_[0, np.cumsum(lengths[1])] + lengths[0].sum()]
+
+    def some(at: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([codes[e[at] : e[end]] for e in ends]), np.concatenate([n[at:end] for n in lengths])
+
+    return _in_groups(lengths[0] + lengths[1], some, orders)
+
+
+def _in_groups(sizes: np.ndarray, some: Callable, orders: Sequence[int]) -> np.ndarray:
+    """The matches of all pairs, of as many together as hold ``SORTED_CHARS``. ``some`` gives the values of the pairs from one
+    number up to another, those of all candidates before those of all references, and the length of each text."""
+    found = np.zeros((len(sizes), len(orders)), dtype="int32")
+    sizes = np.cumsum(sizes)
     at = 0
-    while at < len(cand):
+    while at < len(sizes):
         before = sizes[at - 1] if at else 0
         end = max(at + 1, int(np.searchsorted(sizes, before + SORTED_CHARS, side="right")))
-        found[at:end] = _sorted_matches(cand[at:end], ref[at:end], orders)
+        found[at:end] = _sorted_matches(*some(at, end), orders)
         at = end
     return found
 
 
-def _sorted_matches(cand: list[str], ref: list[str], orders: Sequence[int]) -> np.ndarray:
-    texts = [*cand, *ref]
-    n = len(cand)
-    lengths = np.fromiter(map(len, texts), dtype="int64", count=2 * n)
-    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    alphabet, chars = np.unique(chars, return_inverse=True)
+def _sorted_matches(values: np.ndarray, lengths: np.ndarray, orders: Sequence[int]) -> np.ndarray:
+    n = len(lengths) // 2
+    alphabet, chars = np.unique(values, return_inverse=True)
     place = np.repeat(np.arange(2 * n), lengths)
     # The pair above the side, so that both sides of a gram are neighbours once sorted.
     pair, side = place % n, place // n

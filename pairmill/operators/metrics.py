@@ -27,37 +27,38 @@ def pair_scores(
     letters, 'unicode' sees words of any script.
     """
     rouge = [n for n in ov.ROUGE_ORDERS if f"rouge{n}" in metrics]
-    tokens, grams = {}, {}
-    for side in ("cand", "ref"):
-        if rouge or "rougeL" in metrics:
-            tokens[f"_rouge_{side}"] = tx.rouge_tokens(side, tokenizer)
-            grams |= {f"_rouge{n}_{side}": tx.word_ngrams(F.col(f"_rouge_{side}"), n) for n in rouge}
-        if "bleu" in metrics:
-            tokens[f"_bleu_{side}"] = tx.bleu_tokens(side)
-            grams |= {f"_bleu{n}_{side}": tx.word_ngrams(F.col(f"_bleu_{side}"), n) for n in ov.BLEU_ORDERS}
-        if "chrf" in metrics:
-            tokens[f"_chrf_{side}"] = tx.squeezed(side)
-    families = [g.removesuffix("_cand") for g in grams if g.endswith("_cand")]
-
-    # Texts and tokens are pinned, so that no text is cut twice.
-    pairs = valid_pairs(df.select(F.inline(F.array(F.struct(*keys, "cand", "ref")))))
-    scored = compute_once(pairs, **tokens).drop("cand", "ref")
+    cut, matched = {}, {}
+    if rouge or "rougeL" in metrics:
+        cut["_rouge"] = lambda side: tx.rouge_tokens(side, tokenizer)
+    if "bleu" in metrics:
+        cut["_bleu"] = tx.bleu_tokens
+    if "chrf" in metrics:
+        cut["_chrf"] = tx.squeezed
+    if rouge:
+        matched["_rouge"] = ov.word_overlaps("_rouge_cand", "_rouge_ref", rouge)
     if "rougeL" in metrics:
-        scored = scored.withColumn("_lcs", ov.lcs("_rouge_cand", "_rouge_ref"))
+        matched["_lcs"] = ov.lcs("_rouge_cand", "_rouge_ref")
+    if "bleu" in metrics:
+        matched["_bleu"] = ov.word_overlaps("_bleu_cand", "_bleu_ref", ov.BLEU_ORDERS)
     if "chrf" in metrics:
-        scored = scored.withColumn("_chrf", ov.char_overlaps("_chrf_cand", "_chrf_ref"))
-    # Plain projections here: each bag is read several times, so they are not merged, and unlike one large generator
-    # their generated code is split into methods small enough for the JIT compiler.
-    scored = scored.withColumns(grams)
-    scored = scored.withColumns({g: ov.overlap(F.col(f"{g}_cand"), F.col(f"{g}_ref")) for g in families})
+        matched["_chrf"] = ov.char_overlaps("_chrf_cand", "_chrf_ref")
+
+    # Texts and tokens are pinned, so that no text is cut twice; a reference equal to its candidate takes the tokens of that.
+    scored = valid_pairs(df.select(F.inline(F.array(F.struct(*keys, "cand", "ref")))))
+    scored = compute_once(scored, **{f"{name}_cand": tokens("cand") for name, tokens in cut.items()})
+    same = F.col("cand") == F.col("ref")
+    of_ref = {f"{name}_ref": F.when(same, F.col(f"{name}_cand")).otherwise(tokens("ref")) for name, tokens in cut.items()}
+    scored = compute_once(scored, **of_ref).drop("cand", "ref")
+    # All in one projection, so that a batch crosses to Python once.
+    scored = scored.withColumns(matched)
 
     def of(metric: str, orders: Sequence[int]) -> list[Column]:
-        return [F.col(f"_{metric}{n}") for n in orders]
+        return [F.col(f"_{metric}")[i] for i in range(len(orders))]
 
-    scores = {f"rouge{n}": ov.rouge_n(F.col(f"_rouge{n}")) for n in rouge}
+    scores = {f"rouge{n}": ov.rouge_n(one) for n, one in zip(rouge, of("rouge", rouge))}
     scores["rougeL"] = ov.f_measure(F.col("_lcs"), F.size("_rouge_cand"), F.size("_rouge_ref"))
     scores["bleu"] = ov.bleu(of("bleu", ov.BLEU_ORDERS))
-    scores["chrf"] = ov.chrf([F.col("_chrf")[i] for i in range(len(ov.CHRF_ORDERS))])
+    scores["chrf"] = ov.chrf(of("chrf", ov.CHRF_ORDERS))
     return scored.select(*keys, *(scores[m].alias(m) for m in metrics))
 
 

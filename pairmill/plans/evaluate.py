@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pairmill.functions import text as tx
 from pairmill.operators import bertscore as bs
 from pairmill.operators import metrics as me
-from pairmill.operators.columns import drop_null, stack_systems
+from pairmill.operators.columns import compute_once, drop_null, stack_systems
 from pairmill.operators.infer import generate
 from pairmill.operators.summarize import tfidf_summary
 
@@ -26,27 +27,38 @@ def system_outputs(
     itself, the leading sentences of the target-side text), 'lead' or 'tfidf' of the input-side text. Without a factory the input is the candidate.
     """
     pairs = drop_null(pairs, [text_in, text_out])
-    # Inputs, candidates and references are all made inside the row of the pair; nothing is joined or exchanged.
-    pairs = pairs.select(F.col(id_col).alias("pair_id"), F.col(text_in).alias("text"), tx.get_lead(text_out).alias("ref"))
+    # Inputs, candidates and references are all made inside the row of the pair; nothing is joined or exchanged. The
+    # reference is pinned, so that no text is cut twice for it.
+    pairs = pairs.select(F.col(id_col).alias("pair_id"), F.col(text_in).alias("text"), F.col(text_out).alias("__pm_out"))
+    pairs = compute_once(pairs, ref=tx.get_lead("__pm_out")).drop("__pm_out")
+    lead = F.col("ref") if text_in == text_out else tx.get_lead("text")
 
-    def fed(kind: str) -> DataFrame:
+    def fed(df: DataFrame, kind: str, name: str) -> DataFrame:
         if kind == "identity":
-            return pairs.select("pair_id", "ref", F.col("ref").alias("fed"))
+            return df.withColumn(name, F.col("ref"))
         if kind == "lead":
-            return pairs.select("pair_id", "ref", tx.get_lead("text").alias("fed"))
+            return df.withColumn(name, lead)
         if kind == "tfidf":
-            return tfidf_summary(pairs, "text", name="fed").drop("text")
+            return tfidf_summary(df, "text", name=name)
         raise ValueError(f"unknown system input {kind!r}")
 
-    outputs = {}
-    for name, (kind, factory, options) in systems.items():
-        out = fed(kind)
-        if factory is None:
-            out = out.withColumnRenamed("fed", "cand")
-        else:
-            out = generate(out, "fed", "cand", factory, options=options).drop("fed")
-        outputs[name] = out
-    return stack_systems(**outputs).select("system", "pair_id", "cand", "ref")
+    # Systems without a factory share one pass over the pairs.
+    plain = {name: kind for name, (kind, factory, _) in systems.items() if factory is None}
+    parts = []
+    if plain:
+        wide = pairs
+        for kind in dict.fromkeys(plain.values()):
+            wide = fed(wide, kind, f"__pm_{kind}")
+        made = (F.struct(F.lit(name).alias("system"), F.col(f"__pm_{kind}").alias("cand")) for name, kind in plain.items())
+        parts.append(wide.select("pair_id", "ref", F.inline(F.array(*made))))
+    outputs = {
+        name: generate(fed(pairs, kind, "fed"), "fed", "cand", factory, options=options)
+        for name, (kind, factory, options) in systems.items()
+        if factory is not None
+    }
+    if outputs or not plain:
+        parts.append(stack_systems(**outputs))
+    return reduce(DataFrame.union, (part.select("system", "pair_id", "cand", "ref") for part in parts))
 
 
 def evaluate(

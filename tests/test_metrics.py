@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,33 @@ def test_char_overlaps_against_brute_force(spark, monkeypatch):
     assert ov.char_matches([], [], orders).shape == (0, 6)
 
 
+def test_word_overlaps_against_brute_force(spark, monkeypatch):
+    """Token grams as numbers: repeated grams, many different tokens, equal lists, empty ones, NULL, slices of a batch."""
+    rng = random.Random(5)
+    for kinds in (3, 5000):
+        ref = [[f"w{rng.randrange(kinds)}" for _ in range(rng.randint(0, 40))] for _ in range(150)]
+        cand = [t if i % 3 == 0 else t[i % 5 :] + t[:4] for i, t in enumerate(ref)]
+        want = [[clipped(grams(c, n), grams(r, n))[0] for n in ov.BLEU_ORDERS] for c, r in zip(cand, ref)]
+        sides = pa.array([["x"], *cand])[1:], pa.array([["y", "z"], *ref])[1:]
+        for together in (1 << 17, 50):
+            monkeypatch.setattr(ov, "SORTED_CHARS", together)
+            assert ov.word_matches(*sides, ov.BLEU_ORDERS).tolist() == want
+    df = spark.createDataFrame([(["a", "b", "a"], ["a", "a"]), (["a"], ["a"]), (None, ["a"]), ([], [])], "c array<string>, r array<string>")
+    rows = [r[0] for r in df.select(ov.word_overlaps("c", "r", (1, 2))).collect()]
+    assert [[tuple(x) for x in r] for r in rows] == [
+        [(2, 3, 2), (0, 2, 1)], [(1, 1, 1), (0, 0, 0)], [(0, 0, 1), (0, 0, 0)], [(0, 0, 0), (0, 0, 0)],
+    ]
+
+
+def test_scores_make_no_gram_strings(spark, sf):
+    """The systems read their pairs once, and all scores cross to Python in one step."""
+    systems = {"identity": ("identity", None, {}), "lead": ("lead", None, {}), "tfidf": ("tfidf", None, {})}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    scored = me.pair_scores(ev.system_outputs(docs, "doc_id", "text", "text", systems))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == 2 and "array_intersect" not in plan
+
+
 def test_long_pair_meets_in_many_cells(spark, monkeypatch):
     """One pair with most of all tokens is a grid of cells, so that no join key holds all its meetings."""
     monkeypatch.setattr(bs, "BLOCK", 16)
