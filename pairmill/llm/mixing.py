@@ -57,7 +57,29 @@ class AtMost:
         return {**named, REST: max(0.0, 1.0 - self.most * len(named))}
 
 
-Target = Mapping[str, float] | Measured | AtMost
+@dataclass(frozen=True)
+class Tempered:
+    """Shares in proportion to a power of those measured, none above ``most``: large categories are lowered and small ones
+    lifted. Categories of less than ``least`` are pooled as ``"*"``, which counts as one."""
+
+    power: float = 0.7
+    most: float = 1.0
+    least: float = 0.001
+
+    def shares(self, top: Sequence[tuple[str, float]], total: float) -> dict[str, float]:
+        named = Measured(self.least).shares(top, total)
+        lifted = {c: s**self.power if s > 0 else 0.0 for c, s in named.items()}
+        ordered = sorted(((c, w) for c, w in lifted.items() if c != REST), key=lambda x: (-x[1], x[0]))
+        whole = sum(lifted.values())
+        lowered = AtMost(self.most).shares(ordered, whole)
+        # What is not lowered shares the rest as it stands.
+        left = lowered.pop(REST)
+        others = {c: w for c, w in lifted.items() if c not in lowered}
+        weight = sum(others.values())
+        return {**lowered, **{c: left * w / weight if weight else 0.0 for c, w in others.items()}}
+
+
+Target = Mapping[str, float] | Measured | AtMost | Tempered
 Targets = Mapping[str, Target]
 Shares = Mapping[str, Mapping[str, float]]
 
@@ -165,16 +187,58 @@ def mix(
         if isinstance(target, Mapping) and REST not in target:
             raise ValueError(f"the target of {axis} needs the category {REST!r}")
     shares, cells = measure(df, targets, tokens)
-    found = cell_probabilities(cells, shares)
-    chance: Column = F.lit(1.0)
-    if found:
-        pairs = [x for cell, p in sorted(found.items()) for x in (F.lit("\x1f".join(cell)), F.lit(p))]
-        cell = F.concat_ws("\x1f", *(category(F.col(a), s) for a, s in shares.items()))
-        chance = F.coalesce(F.create_map(*pairs)[cell], F.lit(1.0))
+    chance = by_cell(cell_probabilities(cells, shares), shares)
     draw = uniform(F.lit(seed), row_key(id_col, text))
     return df.withColumn(name, chance).filter(draw < F.col(name))
 
 
+def repeat(
+    df: DataFrame,
+    targets: Targets,
+    tokens: Column,
+    seed: int = 42,
+    id_col: str = "doc_id",
+    text: str = "text",
+    name: str = "n_copies",
+    expected: str = "expected_copies",
+) -> DataFrame:
+    """All documents, with how often the mixture takes each one: ``expected`` times, at least once, and ``name`` times as
+    drawn, the next lower or higher whole number.
+
+    Copies make token weights follow ``targets`` where :func:`mix` leaves documents out. The expected number of a cell is its
+    wanted weight over the weight it has, divided by the smallest such ratio. Draws, targets, NULL, repeated rows and cells
+    without tokens (taken once) are as in :func:`mix`. An empty table gives an empty one. Runs one aggregate over the rows
+    when called.
+    """
+    for axis, target in targets.items():
+        if isinstance(target, Mapping) and REST not in target:
+            raise ValueError(f"the target of {axis} needs the category {REST!r}")
+    shares, cells = measure(df, targets, tokens)
+    found = cell_copies(cells, shares)
+    draw = uniform(F.lit(seed), row_key(id_col, text))
+    copies = df.withColumn(expected, by_cell(found, shares))
+    whole = F.floor(expected)
+    return copies.withColumn(name, (whole + (draw < F.col(expected) - whole).cast("int")).cast("int"))
+
+
+def cell_copies(cells: Mapping[tuple[str, ...], float], targets: Shares) -> dict:
+    """How often each cell is taken, at least once."""
+    wanted = rake(cells, targets)
+    ratio = {c: w / cells[c] for c, w in wanted.items() if w > 0}
+    least = min(ratio.values(), default=1.0)
+    # Ratios that differ by rounding only are the same.
+    return {c: round(ratio[c] / least, 9) if c in ratio else 1.0 for c in cells}
+
+
+def by_cell(values: Mapping[tuple[str, ...], float], shares: Shares) -> Column:
+    """The value of a row's cell, one where it has none."""
+    if not values:
+        return F.lit(1.0)
+    pairs = [x for cell, p in sorted(values.items()) for x in (F.lit("\x1f".join(cell)), F.lit(p))]
+    cell = F.concat_ws("\x1f", *(category(F.col(a), s) for a, s in shares.items()))
+    return F.coalesce(F.create_map(*pairs)[cell], F.lit(1.0))
+
+
 def text_form(text: str = "text") -> Column:
     """A topic for texts that have none: the form they are written in."""
     words = word_weight(text)

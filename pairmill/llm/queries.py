@@ -15,7 +15,7 @@ from pairmill.llm.hash_tree import assign_shards, even_tree, with_slots
 from pairmill.llm.id_files import read_token_ids, write_token_ids
 from pairmill.llm.lattice import near_vectors
 from pairmill.llm.ns_clusters import cluster_vectors, with_inertia
-from pairmill.llm.mixing import AtMost, Measured, mix, text_form, word_weight
+from pairmill.llm.mixing import Measured, Tempered, repeat, text_form, word_weight
 from pairmill.llm.order_minhash import near_classes
 from pairmill.llm.piece_ids import encode_documents
 from pairmill.llm.secrets import BASE_RULES, find_secrets, span_list
@@ -89,15 +89,17 @@ def op1_secret_scan(spark, sf):
     )
 
 
-# No source above this share of words; languages and forms keep the shares that the table has.
-MIX_TARGETS = {"source": AtMost(0.3), "lang": Measured(), "topic": Measured()}
+# Large sources are lowered and small ones lifted, none above this share of words; languages and forms keep the shares that
+# the table has.
+MIX_TARGETS = {"source": Tempered(0.7, most=0.3), "lang": Measured(), "topic": Measured()}
 
 
 @query
 def op3_source_mix(spark, sf):
-    """Documents sampled so that no source is above its share of words, and languages and forms keep theirs."""
+    """How often a mixture takes each document so that sources have tempered shares of words, and languages and forms keep
+    theirs. Every document is taken once at least."""
     docs = table(spark, sf, "documents").withColumn("topic", text_form())
-    return mix(docs, MIX_TARGETS, word_weight()).select("doc_id", "source", "lang", "topic", "probability")
+    return repeat(docs, MIX_TARGETS, word_weight()).select("doc_id", "source", "lang", "topic", "n_copies", "expected_copies")
 
 
 SHARDS = 24

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairmill.llm import mixing
-from pairmill.llm.mixing import AtMost, Measured
+from pairmill.llm.mixing import AtMost, Measured, Tempered
 from pairmill.llm.queries import QUERIES
 
 
@@ -51,3 +51,45 @@ def test_lowered_shares():
 
 def test_query_keeps_tables_without_a_hot_source(spark, sf):
     assert QUERIES["op3_source_mix"](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_tempered_shares():
+    found = Tempered(0.5).shares([("a", 64.0), ("b", 36.0)], 100.0)
+    assert found == pytest.approx({"a": 0.8 / 1.4, "b": 0.6 / 1.4, "*": 0.0})
+    # Lowered to the bound; the others keep their proportions.
+    found = Tempered(0.5, most=0.5).shares([("a", 64.0), ("b", 18.0), ("c", 18.0)], 100.0)
+    assert found == pytest.approx({"a": 0.8 / (0.8 + 2 * 0.18**0.5), "b": 0.18**0.5 / (0.8 + 2 * 0.18**0.5), "c": 0.18**0.5 / (0.8 + 2 * 0.18**0.5), "*": 0.0})
+    found = Tempered(1.0, most=0.5).shares([("a", 64.0), ("b", 24.0), ("c", 12.0)], 100.0)
+    assert found == pytest.approx({"a": 0.5, "b": 1 / 3, "c": 1 / 6, "*": 0.0})
+
+
+def test_copies_follow_the_targets(spark):
+    """Every document stays; words times copies have the shares asked for."""
+    targets = {"source": Tempered(0.7, most=0.3), "lang": Measured()}
+    df = table(spark, 0.5)
+    rows = mixing.repeat(df, targets, mixing.word_weight()).collect()
+    assert len(rows) == 20_000 and min(r.n_copies for r in rows) == 1
+    assert all(r.n_copies in (int(r.expected_copies), int(r.expected_copies) + 1) for r in rows)
+    taken = sum(r.n_copies for r in rows)
+    share = 0.5**0.7 / (0.5**0.7 + 20 * 0.025**0.7)
+    assert sum(r.n_copies for r in rows if r.source == "hot") / taken == pytest.approx(share, abs=0.02)
+    assert sum(r.n_copies for r in rows if r.lang == "en") / taken == pytest.approx(0.6, abs=0.02)
+    assert mixing.repeat(df.limit(0), targets, mixing.word_weight()).count() == 0
+
+
+def test_query_mixes_tables_without_a_hot_source(spark, sf):
+    """Each stage of op3 shows in its result: shares are tempered, raked and drawn."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", mixing.word_weight().alias("words"))
+    rows = QUERIES["op3_source_mix"](spark, sf).join(docs, "doc_id").collect()
+    have, got = {}, {}
+    for r in rows:
+        have[r.source] = have.get(r.source, 0) + r.words
+        got[r.source] = got.get(r.source, 0) + r.words * r.expected_copies
+    whole = sum(have.values())
+    want = {s: (w / whole) ** 0.7 for s, w in have.items()}
+    assert max(have.values()) / min(have.values()) > 1.2 and len({r.n_copies for r in rows}) > 1
+    for s in have:
+        assert got[s] / sum(got.values()) == pytest.approx(want[s] / sum(want.values()), rel=0.02)
+    by_topic = {t: sum(r.words * r.expected_copies for r in rows if r.topic == t) / sum(got.values()) for t in {r.topic for r in rows}}
+    for t, share in by_topic.items():
+        assert share == pytest.approx(sum(r.words for r in rows if r.topic == t) / whole, abs=0.02)
