@@ -4,9 +4,9 @@ Every left row takes its most cosine-similar right row when the score reaches th
 first two forms below:
 
 * a right side whose measured size fits ``max_broadcast_bytes`` travels to every task as one matrix;
-* otherwise both sides are cut into blocks of bounded size, and each pair of blocks is one product in one task. The best
-  partial match of a left row is kept by an associative maximum. A left vector is sent once per right block, so copies
-  follow from sizes alone, whatever the vectors look like;
+* otherwise both sides are cut into bands of bounded size, and each pair of bands meets in one task, where right blocks are
+  multiplied one after the other. The best partial match of a left row is kept by an associative maximum. A left vector is
+  sent once per right band, so copies follow from sizes alone, whatever the vectors look like;
 * ``align_buckets`` compares only rows that share a bucket: the signs of some random projections, in several tables. It
   finds a match with a probability that the caller states.
 
@@ -32,20 +32,65 @@ from pairmill.session import stage
 TIE_DIGITS = 9
 # Cells of one product, which bounds its size.
 PRODUCT = 1 << 23
+# Close right rows of a left row that are compared one by one, and pairs compared together.
+MOST_CLOSE = 64
+PAIRS = 1 << 15
 # Lines of the table of bucket sizes, which is broadcast.
 MOST_BUCKETS = 1 << 20
 
 
-def _best_rows(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each left row the position of its best right row (first among ties) and the cosine."""
-    at = np.empty(len(left), dtype="int64")
-    score = np.empty(len(left), dtype="float64")
-    step = max(1, PRODUCT // max(1, len(right)))
+def _best_rows(
+    left: np.ndarray, right: np.ndarray, threshold: float, block_bytes: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each left row the position of its best right row (first among ties) and the cosine, -inf where none reaches
+    ``threshold``. Rows are of length one, or zero. Right rows are taken in blocks of ``block_bytes``."""
+    at, score = np.zeros(len(left), dtype="int64"), np.full(len(left), -np.inf)
+    rows = max(1, block_bytes // (8 * max(1, right.shape[1])) if block_bytes else len(right))
+    narrow = left.astype("float32")
+    for start in range(0, len(right), rows):
+        place, found = _best_in_block(left, narrow, right[start : start + rows], threshold)
+        better = np.round(found, TIE_DIGITS) > np.round(score, TIE_DIGITS)
+        at[better], score[better] = start + place[better], found[better]
+    return at, score
+
+
+def _best_in_block(left: np.ndarray, narrow: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one block of right rows; ``narrow`` has the left rows in single precision.
+
+    Cosines are first taken in single precision. What they are wrong by is bounded, so only right rows within that bound of
+    a left row's largest can be its best one; these few are compared in double precision."""
+    at = np.zeros(len(left), dtype="int64")
+    score = np.full(len(left), -np.inf)
+    # Rounding of both rows, and of as many products and sums as a row has components.
+    wrong = (left.shape[1] + 8) * 2.0**-23
+    others = right.astype("float32").T
+    step = max(1, PRODUCT // len(right))
     for start in range(0, len(left), step):
-        cosines = left[start : start + step] @ right.T
-        best = np.round(cosines, TIE_DIGITS).argmax(axis=1)
-        at[start : start + step] = best
-        score[start : start + step] = cosines[np.arange(len(best)), best]
+        block = left[start : start + step]
+        cosines = narrow[start : start + step] @ others
+        most = cosines.max(axis=1)
+        rows = np.flatnonzero(most >= threshold - wrong)
+        close = cosines[rows] if len(rows) < len(block) else cosines
+        close = close >= (most[rows] - (2 * wrong + 10.0**-TIE_DIGITS)).astype("float32")[:, None]
+        count = np.count_nonzero(close, axis=1)
+        # Rows with many close ones, such as zeros, are multiplied again as a whole.
+        many = np.flatnonzero(count > MOST_CLOSE)
+        part = max(1, step // 4)
+        for some in (many[i : i + part] for i in range(0, len(many), part)):
+            exact = block[rows[some]] @ right.T
+            best = np.round(exact, TIE_DIGITS).argmax(axis=1)
+            at[start + rows[some]], score[start + rows[some]] = best, exact[np.arange(len(some)), best]
+        close[many] = False
+        row, place = np.nonzero(close)
+        exact = np.empty(len(row))
+        for i in range(0, len(row), PAIRS):
+            pairs = slice(i, i + PAIRS)
+            exact[pairs] = np.einsum("ij,ij->i", block[rows[row[pairs]]], right[place[pairs]])
+        # Best first in each row, the lower place first among ties.
+        order = np.lexsort((place, -np.round(exact, TIE_DIGITS), row))
+        first = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
+        at[start + rows[row[first]]], score[start + rows[row[first]]] = place[first], exact[first]
+    score[score < threshold] = -np.inf
     return at, score
 
 
@@ -57,11 +102,15 @@ def align_best(
     threshold: float = 0.85,
     max_broadcast_bytes: int = 64 << 20,
     block_bytes: int = 64 << 20,
+    band_bytes: int = 64 << 20,
 ) -> DataFrame:
     """(left_id, right_id, score): the best right row of each left row, where the unrounded cosine reaches
     ``threshold``; the score is rounded to three digits. A right row may serve many left rows. Left rows need no unique
     id: each gets its own match. A zero vector has cosine 0 with everything. Vectors that are NULL or hold NULL or
-    non-finite components match nothing, and neither do vectors of different length. Runs small jobs when called."""
+    non-finite components match nothing, and neither do vectors of different length. Runs small jobs when called.
+
+    A task of the grid holds a band of each side of ``band_bytes``, or one block if that is larger, and multiplies with one
+    right block of ``block_bytes`` after the other. How often a vector is sent follows from the bands, not from the blocks."""
     left, right = _sides(left, right, id_col, vec)
     size = right.agg(F.sum(F.size("vec")).alias("cells")).first()["cells"] or 0
     if size == 0:
@@ -69,7 +118,7 @@ def align_best(
     elif size * 8 <= max_broadcast_bytes:
         matches = _match_broadcast(left, right, threshold)
     else:
-        matches = _match_grid(left, right, threshold, size * 8, block_bytes)
+        matches = _match_grid(left, right, threshold, size * 8, block_bytes, band_bytes)
     return matches.withColumn("score", F.round("score", 3))
 
 
@@ -151,7 +200,7 @@ def _match_broadcast(left: DataFrame, right: DataFrame, threshold: float) -> Dat
             for dim, (at, vectors) in unit_matrices(batch.column("vec")).items():
                 if dim in matrices:
                     places, matrix = matrices[dim]
-                    best, score = _best_rows(vectors, matrix)
+                    best, score = _best_rows(vectors, matrix, threshold)
                     hit = score >= threshold
                     found = [batch.column("left_id").take(pa.array(at[hit])), ids.take(pa.array(places[best[hit]]))]
                     yield pa.RecordBatch.from_arrays([*found, pa.array(score[hit])], ["left_id", "right_id", "score"])
@@ -167,16 +216,18 @@ def grid_blocks(left_bytes: int, right_bytes: int, block_bytes: int, tasks: int)
     return left_blocks, right_blocks
 
 
-def _match_grid(left: DataFrame, right: DataFrame, threshold: float, right_bytes: int, block_bytes: int) -> DataFrame:
+def _match_grid(
+    left: DataFrame, right: DataFrame, threshold: float, right_bytes: int, block_bytes: int, band_bytes: int
+) -> DataFrame:
     spark = left.sparkSession
     # Rows are told apart by number, as ids may repeat; a model may stand behind the vectors.
     left, _ = stage(left.withColumn("row", F.monotonically_increasing_id()), "align-left")
     left_bytes = 8 * (left.agg(F.sum(F.size("vec"))).first()[0] or 0)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    of_left, of_right = grid_blocks(left_bytes, right_bytes, block_bytes, tasks)
+    of_left, of_right = grid_blocks(left_bytes, right_bytes, max(block_bytes, band_bytes), tasks)
     sizes = spark.createDataFrame([(0, of_left, of_right)], "cell long, of_left long, of_right long")
     whole = F.lit(0).cast("long").alias("cell")
-    return _meet(left.select(whole, "*"), right.select(whole, "*"), sizes, threshold, _schema(left, right))
+    return _meet(left.select(whole, "*"), right.select(whole, "*"), sizes, threshold, _schema(left, right), block_bytes)
 
 
 def _bucket_batches(tables: int, bits: int, seed: int):
@@ -216,7 +267,12 @@ def cell_pieces(visitors: DataFrame, residents: DataFrame, sizes: DataFrame) ->
 
 
 def _meet(
-    visitors: DataFrame, residents: DataFrame, sizes: DataFrame, threshold: float, schema: T.StructType
+    visitors: DataFrame,
+    residents: DataFrame,
+    sizes: DataFrame,
+    threshold: float,
+    schema: T.StructType,
+    block_bytes: int | None = None,
 ) -> DataFrame:
     """The best match of each visitor (cell, row, left_id, vec) among the residents (cell, right_id, vec) of its cells."""
     lefts, rights = cell_pieces(visitors, residents, sizes)
@@ -228,7 +284,7 @@ def _meet(
         for dim, (at, vectors) in unit_matrices(lefts.column("vec")).items():
             if dim in matrices:
                 places, matrix = matrices[dim]
-                best, score = _best_rows(vectors, matrix)
+                best, score = _best_rows(vectors, matrix, threshold, block_bytes)
                 hit = score >= threshold
                 rows.append(lefts.column("row").take(pa.array(at[hit])))
                 left_ids.append(lefts.column("left_id").take(pa.array(at[hit])))
