@@ -1,12 +1,17 @@
 """Alignment in both forms against the full cosine matrix."""
 
+import hashlib
+import random
 import sys
 
 import numpy as np
 import pytest
 from pyspark import cloudpickle
 
+from pairmill.functions.vectors import scaled
+from pairmill.operators import align, infer
 from pairmill.operators.align import (
+    _best_rows,
     align_best,
     align_buckets,
     alignment_recall,
@@ -187,3 +192,86 @@ def test_tables_for():
     for bad in ((0.0, 0.9, 8), (0.85, 1.0, 8), (0.5, 0.99, 18)):
         with pytest.raises(ValueError):
             tables_for(*bad)
+
+
+@pytest.mark.parametrize("dim", [6, 200])
+def test_best_rows_in_single_precision_first(dim):
+    """Ties, near ties below single precision, zeros, blocks: as the product in double precision."""
+    rng = np.random.default_rng(1)
+    left, right = rng.normal(size=(900, dim)), rng.normal(size=(700, dim))
+    left[:60], right[5], right[100:300] = 0, 0, right[100] * np.arange(1, 201)[:, None]
+    left[200:300] = right[400] + rng.normal(size=(100, dim)) * 1e-6
+    right[401:420] = right[400] + rng.normal(size=(19, dim)) * 1e-7
+    left, right = scaled(left), scaled(right)
+    cosines = left @ right.T
+    best = np.round(cosines, 9).argmax(axis=1)
+    most = cosines[np.arange(900), best]
+    for threshold in (-0.5, 0.3):
+        for block in (None, 8 * dim * 64):
+            at, score = _best_rows(left, right, threshold, block)
+            hit = most >= threshold
+            assert ((score >= threshold) == hit).all() and (at[hit] == best[hit]).all()
+            assert np.allclose(score[hit], most[hit], atol=1e-12, rtol=0)
+
+
+def test_blocks_do_not_multiply_what_is_sent(spark):
+    """Small blocks are multiplied inside a band: a row is sent once per band, whatever the size of a block."""
+    rng = np.random.default_rng(2)
+    left, right = rng.normal(size=(400, 8)), rng.normal(size=(300, 8))
+    sides = frame(spark, left), frame(spark, right)
+    want = {i: j for i, (j, _) in brute(left, right, 0.5).items()}
+    made = []
+    real = align.grid_blocks
+
+    def counted(*args):
+        made.append(real(*args))
+        return made[-1]
+
+    for band in (64 << 20, 4000):
+        align.grid_blocks = counted
+        try:
+            got = align_best(*sides, threshold=0.5, max_broadcast_bytes=0, block_bytes=800, band_bytes=band).collect()
+        finally:
+            align.grid_blocks = real
+        assert {r.left_id: r.right_id for r in got} == want
+    assert [of_right for _, of_right in made] == [1, 5]
+
+
+def test_titles_are_matched_once(spark):
+    """Repeated ids and titles, NULL titles: one match per left row, the lowest id of equal right titles."""
+    schema = "id long, title string, text string"
+    left = spark.createDataFrame([(1, "aab", "x"), (2, "aab", "y"), (3, None, "z"), (4, "", "q")], schema)
+    right = spark.createDataFrame([(9, "aab", "u"), (6, "aab", "v"), (7, "cc", "w")], schema)
+    rows = align_corpora(left, right, letters).collect()
+    assert sorted((r.text_kk, r.text_ru, r.score) for r in rows) == [("x", "v", 1.0), ("y", "v", 1.0)]
+
+
+def test_encoder_gets_bounded_calls(spark, monkeypatch):
+    """Calls have few characters; vectors of a list or a matrix come back in order, NaN as NULL."""
+    monkeypatch.setattr(infer, "CALL_CHARS", 100)
+    df = spark.range(300).selectExpr("id", "repeat('x', CAST(id AS INT)) AS text").coalesce(1)
+
+    def sizes(matrix):
+        def call(texts):
+            assert sum(map(len, texts)) <= 100 or len(texts) == 1
+            made = [[float(len(t)), float("nan")] for t in texts]
+            return np.array(made) if matrix else made
+
+        return call
+
+    for matrix in (True, False):
+        rows = infer.encode(df, "text", "v", sizes, {"matrix": matrix}).collect()
+        assert [r.v for r in sorted(rows, key=lambda r: r.id)] == [[float(i), None] for i in range(300)]
+
+
+def test_hashed_grams_against_brute_force(monkeypatch):
+    monkeypatch.setattr(infer, "WINDOW", 100)
+    rng = random.Random(3)
+    texts = ["", "a", "ab", "İ😀😀x"] + ["".join(rng.choices("abcdE \n😀Қ", k=rng.randint(0, 90))) for _ in range(100)]
+    for size in (1, 2, 3, 5):
+        for text, vector in zip(texts, hashed_grams(64, size)(texts)):
+            text = f" {text.lower()} "
+            counts = np.zeros(64)
+            for i in range(max(1, len(text) - size + 1)):
+                counts[int(hashlib.md5(text[i : i + size].encode()).hexdigest()[:7], 16) % 64] += 1
+            assert (vector == counts / np.sqrt((counts**2).sum())).all()
