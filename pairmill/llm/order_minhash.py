@@ -15,6 +15,7 @@ ends in one class or has been compared, or has too few k-mers in common to be si
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -43,6 +44,8 @@ SEED = 4
 STAR_ROUNDS = 2
 # Rows of a piece in the full comparison, where each brings its text along.
 PIECE_ROWS = 512
+# Words of the texts that a task of the full comparison keeps ready, 24 bytes each.
+KEPT_WORDS = 1 << 20
 # A character that is not white space for str.split().
 WORD = r"(?U)[^\s\x1c-\x1f]"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -140,12 +143,12 @@ def band_distance(a: Sequence, b: Sequence, limit: int) -> int:
 
 class Shingled:
     """What a comparison needs of a text: the hashes of its words in text order; its words and its k-mers, both labelled by
-    occurrence and sorted."""
+    occurrence and sorted. All are arrays."""
 
     def __init__(self, text: str):
         words = text.split()
         hashes = word_hashes(words)
-        self.words = hashes.tolist()
+        self.words = hashes
         self.bag = np.sort(labelled_kmers(hashes))
         self.kmers = np.sort(labelled_kmers(shingles(words)))
 
@@ -182,11 +185,30 @@ def similar(a: Shingled, b: Shingled, similarity: float = SIMILARITY, shared: fl
     if common_to(a.kmers, b.kmers) < kmers_needed(len(a.kmers) + len(b.kmers), shared):
         return False
     band = 16
+    words, others = a.words.tolist(), b.words.tolist()
     while band < limit:
-        if band_distance(a.words, b.words, band) <= band:
+        if band_distance(words, others, band) <= band:
             return True
         band *= 4
-    return band_distance(a.words, b.words, limit) <= limit
+    return band_distance(words, others, limit) <= limit
+
+
+class LastRead:
+    """Texts as comparisons need them, by number. The last ones used stay, up to ``KEPT_WORDS`` words and two at least, so that
+    what a task holds does not grow with its texts."""
+
+    def __init__(self, texts: Sequence):
+        self.texts, self.kept, self.words = texts, OrderedDict(), 0
+
+    def __getitem__(self, number: int) -> Shingled:
+        if number in self.kept:
+            self.kept.move_to_end(number)
+        else:
+            one = self.kept[number] = Shingled(self.texts[number].as_py())
+            self.words += len(one.words)
+            while self.words > KEPT_WORDS and len(self.kept) > 2:
+                self.words -= len(self.kept.popitem(last=False)[1].words)
+        return self.kept[number]
 
 
 SKETCHED = "node binary, n_words int, n_kmers int, bag binary, counts binary, buckets array<long>"
@@ -315,13 +337,7 @@ def _linked_in_blocks(members: DataFrame, described: DataFrame, similarity: floa
             both = own[a].keys() & own[b].keys()
             return any(x < block and (x[1] == x[2] or own[a][x] != own[b][x]) for x in both)
 
-        read: dict[int, Shingled] = {}
-
-        def shingled(n: int) -> Shingled:
-            if n not in read:
-                read[n] = Shingled(texts[n].as_py())
-            return read[n]
-
+        read = LastRead(texts)
         found: list[tuple[bytes, bytes]] = []
         for inside in block_slices(key, lo, hi):
             first = inside[0]
@@ -346,7 +362,7 @@ def _linked_in_blocks(members: DataFrame, described: DataFrame, similarity: floa
                 for other in others.tolist():
                     if label[other] == label[row] or met_before(row, other, block):
                         continue
-                    if similar(shingled(row), shingled(other), similarity, shared):
+                    if similar(read[row], read[other], similarity, shared):
                         found.append((min(names[row], names[other]), max(names[row], names[other])))
                         label[label == label[other]] = label[row]
         return pa.table({c: pa.array([pair[i] for pair in found], pa.binary()) for i, c in enumerate(("a", "b"))})
