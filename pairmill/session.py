@@ -5,9 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Spark's setting by which the shuffle files of a job go when it ends, not when the driver happens to collect its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: int | str = "*", app: str = "pairmill", **conf: str) -> SparkSession:
     """A local session for tests and benches; a cluster brings its own session."""
@@ -46,14 +51,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+@contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Inside, jobs leave no shuffle files. For plans of which only what they write is read again."""
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_GO)
+        else:
+            spark.conf.set(SHUFFLES_GO, before)
+
+
 def freeze(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and cut its lineage there.
 
     Used where one result feeds several actions or where two plans must see the very same rows: the
-    written copy survives lost executors and is not computed again.
+    written copy survives lost executors and is not computed again. Shuffle files of the job do not outlive it.
     """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _shuffles_go(df.sparkSession):
+        # A plan of its own: that of ``df`` may have run already, or run again.
+        return df.select("*").checkpoint(eager=True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
