@@ -4,8 +4,8 @@ Every left row takes its most cosine-similar right row when the score reaches th
 first two forms below:
 
 * a right side whose measured size fits ``max_broadcast_bytes`` travels to every task as one matrix;
-* otherwise both sides are cut into bands of bounded size, and each pair of bands meets in one task, where right blocks are
-  multiplied one after the other. The best partial match of a left row is kept by an associative maximum. A left vector is
+* otherwise both sides are cut into bands of bounded size, and each pair of bands meets in a task of its own, where right
+  blocks are taken one after the other and bounds spare most of the products (``functions/nearest.py``). The best partial match of a left row is kept by an associative maximum. A left vector is
   sent once per right band, so copies follow from sizes alone, whatever the vectors look like;
 * ``align_buckets`` compares only rows that share a bucket: the signs of some random projections, in several tables. It
   finds a match with a probability that the caller states.
@@ -25,73 +25,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairmill.functions.vectors import is_finite, unit_matrices
+from pairmill.functions.nearest import TIE_DIGITS
+from pairmill.functions.nearest import best_rows as _best_rows
+from pairmill.functions.vectors import number_kind, packed, unit_matrices
 from pairmill.session import stage
 
-# Scores equal to this many digits are ties; the lowest right id wins them.
-TIE_DIGITS = 9
-# Cells of one product, which bounds its size.
-PRODUCT = 1 << 23
-# Close right rows of a left row that are compared one by one, and pairs compared together.
-MOST_CLOSE = 64
-PAIRS = 1 << 15
 # Lines of the table of bucket sizes, which is broadcast.
 MOST_BUCKETS = 1 << 20
-
-
-def _best_rows(
-    left: np.ndarray, right: np.ndarray, threshold: float, block_bytes: int | None = None
-) -> tuple[np.ndarray, np.ndarray]:
-    """For each left row the position of its best right row (first among ties) and the cosine, -inf where none reaches
-    ``threshold``. Rows are of length one, or zero. Right rows are taken in blocks of ``block_bytes``."""
-    at, score = np.zeros(len(left), dtype="int64"), np.full(len(left), -np.inf)
-    rows = max(1, block_bytes // (8 * max(1, right.shape[1])) if block_bytes else len(right))
-    narrow = left.astype("float32")
-    for start in range(0, len(right), rows):
-        place, found = _best_in_block(left, narrow, right[start : start + rows], threshold)
-        better = np.round(found, TIE_DIGITS) > np.round(score, TIE_DIGITS)
-        at[better], score[better] = start + place[better], found[better]
-    return at, score
-
-
-def _best_in_block(left: np.ndarray, narrow: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The same for one block of right rows; ``narrow`` has the left rows in single precision.
-
-    Cosines are first taken in single precision. What they are wrong by is bounded, so only right rows within that bound of
-    a left row's largest can be its best one; these few are compared in double precision."""
-    at = np.zeros(len(left), dtype="int64")
-    score = np.full(len(left), -np.inf)
-    # Rounding of both rows, and of as many products and sums as a row has components.
-    wrong = (left.shape[1] + 8) * 2.0**-23
-    others = right.astype("float32").T
-    step = max(1, PRODUCT // len(right))
-    for start in range(0, len(left), step):
-        block = left[start : start + step]
-        cosines = narrow[start : start + step] @ others
-        most = cosines.max(axis=1)
-        rows = np.flatnonzero(most >= threshold - wrong)
-        close = cosines[rows] if len(rows) < len(block) else cosines
-        close = close >= (most[rows] - (2 * wrong + 10.0**-TIE_DIGITS)).astype("float32")[:, None]
-        count = np.count_nonzero(close, axis=1)
-        # Rows with many close ones, such as zeros, are multiplied again as a whole.
-        many = np.flatnonzero(count > MOST_CLOSE)
-        part = max(1, step // 4)
-        for some in (many[i : i + part] for i in range(0, len(many), part)):
-            exact = block[rows[some]] @ right.T
-            best = np.round(exact, TIE_DIGITS).argmax(axis=1)
-            at[start + rows[some]], score[start + rows[some]] = best, exact[np.arange(len(some)), best]
-        close[many] = False
-        row, place = np.nonzero(close)
-        exact = np.empty(len(row))
-        for i in range(0, len(row), PAIRS):
-            pairs = slice(i, i + PAIRS)
-            exact[pairs] = np.einsum("ij,ij->i", block[rows[row[pairs]]], right[place[pairs]])
-        # Best first in each row, the lower place first among ties.
-        order = np.lexsort((place, -np.round(exact, TIE_DIGITS), row))
-        first = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
-        at[start + rows[row[first]]], score[start + rows[row[first]]] = place[first], exact[first]
-    score[score < threshold] = -np.inf
-    return at, score
+# Pairs of bands that get a task each; of more, a task has several, one after the other.
+MOST_TASKS = 1 << 13
+# Pairs of bands for each shuffle partition at least.
+WAVES = 2
+# Bytes of vectors that a task of packing holds before it sends them on.
+PACK_BYTES = 64 << 20
 
 
 def align_best(
@@ -102,23 +48,23 @@ def align_best(
     threshold: float = 0.85,
     max_broadcast_bytes: int = 64 << 20,
     block_bytes: int = 64 << 20,
-    band_bytes: int = 64 << 20,
+    band_bytes: int = 128 << 20,
 ) -> DataFrame:
     """(left_id, right_id, score): the best right row of each left row, where the unrounded cosine reaches
     ``threshold``; the score is rounded to three digits. A right row may serve many left rows. Left rows need no unique
     id: each gets its own match. A zero vector has cosine 0 with everything. Vectors that are NULL or hold NULL or
     non-finite components match nothing, and neither do vectors of different length. Runs small jobs when called.
 
-    A task of the grid holds a band of each side of ``band_bytes``, or one block if that is larger, and multiplies with one
-    right block of ``block_bytes`` after the other. How often a vector is sent follows from the bands, not from the blocks."""
-    left, right = _sides(left, right, id_col, vec)
-    size = right.agg(F.sum(F.size("vec")).alias("cells")).first()["cells"] or 0
+    A task of the grid holds a band of each side of ``band_bytes`` in double precision, or one block if that is larger, and
+    compares with one right block of ``block_bytes`` after the other. How often a vector is sent follows from the bands, not from the blocks."""
+    left, right, kinds = _sides(left, right, id_col, vec)
+    size = _size(right, kinds[1])
     if size == 0:
         matches = left.sparkSession.createDataFrame([], _schema(left, right))
-    elif size * 8 <= max_broadcast_bytes:
-        matches = _match_broadcast(left, right, threshold)
+    elif size <= max_broadcast_bytes:
+        matches = _match_broadcast(left, right, kinds, threshold)
     else:
-        matches = _match_grid(left, right, threshold, size * 8, block_bytes, band_bytes)
+        matches = _match_grid(left, right, kinds, threshold, size, block_bytes, band_bytes)
     return matches.withColumn("score", F.round("score", 3))
 
 
@@ -142,17 +88,17 @@ def align_buckets(
     one shares no bucket with it. Runs small jobs when called.
     """
     tables = tables_for(threshold, recall, bits)
-    left, right = _sides(left, right, id_col, vec)
+    left, right, kinds = _sides(left, right, id_col, vec)
     left, _ = stage(left.withColumn("row", F.monotonically_increasing_id()), "align-left")
 
-    def buckets(df: DataFrame) -> DataFrame:
-        return df.mapInArrow(_bucket_batches(tables, bits, seed), T.StructType([T.StructField("cell", T.LongType()), *df.schema]))
+    def buckets(df: DataFrame, kind: str) -> DataFrame:
+        return df.mapInArrow(_bucket_batches(tables, bits, seed, kind), T.StructType([T.StructField("cell", T.LongType()), *df.schema]))
 
-    visitors, residents = buckets(left), buckets(right)
+    visitors, residents = buckets(left, kinds[0]), buckets(right, kinds[1])
     pieces = {side: F.ceil(F.count("*") / piece_rows).alias(side) for side in ("of_left", "of_right")}
     sizes = visitors.groupBy("cell").agg(pieces["of_left"]).join(residents.groupBy("cell").agg(pieces["of_right"]), "cell")
     sizes, _ = stage(sizes, "align-buckets")
-    return _meet(visitors, residents, sizes, threshold, _schema(left, right)).withColumn("score", F.round("score", 3))
+    return _meet(visitors, residents, sizes, kinds, threshold, _schema(left, right)).withColumn("score", F.round("score", 3))
 
 
 def tables_for(threshold: float, recall: float, bits: int) -> int:
@@ -175,12 +121,30 @@ def alignment_recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     return counts.withColumn("recall", F.try_divide("n_found", "n_exact"))
 
 
-def _sides(left: DataFrame, right: DataFrame, id_col: str, vec: str) -> tuple[DataFrame, DataFrame]:
-    left = left.select(F.col(id_col).alias("left_id"), F.col(vec).alias("vec")).filter(is_finite(F.col("vec")))
-    right = right.select(F.col(id_col).alias("right_id"), F.col(vec).alias("vec")).filter(is_finite(F.col("vec")))
+def _sides(left: DataFrame, right: DataFrame, id_col: str, vec: str) -> tuple[DataFrame, DataFrame, tuple[str, str]]:
+    """Both sides as (id, vec) with packed vectors, those that can match, and the kinds of their numbers. Vectors are checked
+    where they are packed: a filter on them would have a model behind them run twice."""
+
+    def side(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        df = df.select(F.col(id_col).alias(name), F.col(vec).alias("vec"))
+        kind = number_kind(pa.list_(pa.float32() if df.schema["vec"].dataType.elementType == T.FloatType() else pa.float64()))
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, vectors = packed(batch.column("vec"))
+                yield pa.RecordBatch.from_arrays([batch.column(name).take(pa.array(at)), vectors], [name, "vec"])
+
+        return df.mapInArrow(pack, T.StructType([df.schema[name], T.StructField("vec", T.BinaryType())])), kind
+
+    (left, of_left), (right, of_right) = side(left, "left_id"), side(right, "right_id")
     # Copies of a vector tie, and ties go to the lowest id, so one row per distinct vector is enough.
     right, _ = stage(right.groupBy("vec").agg(F.min("right_id").alias("right_id")), "align-right")
-    return left, right
+    return left, right, (of_left, of_right)
+
+
+def _size(df: DataFrame, kind: str) -> int:
+    """Bytes of the vectors in double precision."""
+    return (df.agg(F.sum(F.octet_length("vec"))).first()[0] or 0) * 8 // np.dtype(kind).itemsize
 
 
 def _schema(left: DataFrame, right: DataFrame) -> T.StructType:
@@ -189,15 +153,15 @@ def _schema(left: DataFrame, right: DataFrame) -> T.StructType:
     )
 
 
-def _match_broadcast(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+def _match_broadcast(left: DataFrame, right: DataFrame, kinds: tuple[str, str], threshold: float) -> DataFrame:
     """The right side, whose size the caller has checked, as one matrix in every task."""
     rows = right.orderBy("right_id").toArrow()
-    shared = left.sparkSession.sparkContext.broadcast((rows.column("right_id").combine_chunks(), unit_matrices(rows.column("vec"))))
+    shared = left.sparkSession.sparkContext.broadcast((rows.column("right_id").combine_chunks(), unit_matrices(rows.column("vec"), kinds[1])))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrices = shared.value
         for batch in batches:
-            for dim, (at, vectors) in unit_matrices(batch.column("vec")).items():
+            for dim, (at, vectors) in unit_matrices(batch.column("vec"), kinds[0]).items():
                 if dim in matrices:
                     places, matrix = matrices[dim]
                     best, score = _best_rows(vectors, matrix, threshold)
@@ -217,26 +181,83 @@ def grid_blocks(left_bytes: int, right_bytes: int, block_bytes: int, tasks: int)
 
 
 def _match_grid(
-    left: DataFrame, right: DataFrame, threshold: float, right_bytes: int, block_bytes: int, band_bytes: int
+    left: DataFrame, right: DataFrame, kinds: tuple[str, str], threshold: float, right_bytes: int, block_bytes: int, band_bytes: int
 ) -> DataFrame:
     spark = left.sparkSession
     # Rows are told apart by number, as ids may repeat; a model may stand behind the vectors.
     left, _ = stage(left.withColumn("row", F.monotonically_increasing_id()), "align-left")
-    left_bytes = 8 * (left.agg(F.sum(F.size("vec"))).first()[0] or 0)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    of_left, of_right = grid_blocks(left_bytes, right_bytes, max(block_bytes, band_bytes), tasks)
-    sizes = spark.createDataFrame([(0, of_left, of_right)], "cell long, of_left long, of_right long")
-    whole = F.lit(0).cast("long").alias("cell")
-    return _meet(left.select(whole, "*"), right.select(whole, "*"), sizes, threshold, _schema(left, right), block_bytes)
+    # Some tasks for each place, as they do not take the same time.
+    tasks = WAVES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    of_left, of_right = grid_blocks(_size(left, kinds[0]), right_bytes, max(block_bytes, band_bytes), tasks)
+    others = {side: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))) for side, n in (("left", of_left), ("right", of_right))}
+    lefts = _bands(left, "row", of_left).select("band", others["right"].alias("other"), F.lit(0).alias("side"), "rows")
+    rights = _bands(right, "right_id", of_right).select(others["left"].alias("band"), F.col("band").alias("other"), F.lit(1).alias("side"), "rows")
+    pairs = lefts.union(rights).select((F.col("band") * of_right + F.col("other")).alias("pair"), "side", "rows")
+    # One task for each pair of bands: dealt by hash, some tasks would get several and others none.
+    parts = min(of_left * of_right, MOST_TASKS)
+    dealt = pairs.repartitionById(parts, (F.col("pair") % parts).cast("int")).sortWithinPartitions("pair", "side")
+    out = _found(_schema(left, right))
+    match = _matcher(kinds, threshold, block_bytes)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.name for f in out]
+        held: dict[int, list[pa.Table]] = {0: [], 1: []}
+        current = None
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if held[0] and held[1]:
+                sides = [pa.concat_tables(held.pop(side)) for side in (0, 1)]
+                yield from match(*sides).select(names).to_batches()
 
+        for batch in batches:
+            for pair, side, rows in zip(batch.column("pair").to_pylist(), batch.column("side").to_pylist(), batch.column("rows")):
+                if pair != current:
+                    yield from found()
+                    held, current = {0: [], 1: []}, pair
+                held[side].append(pa.ipc.open_stream(rows.as_buffer()).read_all())
+        yield from found()
+
+    return _best_of(dealt.mapInArrow(meet, out))
+
+
+def _bands(df: DataFrame, name: str, bands: int) -> DataFrame:
+    """(band, rows): rows dealt to ``bands`` by a hash of column ``name``, many of a band packed into one value."""
+    dealt = df.withColumn("band", F.pmod(F.xxhash64(F.lit("piece"), name), F.lit(bands)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            of = rows.column("band").to_numpy()
+            order = np.argsort(of, kind="stable")
+            ends = np.searchsorted(of[order], np.arange(bands + 1))
+            for band in np.unique(of).tolist():
+                part = rows.take(pa.array(order[ends[band] : ends[band + 1]])).drop_columns("band")
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as to:
+                    to.write_table(part)
+                value = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([band], pa.int64()), value], ["band", "rows"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.nbytes for b in held) > PACK_BYTES:
+                yield from sent()
+                held.clear()
+        if held:
+            yield from sent()
 
-def _bucket_batches(tables: int, bits: int, seed: int):
+    return dealt.mapInArrow(pack, "band long, rows binary")
+
+
+def _bucket_batches(tables: int, bits: int, seed: int, kind: str):
     """Each row once per table, under the number of its bucket there."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(bits, dtype="int64")
         for batch in batches:
-            for dim, (at, vectors) in unit_matrices(batch.column("vec")).items():
+            for dim, (at, vectors) in unit_matrices(batch.column("vec"), kind).items():
                 planes = np.random.default_rng([seed, dim]).normal(size=(tables, dim, bits))
                 rows = batch.take(pa.array(at))
                 for number, plane in enumerate(planes):
@@ -267,21 +288,28 @@ def cell_pieces(visitors: DataFrame, residents: DataFrame, sizes: DataFrame) ->
 
 
 def _meet(
-    visitors: DataFrame,
-    residents: DataFrame,
-    sizes: DataFrame,
-    threshold: float,
-    schema: T.StructType,
-    block_bytes: int | None = None,
+    visitors: DataFrame, residents: DataFrame, sizes: DataFrame, kinds: tuple[str, str], threshold: float, schema: T.StructType
 ) -> DataFrame:
     """The best match of each visitor (cell, row, left_id, vec) among the residents (cell, right_id, vec) of its cells."""
     lefts, rights = cell_pieces(visitors, residents, sizes)
+    keys = ["cell", "left_piece", "right_piece"]
+    met = lefts.groupBy(*keys).cogroup(rights.groupBy(*keys)).applyInArrow(_matcher(kinds, threshold), _found(schema))
+    return _best_of(met)
+
+
+def _found(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField("row", T.LongType()), *schema])
 
-    def meet(lefts: pa.Table, rights: pa.Table) -> pa.Table:
+
+def _matcher(kinds: tuple[str, str], threshold: float, block_bytes: int | None = None):
+    """From left rows (row, left_id, vec) and right rows (right_id, vec) to the matches of the left ones among them."""
+
+    def match(lefts: pa.Table, rights: pa.Table) -> pa.Table:
         rights = rights.sort_by("right_id")
         rows, left_ids, right_ids, scores = [], [], [], []
-        matrices = unit_matrices(rights.column("vec"))
-        for dim, (at, vectors) in unit_matrices(lefts.column("vec")).items():
+        matrices = unit_matrices(rights.column("vec"), kinds[1])
+        rights = rights.select(["right_id"])
+        for dim, (at, vectors) in unit_matrices(lefts.column("vec"), kinds[0]).items():
             if dim in matrices:
                 places, matrix = matrices[dim]
                 best, score = _best_rows(vectors, matrix, threshold, block_bytes)
@@ -297,9 +325,10 @@ def _meet(
         parts = [pa.table(dict(zip(("row", "left_id", "right_id", "score"), p))) for p in zip(rows, left_ids, right_ids, scores)]
         return pa.concat_tables(parts)
 
-    keys = ["cell", "left_piece", "right_piece"]
-    out = T.StructType([T.StructField("row", T.LongType()), *schema])
-    met = lefts.groupBy(*keys).cogroup(rights.groupBy(*keys)).applyInArrow(meet, out)
+    return match
+
+
+def _best_of(met: DataFrame) -> DataFrame:
     best = F.min(F.struct((-F.round("score", TIE_DIGITS)).alias("rank"), F.col("right_id"), F.col("score")))
     return met.groupBy("row", "left_id").agg(best.alias("best")).select("left_id", "best.right_id", "best.score")
 

@@ -5,10 +5,12 @@ import random
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 
-from pairmill.functions.vectors import scaled
+from pairmill.functions import nearest
+from pairmill.functions.vectors import packed, scaled, unit_matrices
 from pairmill.operators import align, infer
 from pairmill.operators.align import (
     _best_rows,
@@ -275,3 +277,59 @@ def test_hashed_grams_against_brute_force(monkeypatch):
             for i in range(max(1, len(text) - size + 1)):
                 counts[int(hashlib.md5(text[i : i + size].encode()).hexdigest()[:7], 16) % 64] += 1
             assert (vector == counts / np.sqrt((counts**2).sum())).all()
+
+
+def test_bounds_leave_the_best_rows(monkeypatch):
+    """Tiles, groups and bounds: rows in few directions with near copies, ties and zeros, as the product of all."""
+    bounded = []
+    real = nearest._bounded
+    monkeypatch.setattr(nearest, "_bounded", lambda *args: bounded.append(real(*args)) or bounded[-1])
+    for name, size in (("LEAST", 64), ("PART", 200), ("TILE_ROWS", 128)):
+        monkeypatch.setattr(nearest, name, size)
+    rng = np.random.default_rng(6)
+    axes = rng.normal(size=(10, 96))
+    right = rng.normal(size=(1500, 10)) @ axes + rng.normal(size=(1500, 96)) * 0.3
+    left = right[rng.integers(0, 1500, 1200)] + rng.normal(size=(1200, 96)) * 0.5
+    left[:40], right[7], right[200:300] = 0, 0, right[200] * np.arange(1, 101)[:, None]
+    left[40:90] = right[200] * 3
+    left, right = scaled(left), scaled(right)
+    cosines = left @ right.T
+    best = np.round(cosines, 9).argmax(axis=1)
+    most = cosines[np.arange(1200), best]
+    for threshold in (-0.5, 0.6):
+        for block in (None, 8 * 96 * 500):
+            at, score = nearest.best_rows(left, right, threshold, block)
+            hit = most >= threshold
+            assert ((score >= threshold) == hit).all() and (at[hit] == best[hit]).all()
+            assert np.allclose(score[hit], most[hit], atol=1e-12, rtol=0)
+    assert any(bounded)
+
+
+def test_titles_are_encoded_once(spark):
+    """A check of the vectors does not have the encoder run again."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted():
+        def call(texts):
+            calls.add(len(texts))
+            return [[t.count(c) for c in "abcd"] for t in texts]
+
+        return call
+
+    schema = "id long, title string, text string"
+    left = spark.createDataFrame([(i, "a" * i + "b", "x") for i in range(1, 8)], schema)
+    right = spark.createDataFrame([(i, "a" * i + "c", "y") for i in range(1, 6)], schema)
+    assert align_corpora(left, right, counted, max_broadcast_bytes=0).count() > 0
+    assert calls.value == 12
+
+
+def test_packed_vectors():
+    """Vectors with NULL or non-finite components go, zero has one sign, sliced columns keep their places."""
+    rows = [[9.0], [1.0, -0.0], None, [], [float("nan"), 1.0], [None, 2.0], [3.0]]
+    at, vectors = packed(pa.array(rows, pa.list_(pa.float32())).slice(1))
+    assert at.tolist() == [0, 2, 5]
+    assert vectors.to_pylist() == [np.array(v, "float32").tobytes() for v in ([1, 0], [], [3])]
+    found = unit_matrices(pa.chunked_array([vectors[:1], vectors[1:]]), "float32")
+    assert {dim: (at.tolist(), rows.tolist()) for dim, (at, rows) in found.items()} == {
+        0: ([1], [[]]), 1: ([2], [[1.0]]), 2: ([0], [[1.0, 0.0]])
+    }
